@@ -83,7 +83,7 @@ def flight(size: np.ndarray, pi: np.ndarray, seed: np.ndarray, left: int = LEFT)
     return np.array(p)
 
 
-def landing(size: np.ndarray, pi: np.ndarray, goal: float, units: int = 2 * LEFT) -> np.ndarray:
+def landing(size: np.ndarray, pi: np.ndarray, goal: float, units: int = LEFT + 5) -> np.ndarray:
     """Decide what the flight left: the choice whose words come nearest to goal, and then its units, the first of equals.
 
     Where the undecided units alone are too coarse, units of spread sizes that were decided are decided again with them.
