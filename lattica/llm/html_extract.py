@@ -81,7 +81,7 @@ def pieces(page: str) -> Iterator[Piece]:
             if tag not in VOID and not m[4].endswith("/"):
                 f = features(tag, m[4])
                 stack.append((tag, (*f, "[hidden]") if m[4] and _HIDDEN.search(m[4]) else f))
-        yield Piece("", tag=tag)
+        yield Piece("", tuple(f for _, f in stack), tag)
     if at < len(page):
         yield Piece(page[at:], tuple(f for _, f in stack))
 
@@ -97,15 +97,16 @@ class Weights:
     def element(self, f: tuple[str, ...]) -> float:
         return sum(self.names.get(x, 0.0) for x in f)
 
-    def judge(self, path: tuple) -> tuple[float, bool]:
-        """Score of a word at this path, and whether an open element rules it out."""
+    def judge(self, path: tuple) -> tuple[float, bool, float]:
+        """Score of a word at this path, whether an open element rules it out, and how much negative scores count: little
+        within an element that the weights take for the article's."""
         found = self.cache.get(path)
         if found is None:
             scores = [self.element(f) for f in path]
             inside = [i for i, f in enumerate(path) if f[0] in ("<article>", "<main>") and scores[i] > 0]
             bad = any(s <= -1.0 and not (f[0] == "<header>" and len(f) == 1 and inside and i > inside[0]) for i, (s, f) in enumerate(zip(scores, path, strict=True)))
             bad = bad or any(f[0][1:-1] in SILENT or "[hidden]" in f for f in path)
-            found = self.cache[path] = (-0.25 if bad else max(0.1, min(1.0, 0.6 + sum(scores))), bad)
+            found = self.cache[path] = (-0.25 if bad else max(0.1, min(1.0, 0.6 + sum(scores))), bad, 0.1 if max(scores, default=0.0) >= 1.0 else 1.0)
             if len(self.cache) > 1 << 16:
                 self.cache.clear()
         return found
@@ -139,7 +140,8 @@ def learned() -> Weights:
         for x in seen[0] - seen[1]:
             neg[x] += 1
     names = {x: round(math.log((pos[x] + 0.5) / (neg[x] + 0.5)), 3) for x in {*pos, *neg}}
-    names = {x: max(-3.0, min(3.0, v)) if v < 0 or x not in ("<html>", "<body>", "<div>", "<p>", "<ul>", "<li>", "<a>") else 0.0 for x, v in names.items()}
+    most = lambda x: 3.0 if x[0] != "<" or x in ("<article>", "<main>") else 1.0  # noqa: E731  other elements say little without a name
+    names = {x: max(-3.0, min(most(x), v)) if v < 0 or x not in ("<html>", "<body>", "<div>", "<p>", "<ul>", "<li>", "<a>") else 0.0 for x, v in names.items()}
     tags = {x: max(-1.0, min(-0.1, 0.3 * math.log((tag_in[x] + 1) / (tag_out[x] + 1)) - 0.3)) for x in {*tag_in, *tag_out}}
     return Weights(names, tags)
 
@@ -164,14 +166,14 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     items: list[tuple[str, bool]] = []
     best, best_from, best_to, run, run_from = 0.0, 0, 0, 0.0, 0
     for p in pieces(page):
+        per, bad, share = w.judge(p.path)
         if p.tag:
             items.append(("" if p.tag in INLINE else " ", False))
-            score = w.tag(p.tag)
+            score = w.tag(p.tag) * share
         else:
-            per, bad = w.judge(p.path)
             n = p.text.count(" ") + p.text.count("\n") + 1 if not p.text.isspace() else 0
             items.append((p.text, bad))
-            score = max(per * n, -10.0)
+            score = max(per * n, -10.0) * (share if bad else 1.0)
         if run <= 0:
             run, run_from = 0.0, len(items) - 1
         run += score

@@ -190,7 +190,9 @@ def fit_quality(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__y"))
     rows = stats.join(y, "doc_id").where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
     rows = written(rows.select("doc_id", "__y", *FEATURES), "labelled")
-    sample = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), *FEATURES).limit(fit_rows).select("__y", *FEATURES).toPandas()
+    order = F.xxhash64("doc_id", F.lit(SEED))
+    part = min(1.0, 1.25 * fit_rows / max(rows.count(), 1))  # so that tasks do not each send that many rows
+    sample = rows.where(F.pmod(order, F.lit(1_000_000)) < round(part * 1e6)).orderBy(order, *FEATURES).limit(fit_rows).select("__y", *FEATURES).toPandas()
     good = sample[sample["__y"] == 1][list(FEATURES)].to_numpy(float)
     if not len(good):
         forget(rows)

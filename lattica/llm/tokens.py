@@ -101,7 +101,8 @@ class MinimalPerfectHash:
 
 def key_of(doc_ids: np.ndarray, nulls: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """Keys of documents: the id, whether it is null, and how many equal ids come before it in the shard."""
-    return mix64(doc_ids.astype(np.int64).view(np.uint64)) ^ mix64((turn.astype(np.uint64) << np.uint64(1)) | nulls.astype(np.uint64))
+    second = ((turn.astype(np.uint64) << np.uint64(1)) | nulls.astype(np.uint64)) + np.uint64(0x51_7C_C1_B7_27_22_0A_95)
+    return mix64(doc_ids.astype(np.int64).view(np.uint64)) + mix64(second)
 
 
 def turns(doc_ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
