@@ -397,3 +397,65 @@ def test_config(tmp_path):
     c = Config.load(str(tmp_path / "c.yaml"), {"geometry": {"depth_max": 5.0}}, {"LATTICA_GEOMETRY__DEPTH_MAX": "6.5"})
     assert c.get("geometry.voxel_size") == 0.1 and c.get("geometry.depth_max") == 6.5 and c.get("no.such", 1) == 1 and c.get("labels") == ["a"]
     assert [parse_scalar(x) for x in ("true", "3", "1e-3", "null", "x")] == [True, 3, 0.001, None, "x"]
+
+
+def test_scene_answers(spark, tmp_path):
+    from lattica.operators.scene import SceneMap, built, merged_in_frame
+
+    o = box(spark, (1, "table", 0, 0, 0, 0.5, 0.5, 0.5), (2, "cup", 0.1, 0, 0.6, 0.05, 0.05, 0.1), (3, "chair", 2, 0, 0, 0.3, 0.3, 0.5), (4, "chair", 5, 0, 0, 0.3, 0.3, 0.5))
+    m = SceneMap(o)
+    ask = lambda q: (lambda i, d: (i.kind, d.collect()))(*m.answer(q))
+    assert ask("how many chairs")[1][0].n == 2 and ask("where is the cup")[1][0].obj_id == 2 and ask("where is the sofa")[1] == []
+    assert ask("is the cup above the table")[1][0].holds and not ask("is the cup below the table")[1][0].holds
+    assert [r.label for r in ask("what is on the table")[1]] == ["cup"] and [r.obj_id for r in ask("nearest chair")[1]] == [3, 4]
+    assert ask("how far is the cup from the table")[1][0].relation == "above" and len(ask("describe")[1]) == 3
+    assert [r.obj_id for r in m.query_text("seat").collect()] == [3, 4]
+    p = spark.createDataFrame([(0.1 * i, 0.0, 0.0, 1.0, [1.0, 0.0, 0.0, 0.0], "a", i) for i in range(12)], "x double, y double, z double, w double, e array<double>, label string, frame int")
+    b = built(p, 0.1)
+    b.save(str(tmp_path / "map"))
+    assert SceneMap.load(spark, str(tmp_path / "map")).objects.first().label == "a"
+    twice = box(spark, (1, "a", 0, 0, 0, 1, 1, 1), (2, "a", 0.1, 0, 0, 1, 1, 1), (3, "b", 0, 0, 0, 1, 1, 1)).withColumn("scene", F.lit(1).cast("long")).withColumn("frame", F.lit(1).cast("long"))
+    assert {r.obj_id: r.kept_id for r in merged_in_frame(twice).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_perception(spark):
+    from lattica.operators import perception
+
+    schema = "frame_id long, width int, height int, pixels array<array<int>>, boxes array<struct<label:string,score:double,x1:double,y1:double,x2:double,y2:double>>"
+    frames = spark.createDataFrame([(1, 4, 4, [[255, 0, 0]] * 16, [("cup", 0.9, -1.0, 0.0, 4.0, 9.0), ("dot", 0.9, 0.0, 0.0, 1.0, 1.0)])], schema)
+    got = perception.pipeline(frames).collect()
+    assert len(got) == 1 and got[0].feature == [1.0, 0.0, 0.0] and got[0].x1 == 0.0 and got[0].area == 12
+    with pytest.warns(UserWarning):
+        assert perception.build("detector", "nothing") is perception.GivenDetector
+
+
+def test_rooms_and_videos(spark):
+    from lattica.sources import synthetic
+
+    a, b = (sorted(map(tuple, synthetic.rooms(spark, [7]).collect())) for _ in range(2))
+    assert a == b and len(a) == 5
+    d, cuts = synthetic.shot_video(spark)
+    counts = S.boundary_scores(S.boundaries(d), cuts)
+    assert S.micro_scores(counts).first().f1 == 1.0
+
+
+def test_training_gains(spark):
+    from lattica.operators import policy
+
+    h = policy.train(spark, policy.NoisyPolicy(), ["how far"] * 4, steps=4)
+    assert h.count() == 4 and R.halves(h).first().gain > 0
+
+
+def test_control():
+    from lattica.streaming import control
+
+    q = control.DropOldest(2)
+    for i in range(4):
+        q.put(i)
+    assert (q.take(), q.dropped) == (2, 2)
+    t = control.Latency(3)
+    for x in (1.0, 2.0, 3.0, 5.0):
+        t.add(x)
+    assert t.summary()["count"] == 4 and t.summary()["p50"] == 3.0
+    known = {"query.top_k": 5, "geometry.voxel_size": 0.05}
+    assert control.plan_update({"query.top_k": 7}, known) == ({"query.top_k": 7}, "") and control.plan_update({"query.top_k": 7, "geometry.voxel_size": 1}, known)[0] == {} and control.plan_update({"x": 1}, known)[1]
