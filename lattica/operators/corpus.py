@@ -6,11 +6,11 @@ import json
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.plans.rewrites import greedy_survivors
+from lattica.plans.rewrites import greedy_survivors, kept_apart
 
 #: Hash functions, bands, least overlap of near duplicates, videos of a template, mixture exponent, caps.
 PERMUTATIONS, BANDS, NEAR, TEMPLATE, ALPHA, CAP, REUSE, SHARD = 64, 8, 0.80, 3, 0.5, 0.25, 3, 2000
@@ -43,15 +43,14 @@ def templates(kept: DataFrame, videos: int = TEMPLATE) -> DataFrame:
     return kept.groupBy(F.lower("cleaned").alias("text")).agg(F.count_distinct("video_id").alias("videos"), F.count("*").alias("copies")).where(F.col("videos") >= videos)
 
 
-def minhash(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
-    """The least hash of a set of words under each of so many seeds; the greatest long for an empty set."""
-    least = lambda p: F.coalesce(F.array_min(F.transform(tokens, lambda w: F.xxhash64(w, F.lit(p)))), F.lit(2**63 - 1))
-    return F.array(*[least(p) for p in range(permutations)])
-
-
-def band_keys(signature: Column, bands: int = BANDS, permutations: int = PERMUTATIONS) -> Column:
+def minhash_bands(sets: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
+    """(ord, band) for each band of the MinHash signature of each word set (ord, ws): one aggregate over the exploded words,
+    with partial minima before the shuffle."""
+    h = sets.select("ord", F.explode("ws").alias("w")).select("ord", F.xxhash64("w").alias("h"))
+    sig = h.groupBy("ord").agg(*[F.min(F.xxhash64("h", F.lit(p))).alias(f"m{p}") for p in range(permutations)])
     rows = permutations // bands
-    return F.array(*[F.xxhash64(F.slice(signature, b * rows + 1, rows), F.lit(b)) for b in range(bands)])
+    keys = [F.xxhash64(*[f"m{b * rows + i}" for i in range(rows)], F.lit(b)) for b in range(bands)]
+    return sig.select("ord", F.explode(F.array(*keys)).alias("band"))
 
 
 def near_duplicates(kept: DataFrame, least: float = NEAR) -> DataFrame:
@@ -63,7 +62,9 @@ def near_duplicates(kept: DataFrame, least: float = NEAR) -> DataFrame:
     d = kept.select("ord", F.array_sort(F.array_distinct(T.words(F.lower("cleaned")))).alias("ws"))
     sets = d.groupBy(F.array_join("ws", " ").alias("key")).agg(F.min("ord").alias("ord"), F.first("ws").alias("ws"))
     sets = sets.where(F.size("ws") > 0).withColumn("n", F.size("ws"))
-    b = sets.select("ord", "n", "ws", F.explode(band_keys(minhash(F.col("ws")))).alias("band"))
+    keep = kept_apart(sets)
+    sets = keep(sets)
+    b = keep(minhash_bands(sets).join(sets.select("ord", "n", "ws"), "ord"))
     x, y = b.alias("x"), b.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.ord") < F.col("y.ord")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")))
     pairs = pairs.where(T.jaccard(F.col("x.ws"), F.col("y.ws"), 1.0) >= least).select(F.col("x.ord").alias("lo"), F.col("y.ord").alias("hi")).distinct()

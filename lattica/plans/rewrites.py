@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,28 +38,32 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, order
     return both.withColumn("__p", pick.over(w)).where("__side = " + ("0" if following else "1")).select(*left.columns, F.col("__p").alias(name))
 
 
+def kept_apart(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How rounds keep what they have: in the session's checkpoint folder, or cached where none is set (tests)."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return lambda d: d.checkpoint()
+    return lambda d: d.cache()
+
+
 def greedy_survivors(nodes: DataFrame, conflicts: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Ids kept when they are taken in ascending order and each kept one drops the later ones that conflict (lo, hi) with it.
 
     In rounds: an undecided id whose lower conflicting ids are all dropped is kept, and drops its higher ones. A round is two
     joins on the undecided conflicts; there are as many as the longest chain of conflicts.
     """
-    open_ = conflicts.select("lo", "hi").distinct()
+    cut = kept_apart(nodes) if checkpoint else (lambda d: d)
+    open_ = cut(conflicts.select("lo", "hi").distinct())
     dropped = nodes.select("id").limit(0)
     while True:
         # Lowest of all undecided ones around it: no lower id can drop it any more.
         blocked = open_.select(F.col("hi").alias("lo")).distinct()
         winners = open_.join(blocked, "lo", "left_anti").select("lo").distinct()
-        losers = open_.join(winners, "lo").select(F.col("hi").alias("id")).distinct()
-        if checkpoint:
-            losers = losers.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else losers.cache()
+        losers = cut(open_.join(winners, "lo").select(F.col("hi").alias("id")).distinct())
         if losers.isEmpty():
             break
         dropped = dropped.unionByName(losers)
         rest = open_.join(losers.withColumnRenamed("id", "lo"), "lo", "left_anti").join(losers.withColumnRenamed("id", "hi"), "hi", "left_anti").join(winners, "lo", "left_anti")
-        open_ = rest.select("lo", "hi")
-        if checkpoint:
-            open_ = open_.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else open_.cache()
+        open_ = cut(rest.select("lo", "hi"))
     return nodes.join(dropped.distinct(), "id", "left_anti")
 
 
@@ -67,7 +71,7 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) for every node: the least id that it reaches. Labels spread and jump to their own labels' labels each round."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("id", F.col("id").alias("component"))
-    kept = (lambda d: d.checkpoint()) if nodes.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
+    kept = kept_apart(nodes)
     both, labels = kept(both), kept(labels)
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("low"))
