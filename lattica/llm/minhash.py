@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ._shared import components, forget, mix64, written
 
 K, SKETCHES, SIMILARITY_PERCENT = 5, 24, 80
-#: Members of different components that a bucket may hold before it is split by a second sketch, and how often it is split.
-SMALL, DEPTH = 48, 2
+#: Members above which a bucket is large, and how many large buckets a document may have before it is sketched again.
+SMALL, RULED = 48, 8
 _DROP = b".,;:!?\"'()[]{}"
 
 
@@ -28,11 +28,10 @@ def words_of(text: str | None) -> list[bytes]:
 _MULTIPLIERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def order_sketches(words: list[bytes], k: int = K, m: int = SKETCHES) -> np.ndarray:
-    """m values: each hashes the two least k-mers under one order of all occurrence-labelled k-mers, in their order in the text.
+def kmers(words: list[bytes], k: int = K) -> np.ndarray:
+    """Hashes of the k-mers in text order, the second and further occurrences of one apart from the first.
 
-    A text of fewer than k words is one k-mer. Equal k-mers count apart by their occurrence, so that the sketch sees a
-    multiset; keeping the order makes it follow the edit similarity rather than the Jaccard similarity.
+    A text of fewer than k words is one k-mer.
     """
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
@@ -48,10 +47,20 @@ def order_sketches(words: list[bytes], k: int = K, m: int = SKETCHES) -> np.ndar
             turn = np.empty(n, np.int64)
             turn[order] = np.arange(n) - np.maximum.accumulate(start)
             g = np.where(turn > 0, mix64(g + turn.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), g)
+    return g
+
+
+def sketch_of(g: np.ndarray, m: int = SKETCHES) -> np.ndarray:
+    """m values: each hashes the two least k-mers under one order of all k-mers, in their order in the text.
+
+    Occurrences count apart, so that the sketch sees a multiset, and keeping the order of the two makes it follow the edit
+    similarity rather than the Jaccard similarity.
+    """
+    with np.errstate(over="ignore"):
         v = g[None, :] * _MULTIPLIERS[:m, None]
         rows = np.arange(m)
         a = v.argmin(axis=1)
-        if n == 1:
+        if len(g) == 1:
             pair = g[a]
         else:
             v[rows, a] = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,6 +70,10 @@ def order_sketches(words: list[bytes], k: int = K, m: int = SKETCHES) -> np.ndar
         return mix64(pair ^ _MULTIPLIERS[:m]).view(np.int64)
 
 
+def order_sketches(words: list[bytes]) -> np.ndarray:
+    return sketch_of(kmers(words))
+
+
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """doc_id, a 128-bit key of the words (k1, k2), their number n and the sketch for each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -83,76 +96,62 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------- alignment
 
 
-def edits_within(a: list, b: list, most: int) -> bool:
-    """Whether at most `most` words are to be inserted, deleted or replaced to make b of a.
+def aligned_words(a: list, b: list, most: int) -> int:
+    """The words that the best alignment of a and b leaves in place, -1 if more than `most` are to be inserted or deleted.
 
-    The alignment matrix is computed in a band of most + 1 diagonals on either side, a whole column of the band in a few
-    operations on one long integer: vertical steps of +1 and -1 are bits, and the band moves down a row with each column.
+    The matrix is computed in a band of `most` diagonals on either side of the main one, a whole column of the band at a time
+    as the bits of one long integer: a cleared bit is a word of a that is matched. The band moves down a row with each column;
+    the bit that leaves it is final.
     """
     if abs(len(a) - len(b)) > most:
-        return False
+        return -1
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
         start += 1
     ea, eb = len(a), len(b)
     while ea > start and eb > start and a[ea - 1] == b[eb - 1]:
         ea, eb = ea - 1, eb - 1
+    same = start + len(a) - ea
     a, b = a[start:ea], b[start:eb]
-    if len(a) > len(b):
-        a, b = b, a
     n, m = len(a), len(b)
-    if m <= most:
-        return True
-    if n == m and sum(map(lambda x, y: x != y, a, b)) <= most:
-        return True
-    if n <= most:  # the band covers the whole matrix: pad it, for the scheme below needs rows beyond the band
-        pad = [object()] * (most + 1 - n)
-        a, b = a + pad, b + pad
-        n, m = len(a), len(b)
+    need = n + m - most  # twice the words that must be matched
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | (1 << i)
-    width = 2 * most + 2
-    full, top = (1 << width) - 1, 1 << (width - 1)
-    vp, vn, score = full & ~((1 << (width - most - 1)) - 1), 0, most
-    limit = 2 * most + m - n
-    low = most + 1 - width
-    last = top >> 1
+    top = 1 << (2 * most)
+    full = 2 * top - 1
+    band, matched, low = full, 0, -most
     for j, y in enumerate(b):
-        at = low + j
         p = where.get(y, 0)
-        p = (p >> at if at >= 0 else p << -at) & full
-        d0 = ((((p & vp) + vp) ^ vp) | p | vn) & full
-        hp = vn | (full & ~(d0 | vp))
-        hn = d0 & vp
-        if j < n - most:
-            if not d0 & top:
-                score += 1
-        else:
-            if hp & last:
-                score += 1
-            if hn & last:
-                score -= 1
-            last >>= 1
-        if score > limit:
-            return False
-        half = d0 >> 1
-        vp = hn | (full & ~(half | hp))
-        vn = half & hp
-    return score <= most
+        if p:
+            u = band & ((p >> low if low >= 0 else p << -low) & full)
+            if u:
+                band = ((band + u) | (band - u)) & full
+        if not band & 1:
+            matched += 1
+        band = band >> 1 | top
+        low += 1
+        if not j & 63 and 2 * (matched + 2 * most + 1 - band.bit_count() + m - j) < need:
+            return -1
+    matched += 2 * most + 1 - band.bit_count()
+    return same + matched if 2 * matched >= need else -1
 
 
 def similar(a: list, b: list, percent: int = SIMILARITY_PERCENT) -> bool:
-    """Whether the edit similarity, one less the edits over the longer length, is at least percent / 100."""
-    return edits_within(a, b, max(len(a), len(b)) * (100 - percent) // 100)
+    """Whether the aligned words are at least percent / 100 of all words of the two texts, aligned ones counted once."""
+    total = len(a) + len(b)
+    return total == 0 or aligned_words(a, b, total * (100 - percent) // (100 + percent)) >= 0
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of ids whose whole texts are similar. Texts travel only for documents that are in a pair."""
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) with both texts, which travel only for documents that are in a pair."""
     text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__t"))
     one = pairs.join(text, F.col("a") == F.col("__id")).select("a", "b", F.col("__t").alias("ta"))
-    two = one.join(text, F.col("b") == F.col("__id")).select("a", "b", "ta", F.col("__t").alias("tb"))
+    return one.join(text, F.col("b") == F.col("__id")).select("a", "b", "ta", F.col("__t").alias("tb"))
+
 
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of ids whose whole texts are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[str | None, list] = (None, [])
         for b in batches:
@@ -163,7 +162,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(similar(words_of(x), known[1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return two.mapInArrow(run, "a long, b long")
+    return _texts(pairs, docs).mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------------------------------------------- classes
@@ -178,11 +177,18 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and kept for each row of docs (doc_id, text): the class is the least id of its group, kept that one.
 
     Documents with the same words, case and punctuation aside, are one representative. Two representatives are linked if they
-    share one of SKETCHES Order MinHash values and their edit similarity by words is at least SIMILARITY_PERCENT; classes are
-    the components of the links. Each bucket is compared first with its least member. Only members that are still in other
-    components meet in pairs, in buckets that are split by a second and third sketch where they are large; no bucket is cut
-    short. Texts without words equal only the same text. Null and empty texts are the same. Null ids have no class and are
-    kept. Repeated rows are copies, of which those with the least id stay: kept is by id. Other columns are not read.
+    share one of SKETCHES Order MinHash values and their aligned words are at least SIMILARITY_PERCENT of all their words.
+    Every pair whose five-word shingles have a Jaccard similarity of 0.8 in text order is above that, and shares a value but
+    for odds of 0.36 ** 24. Classes are the components of the links.
+
+    Each bucket is compared with its shortest member. A passage that many documents share links two of them only if it is
+    nearly all of both, and then each is linked to the shortest that has it. Members of a bucket of at most SMALL that are
+    still in different components meet in pairs. Larger buckets are those of shared passages: documents that have more than
+    RULED of them are sketched again without what they share with the shortest, and meet by that; any other has at least
+    SKETCHES - RULED further buckets in which it meets what is like it.
+
+    Texts without words equal only the same text. Null and empty texts are the same. Null ids have no class and are kept.
+    Repeated rows are copies, of which those with the least id stay: kept is by id. Other columns are not read.
     """
     rows = written(sketch_rows(docs), "sketches")
     reps = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -198,11 +204,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Components (id, component) of the representatives that have links."""
     buckets = reps.where("sketch is not null").select("rep", "n", F.posexplode("sketch").alias("band", "key"))
-    roots = written(buckets.groupBy("band", "key").agg(F.min("rep").alias("root"), F.count("*").alias("size")).where("size > 1"), "roots")
-    shared = written(buckets.join(roots.select("band", "key", "root"), ["band", "key"]).select("band", "key", "rep", "n", "root"), "buckets")
-    stars = written(shared.where("rep <> root").select("rep", "root").distinct(), "stars")
-    # Each representative first meets the least root of its buckets, then those roots that are in other components still.
-    first = stars.groupBy("rep").agg(F.min("root").alias("root"))
+    roots = written(buckets.groupBy("band", "key").agg(F.min(F.struct("n", "rep")).alias("least"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("least.rep").alias("root"), F.col("least.n").alias("root_n")), "roots")
+    shared = written(buckets.join(roots, ["band", "key"]).select("band", "key", "rep", "n", "root", "root_n"), "buckets")
+    stars = written(shared.where(f"rep <> root and {_close('n', 'root_n')}").select("rep", "root", "root_n").distinct(), "stars")
+    # Each representative first meets the shortest root of its buckets, then those roots that are in other components still.
+    first = stars.groupBy("rep").agg(F.min(F.struct("root_n", "root")).alias("r")).select("rep", F.col("r.root").alias("root"))
     found = written(verified(first.select(F.col("rep").alias("a"), F.col("root").alias("b")), docs), "linked")
     comp = written(components(found, "near"), "components")
 
@@ -215,35 +221,57 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     more = written(verified(rest, docs), "linked")
     found = found.unionByName(more)
     comp = written(components(found, "near"), "components")
-    # Members of a bucket in different components: all pairs between components, after splitting what is large.
-    open_ = placed(shared.select("band", "key", "rep", "n"), "rep", "c")
-    mixed = open_.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key", "size")
-    level = written(open_.join(mixed, ["band", "key"]).select(F.concat_ws("/", "band", "key").alias("bucket"), "rep", "n", "c", "size", "band"), "mixed")
-    pairs = None
-    for depth in range(DEPTH + 1):
-        small = level.where(f"size <= {SMALL}") if depth < DEPTH else level
-        x, y = small.alias("x"), small.alias("y")
-        now = x.join(y, F.expr(f"x.bucket = y.bucket and x.rep < y.rep and x.c <> y.c and {_close('x.n', 'y.n')}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        pairs = now if pairs is None else pairs.unionByName(now)
-        big = level.where(f"size > {SMALL}")
-        if depth == DEPTH or big.isEmpty():
-            break
-        split = big.join(reps.select("rep", "sketch"), "rep").select("bucket", "rep", "n", "c", F.col("band").alias("__b"), F.posexplode("sketch").alias("band", "key")).where("band > __b")
-        split = split.select(F.concat_ws("/", "bucket", "band", "key").alias("bucket"), "rep", "n", "c", "band")
-        size = split.groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket", "size")
-        level = written(split.join(size, "bucket").select("bucket", "rep", "n", "c", "size", "band"), "mixed")
-    done = stars.select(F.col("root").alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-    last = written(verified(pairs, docs), "linked")
-    out = components(found.unionByName(last), "near") if not last.isEmpty() else comp
-    for x in (roots, shared, level):
+    tested = stars.select(F.least("root", "rep").alias("a"), F.greatest("root", "rep").alias("b"))
+    found = _crossed(shared, comp, found, tested, docs)
+    # Documents that many large buckets hold share a long passage. What they have beside it is sketched for itself.
+    size = shared.groupBy("band", "key").agg(F.count("*").alias("size")).where(f"size > {SMALL}")
+    ruled = shared.join(size, ["band", "key"]).groupBy("rep").agg(F.count("*").alias("k"), F.min(F.struct("root_n", "root")).alias("r")).where(f"k > {RULED} and r.root <> rep")
+    ruled = written(ruled.select(F.col("rep").alias("a"), F.col("r.root").alias("b")), "ruled")
+    if not ruled.isEmpty():
+        rest = written(_residual(ruled, docs).select("rep", "n", F.posexplode("sketch").alias("band", "key")), "residual")
+        found = _crossed(rest, written(components(found, "near"), "components"), found, tested, docs)
+    out = components(found, "near")
+    for x in (roots, shared, ruled):
         forget(x)
     return out
 
 
+def _crossed(buckets: DataFrame, comp: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
+    """found, with the links among members (band, key, rep, n) of a bucket of at most SMALL that are in different components."""
+    own = comp.select(F.col("id").alias("__c"), "component")
+    members = buckets.join(own, F.col("rep") == F.col("__c"), "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"lo <> hi and size <= {SMALL}").select("band", "key")
+    members = written(members.join(mixed, ["band", "key"]), "mixed")
+    x, y = members.alias("x"), members.alias("y")
+    pairs = x.join(y, F.expr(f"x.band = y.band and x.key = y.key and x.rep < y.rep and x.c <> y.c and {_close('x.n', 'y.n')}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    more = written(verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), docs), "linked")
+    forget(members)
+    return found.unionByName(more)
+
+
+def _residual(ruled: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, n, sketch) of the k-mers of each ruled document a that its root b does not have."""
+    def sketched(x: str | None, y: str | None) -> tuple[int, list]:
+        w = words_of(x)
+        own, other = kmers(w), kmers(words_of(y))
+        rest = own[~np.isin(own, other)]
+        return len(w), sketch_of(rest).tolist() if len(rest) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketched(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int32()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["rep", "n", "sketch"])
+
+    return _texts(ruled, docs).mapInArrow(run, "rep long, n int, sketch array<long>")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each class, with all their columns; of rows with the least id, any one stays."""
+    """docs without all but one document of each class, with all their columns. Equal rows of an id that stays are one document."""
     classes = near_duplicate_classes(docs)
+    twice = written(classes.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"), "twice")
     gone = written(classes.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    return left
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
