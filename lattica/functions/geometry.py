@@ -246,3 +246,61 @@ def yaw_box_iou(a: Sequence[float], b: Sequence[float]) -> float:
     inter = polygon_area(clip_polygon(floor_plan(a), floor_plan(b))) * high
     union = a[3] * a[4] * a[5] + b[3] * b[4] * b[5] - inter
     return inter / union if union > 1e-12 else 0.0
+
+
+def look_at(eye: Sequence[Column], target: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """The pose of a camera at eye that looks at target with world z up: x right, y down, z forward. The identity if the two are
+    one point; where the view is vertical, x is to the right."""
+    f = [b - a for a, b in zip(eye, target, strict=True)]
+    n = length(f)
+    same = n < 1e-9
+    z = [x / F.when(same, 1.0).otherwise(n) for x in f]
+    right = [z[1], -z[0], F.lit(0.0)]  # forward x up
+    m = length(right[:2])
+    steep = m < 1e-6
+    x = [F.when(steep, F.lit(float(i == 0))).otherwise(r / F.when(steep, 1.0).otherwise(m)) for i, r in enumerate(right)]
+    y = [z[1] * x[2] - z[2] * x[1], z[2] * x[0] - z[0] * x[2], z[0] * x[1] - z[1] * x[0]]
+    r = [F.when(same, F.lit(float(i == j))).otherwise(row[j]) for i, row in enumerate((x, y, z)) for j in range(3)]
+    t = [-(r[3 * i] * eye[0] + r[3 * i + 1] * eye[1] + r[3 * i + 2] * eye[2]) for i in range(3)]
+    return r, t
+
+
+def scaled_intrinsics(fx, fy, cx, cy, sx: float, sy: float):
+    return fx * sx, fy * sy, cx * sx, cy * sy
+
+
+def cropped_intrinsics(fx, fy, cx, cy, left: float, upper: float):
+    return fx, fy, cx - left, cy - upper
+
+
+def matrix_quaternion(m: Sequence[Column]) -> list[Column]:
+    """x, y, z, w of a rotation, w not negative: by the greatest of the four, so that nothing small is divided by."""
+    tr = m[0] + m[4] + m[8]
+    parts = (tr, m[0] - m[4] - m[8], m[4] - m[0] - m[8], m[8] - m[0] - m[4])
+    best = F.greatest(*parts)
+    s = F.sqrt(best + 1.0) * 2
+    w4 = [(m[7] - m[5]) / s, (m[2] - m[6]) / s, (m[3] - m[1]) / s, s / 4]
+    x4 = [s / 4, (m[1] + m[3]) / s, (m[2] + m[6]) / s, (m[7] - m[5]) / s]
+    y4 = [(m[1] + m[3]) / s, s / 4, (m[5] + m[7]) / s, (m[2] - m[6]) / s]
+    z4 = [(m[2] + m[6]) / s, (m[5] + m[7]) / s, s / 4, (m[3] - m[1]) / s]
+    out = [F.when(parts[0] >= best, a).when(parts[1] >= best, b).when(parts[2] >= best, c).otherwise(d) for a, b, c, d in zip(w4, x4, y4, z4, strict=True)]
+    flip = F.when(out[3] < 0, -1.0).otherwise(1.0)
+    return [q * flip for q in out]
+
+
+def euler_matrix(roll: Column, pitch: Column, yaw: Column) -> list[Column]:
+    """Rotation about x, then y, then z."""
+    cr, sr, cp, sp, cy, sy = F.cos(roll), F.sin(roll), F.cos(pitch), F.sin(pitch), F.cos(yaw), F.sin(yaw)
+    return [cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr, sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr, -sp, cp * sr, cp * cr]
+
+
+#: Axes of a body (x forward, y left, z up) seen by a camera (x right, y down, z forward).
+OPTICAL = (0.0, -1.0, 0.0, 0.0, 0.0, -1.0, 1.0, 0.0, 0.0)
+
+
+def odometry_pose(p: Sequence[Column], q: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """World-to-camera pose of a camera on a body at p with the rotation q (x, y, z, w)."""
+    body = quaternion_matrix(*q)
+    inv = [body[3 * j + i] for i in range(3) for j in range(3)]
+    r = [sum(OPTICAL[3 * i + k] * inv[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)]
+    return r, [-(r[3 * i] * p[0] + r[3 * i + 1] * p[1] + r[3 * i + 2] * p[2]) for i in range(3)]

@@ -204,3 +204,32 @@ def answer_on(objects: DataFrame, anchor: str, margin: float = 0.05, reach: floa
 
 def answer_describe(objects: DataFrame) -> DataFrame:
     return objects.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+
+
+def to_english(queries: DataFrame, column: str = "query") -> DataFrame:
+    """queries with english: the shortest concept (then the first by name) of a text in Chinese or of one or two words, else the text."""
+    c = concepts(queries, column)
+    short = F.array_min(F.transform("concepts", lambda x: F.struct(F.length(x).alias("n"), x.alias("c"))))["c"]
+    brief = F.col(column).rlike(r"[一-鿿]") | (F.size(F.split(T.query_text(F.col(column)), " ")) <= 2)
+    return c.withColumn("english", F.when(brief & (F.size("concepts") > 0), short).otherwise(F.col(column))).drop("concepts")
+
+
+def ensemble(vectors: DataFrame, by: str = "query", feature: str = "e") -> DataFrame:
+    """One unit vector for each query: the mean of the unit vectors of its phrasings."""
+    parts = vectors.select(by, F.posexplode(X.unit(F.col(feature))).alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("x"))
+    return parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(by, X.unit(F.transform("p", lambda s: s["x"])).alias(feature))
+
+
+def region_views(boxes: DataFrame, width: int, height: int, scales: tuple[float, ...] = (1.0, 1.2, 1.5)) -> DataFrame:
+    """Square crops around boxes (x1, y1, x2, y2) at several scales, clipped to the image: one row for each view."""
+    view = F.explode(F.array(*[F.lit(s) for s in scales])).alias("scale")
+    b = boxes.select("*", view)
+    half = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * F.col("scale") / 2
+    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    clip = lambda x, hi: F.greatest(F.least(x, F.lit(float(hi))), F.lit(0.0))
+    return b.withColumn("vx1", clip(mx - half, width)).withColumn("vy1", clip(my - half, height)).withColumn("vx2", clip(mx + half, width)).withColumn("vy2", clip(my + half, height))
+
+
+def grounded(targets: DataFrame, objects: DataFrame) -> DataFrame:
+    """Targets (label) that a model named and the map has: others are taken for invented."""
+    return targets.join(objects.select(F.lower("label").alias("__l")).distinct(), F.lower("label") == F.col("__l"), "left_semi")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.functions import geometry as G
+from lattica.operators import language as L
+from lattica.operators import panorama
 from lattica.operators import perception as P
 from lattica.operators import policy, scene
 from lattica.queries import language as Q
 from lattica.queries import spatial as S
-from lattica.sources import synthetic, views
+from lattica.sources import scenes, synthetic, views
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -85,3 +88,72 @@ def policy_samples(spark, sf_dir):
 @query()
 def synthetic_rooms(spark, sf_dir):
     return synthetic.rooms(spark, [7, 11]).select("scene", "obj_id", "label", *r6("cx", "cy", "cz"))
+
+
+_FWD = "f as (select obj_id, cx/n as fx, cy/n as fy, cz/n as fz, sqrt(cx*cx+cy*cy)/n as m from (select *, sqrt(cx*cx+cy*cy+cz*cz) as n from objects) where n > 1e-9)"
+
+
+@query(f"with {views.OBJECTS}, {_FWD} select obj_id, round(fy/m,6) as r0, round(-fx/m,6) as r1, round(fz*fx/m,6) as r3, round(fz*fy/m,6) as r4, round(-(fx*fx+fy*fy)/m,6) as r5, round(fx,6) as r6 from f")
+def look_at_poses(spark, sf_dir):
+    r, _ = G.look_at([F.lit(0.0)] * 3, [F.col(f"c{k}") for k in G.AXES])
+    return views.objects(spark, sf_dir).select("obj_id", *[F.round(r[i], 6).alias(f"r{i}") for i in (0, 1, 3, 4, 5, 6)])
+
+
+@query(f"with {views.OBJECTS}, q as (select obj_id, e[1] as x, e[2] as y, e[3] as z, e[4] as w, sqrt(e[1]*e[1]+e[2]*e[2]+e[3]*e[3]+e[4]*e[4]) * (case when e[4] < 0 then -1 else 1 end) as n from objects) select obj_id, round(x/n,6) as x, round(y/n,6) as y, round(z/n,6) as z, round(w/n,6) as w from q")
+def rotation_quaternions(spark, sf_dir):
+    q = G.matrix_quaternion(G.quaternion_matrix(*[F.get("e", F.lit(i)) for i in range(4)]))
+    return views.objects(spark, sf_dir).select("obj_id", *[F.round(c, 6).alias(n) for c, n in zip(q, "xyzw", strict=True)])
+
+
+@query(f"with {views.OBJECTS}, o as (select label || '-' || obj_id as label from objects), c as (select regexp_replace(lower(label), '[-_]?[0-9]+$', '') as c from o) select c as class, count(*) as n from c where c like '%class3%' or 'class3' like '%' || c || '%' group by c")
+def class_counts(spark, sf_dir):
+    o = views.objects(spark, sf_dir).withColumn("label", F.concat_ws("-", "label", F.col("obj_id").cast("string")))
+    return scenes.of_classes(o, ["class3"]).groupBy(scenes.semantic_class(F.col("label")).alias("class")).agg(F.count("*").alias("n"))
+
+
+_BOXES2D = "b as (select obj_id as frame_id, label, conf as score, 10+abs(cx) as x1, 20+abs(cy) as y1, 10+abs(cx)+x1-x0 as x2, 20+abs(cy)+y1-y0 as y2, case when obj_id % 3 = 0 then 'low_score' else '' end as reason from objects)"
+
+
+def _labels2d(spark, sf_dir):
+    o = views.objects(spark, sf_dir)
+    x, y = 10 + F.abs("cx"), 20 + F.abs("cy")
+    return o.select(F.col("obj_id").alias("frame_id"), "label", F.col("conf").alias("score"), x.alias("x1"), y.alias("y1"), (x + F.col("x1") - F.col("x0")).alias("x2"), (y + F.col("y1") - F.col("y0")).alias("y2"), F.when(F.col("obj_id") % 3 == 0, "low_score").otherwise("").alias("reason"))
+
+
+@query(f"with {views.OBJECTS}, {_BOXES2D.replace('x1-x0', 'objects.x1-objects.x0').replace('y1-y0', 'objects.y1-objects.y0')} select label as name, dense_rank() over (order by label)::int as id from (select distinct label from b where reason = '')")
+def label_categories(spark, sf_dir):
+    return scenes.coco(_labels2d(spark, sf_dir))[0]
+
+
+@query()
+def label_annotations(spark, sf_dir):
+    return scenes.coco(_labels2d(spark, sf_dir))[1]
+
+
+@query(f"with {views.OBJECTS}, f as (select obj_id % 10 as capture, obj_id as frame, row_number() over (partition by obj_id % 10 order by obj_id) - 1 as i, count(*) over (partition by obj_id % 10) as n from objects), p as (select n, round_even(j*(n-1)/6.0::double, 0)::bigint as i from (select distinct n from f), range(7) t(j)) select capture, frame from f where n <= 7 or (n, i) in (select (n, i) from p)")
+def picked_frames(spark, sf_dir):
+    f = views.objects(spark, sf_dir).select((F.col("obj_id") % 10).alias("capture"), F.col("obj_id").alias("frame"))
+    return scenes.picked_frames(f, "capture", 7)
+
+
+@query()
+def box_frames(spark, sf_dir):
+    r, t = [F.lit(x) for x in S._ROT], [F.lit(x) for x in S._POS]
+    depth = spark.range(160 * 120).select((F.col("id") % 160).cast("int").alias("u"), F.floor(F.col("id") / 160).cast("int").alias("v"), F.lit(6.0).alias("m"))
+    return panorama.boxes_in_frame(views.objects(spark, sf_dir).where("obj_id % 10 = 0"), depth, r, t, **S._CAM, width=160, height=120).select("obj_id", *r6("visible", "range"), "x1", "y1", "x2", "y2")
+
+
+@query()
+def english_queries(spark, sf_dir):
+    return L.to_english(Q._asked(spark))
+
+
+@query(f"with {views.OBJECTS}, {_BOXES2D.replace('x1-x0', 'objects.x1-objects.x0').replace('y1-y0', 'objects.y1-objects.y0')}, v as (select *, unnest([1.0::double, 1.2, 1.5]) as scale from b), h as (select *, greatest(x2-x1, y2-y1)*scale/2 as half, (x1+x2)/2 as mx, (y1+y2)/2 as my from v) select frame_id, scale, round(greatest(least(mx-half,12.0),0.0),6) as vx1, round(greatest(least(my-half,22.0),0.0),6) as vy1, round(greatest(least(mx+half,12.0),0.0),6) as vx2, round(greatest(least(my+half,22.0),0.0),6) as vy2 from h")
+def region_views(spark, sf_dir):
+    return L.region_views(_labels2d(spark, sf_dir), 12, 22).select("frame_id", F.col("scale").cast("double").alias("scale"), *r6("vx1", "vy1", "vx2", "vy2"))
+
+
+@query(f"with {views.OBJECTS}, u as (select label, obj_id, e, sqrt({Q._DOT('e', 'e')}) as n from objects where obj_id < 40), p as (select label, i, avg(e[i+1]/n) as x from u, range(64) t(i) group by label, i), s as (select label, sqrt(sum(x*x)) as n from p group by label) select label, round(p.x/s.n,6) as first from p join s using (label) where i = 0")
+def text_ensembles(spark, sf_dir):
+    o = views.objects(spark, sf_dir).where("obj_id < 40")
+    return L.ensemble(o, "label").select("label", F.round(F.get("e", F.lit(0)), 6).alias("first"))

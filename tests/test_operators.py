@@ -460,3 +460,52 @@ def test_control():
     assert t.summary()["count"] == 4 and t.summary()["p50"] == 3.0
     known = {"query.top_k": 5, "geometry.voxel_size": 0.05}
     assert control.plan_update({"query.top_k": 7}, known) == ({"query.top_k": 7}, "") and control.plan_update({"query.top_k": 7, "geometry.voxel_size": 1}, known)[0] == {} and control.plan_update({"x": 1}, known)[1]
+
+
+def test_scene_index(spark):
+    from lattica.sources import scenes
+
+    schema = "scene_id long, k array<double>, rtilt array<double>, boxes array<struct<label:string,center:array<double>,basis:array<double>,coeffs:array<double>>>"
+    boxes = [("bed", [1.0, 2.0, 3.0], [0.0, 1.0, 0.0], [0.5, -1.0, 0.25]), ("rug", [0.0] * 3, [1.0, 0.0, 0.0], [1.0, 1.0, 0.0])]
+    got = scenes.index_boxes(spark.createDataFrame([(1, [1.0] * 9, [1.0] * 9, boxes), (2, None, [1.0] * 9, boxes)], schema)).collect()
+    assert len(got) == 1 and (got[0].dx, got[0].dy, got[0].dz) == (1.0, 2.0, 0.5) and got[0].heading == pytest.approx(math.pi / 2)
+    flat = spark.createDataFrame([(1, ["a", "b", "c", "d"], 1, 3)], "scene_id long, boxes array<string>, start int, stop int")
+    assert [r.box for r in scenes.box_slices(flat).collect()] == ["b", "c"]
+    d = spark.createDataFrame([(0, 0, 1, ["<UNK>_0", "chair_12"]), (0, 1, 0, ["x"])], "r int, g int, b int, names array<string>")
+    assert [r[0] for r in d.select(scenes.class_at(F.col("r"), F.col("g"), F.col("b"), F.col("names"))).collect()] == ["chair", None]
+    n = spark.createDataFrame([(" Night Stand ",), ("tv",)], "n string")
+    assert [r[0] for r in n.select(scenes.class_name(F.col("n"), {"tv": "monitor"})).collect()] == ["night_stand", "monitor"]
+    f = spark.createDataFrame([("u", i) for i in range(10)], "uuid string, frame int")
+    assert sorted(r.frame for r in scenes.picked_frames(f, "uuid", 3).collect()) == [0, 4, 9]
+
+
+def test_poses(spark):
+    cols = lambda xs: [F.lit(float(x)) for x in xs]
+    r, t = G.look_at(cols([0, -2, 1]), cols([0, 0, 1]))
+    seen = G.transform(r, t, cols([1, 0, 3]))
+    same, _ = G.look_at(cols([1, 1, 1]), cols([1, 1, 1]))
+    up, _ = G.look_at(cols([0, 0, 0]), cols([0, 0, 5]))
+    ro, to = G.odometry_pose(cols([1, 0, 0]), cols([0, 0, 0, 1]))
+    ahead = G.transform(ro, to, cols([3, 0.5, 0.2]))
+    e = G.matrix_quaternion(G.euler_matrix(F.lit(0.0), F.lit(0.0), F.lit(math.pi)))
+    row = spark.range(1).select(F.array(*seen).alias("seen"), F.array(*same).alias("same"), F.array(*up).alias("up"), F.array(*ahead).alias("ahead"), F.array(*e).alias("e")).first()
+    assert row.seen == pytest.approx([1, -2, 2]) and row.same == [1, 0, 0, 0, 1, 0, 0, 0, 1] and row.up[6:] == [0, 0, 1] and row.ahead == pytest.approx([-0.5, -0.2, 2]) and np.abs(row.e) == pytest.approx([0, 0, 1, 0], abs=1e-9)
+
+
+def test_box_in_frame(spark):
+    cols = lambda xs: [F.lit(float(x)) for x in xs]
+    r, t = cols([1, 0, 0, 0, 0, -1, 0, 1, 0]), cols([0, 0, 4])  # at (0, -4, 0), looking along y
+    o = box(spark, (1, "a", 0, 0, 0, 0.5, 0.5, 0.5), (2, "b", 0, -4, 0, 1, 1, 1), (3, "c", 0, -9, 0, 0.2, 0.2, 0.2))
+    depth = spark.range(100 * 100).select((F.col("id") % 100).cast("int").alias("u"), F.floor(F.col("id") / 100).cast("int").alias("v"), F.lit(9.0).alias("m"))
+    got = P.boxes_in_frame(o, depth, r, t, 50.0, 50.0, 49.5, 49.5, 100, 100).collect()
+    assert [x.obj_id for x in got] == [1] and got[0].visible == 1.0 and got[0].range == pytest.approx(4.0, abs=0.2)
+    hidden = P.boxes_in_frame(o, depth.withColumn("m", F.lit(2.0)), r, t, 50.0, 50.0, 49.5, 49.5, 100, 100).first()
+    assert hidden.visible == 0.0
+
+
+def test_grounded_and_english(spark):
+    t = spark.createDataFrame([("Cup",), ("dragon",)], "label string")
+    o = spark.createDataFrame([("cup",)], "label string")
+    assert [r.label for r in L.grounded(t, o).collect()] == ["Cup"]
+    q = spark.createDataFrame([("沙发",), ("a very long question about a couch",)], "query string")
+    assert [r.english for r in L.to_english(q).orderBy("query").collect()] == ["a very long question about a couch", "sofa"]
