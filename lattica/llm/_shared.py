@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,14 +80,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Links, counted, that one task of an executor may hold; sixteen bytes each. More go through rounds of joins.
+FEW_LINKS = 250_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all links of a task."""
+    rows = [np.column_stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]) for b in batches]
+    if not rows:
+        return
+    ids, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    pairs = flat.reshape(-1, 2)
+    label = np.arange(len(ids))
+    while True:
+        low = label[pairs].min(axis=1)
+        new = label.copy()
+        np.minimum.at(new, label[pairs[:, 0]], low)
+        np.minimum.at(new, label[pairs[:, 1]], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[label]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """Connected components of links (a, b): one row (id, component) for each id in a link, component the smallest id.
 
-    Large-star and small-star rounds, each written to the shared folder. Every round is a pair of pre-aggregated minima
-    and joins on them, so that no node's neighbours are gathered in one task, and nothing but two figures reaches the driver.
+    Up to FEW_LINKS of them, by their count, are united by one task. More take large-star and small-star rounds, each written
+    to the shared folder: a round is a pair of pre-aggregated minima and joins on them, so that no node's neighbours are
+    gathered in one task. Nothing but two figures reaches the driver.
     """
-    spark = links.sparkSession
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    links = written(links.where("a <> b").select("a", "b"), f"{name}-links")
+    if links.count() <= FEW_LINKS:
+        return links.coalesce(1).mapInArrow(_united, "id long, component long")
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

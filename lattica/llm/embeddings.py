@@ -126,7 +126,7 @@ def near_embeddings(vectors: DataFrame, tile: int = TILE) -> DataFrame:
     packed = dealt.select("label", "d", "tile", "rep", "c", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "e").mapInArrow(pack, f"label {kind}, d int, tile int, rep long, c long, i int, j int, vector binary")
     found = written(packed.groupBy("label", "d", "i", "j").applyInPandas(_run, _TILE_OUT), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), "embeddings").withColumnRenamed("id", "rep")
+    comp = written(components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), "embeddings"), "components").withColumnRenamed("id", "rep")
     per = reps.join(links, "rep", "left").join(comp, "rep", "left").select("label", "d", "same", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("vec_id", "label", "d", "same").join(per, ["label", "d", "same"], "left")
     least = F.coalesce("component_id", "vec_id")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lattica.llm import bpe, embeddings, html_extract, minhash, mixing, pii, quality, queries, secrets, tokens, urls
+from lattica.llm import _shared, bpe, embeddings, html_extract, minhash, mixing, pii, quality, queries, secrets, tokens, urls
 from tests.llm import brute
 
 LONG = "alpha beta gamma delta " * 6000
@@ -103,6 +103,17 @@ def test_alignment():
             assert minhash.similar(a, b) == (5 * row[-1] >= 4 * (len(a) + len(b) - row[-1]))
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(_shared, "FEW_LINKS", few)
+    r = random.Random(6)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    got = {x.id: x.component for x in _shared.components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
+    want = brute.components({x for ab in links for x in ab if ab[0] != ab[1]}, links)
+    assert got == want
+    assert _shared.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
 def test_near_duplicates_odd(spark, odd):
     got = minhash.near_duplicate_classes(odd).toPandas()
     assert len(got) == len(ODD) and list(got.columns) == ["doc_id", "class_id", "kept"]
