@@ -25,7 +25,7 @@ def normalized_caption(text: Column) -> Column:
 
 
 def squeezed(t: Column) -> Column:
-    t = F.regexp_replace(t, "[​‌‍﻿]", " ")
+    t = F.regexp_replace(t, "[\u200b\u200c\u200d\ufeff]", " ")
     t = F.regexp_replace(t, r"([!?.,;:])\1{2,}", "$1")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

@@ -23,7 +23,7 @@ def query(sql=None):
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
-_RUNS = "regexp_replace({}, '[​‌‍﻿]', ' ', 'g')"
+_RUNS = "regexp_replace({}, '[\u200b\u200c\u200d\ufeff]', ' ', 'g')"
 for _m, _p in (("!", "!"), ("?", "\\?"), (".", "\\."), (",", ","), (";", ";"), (":", ":")):
     _RUNS = f"regexp_replace({_RUNS}, '{_p}{{3,}}', '{_m}', 'g')"
 _SQUEEZED = "trim(regexp_replace(" + _RUNS.replace("{}", "regexp_replace(text, '<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
