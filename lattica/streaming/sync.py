@@ -16,7 +16,8 @@ SLOP, MAX_AGE = 0.05, 0.5
 def nearest_in_time(left: DataFrame, right: DataFrame, by: str, slop: float, t: str = "t", key: str = "id") -> DataFrame:
     """left with the nearest row of right (its key and time) within slop, ties to the earlier; rows without one are dropped.
 
-    Works on batches and on streams: an equi-join on buckets of slop, each left row in its own and both next to it.
+    An equi-join on buckets of slop, each left row in its own and both next to it; streams call it on what a batch brings and
+    the tail of the batch before it.
     """
     b = F.floor(F.col(t) / slop).cast("long")
     spread = left.withColumn("__b", F.explode(F.array(b - 1, b, b + 1)))
