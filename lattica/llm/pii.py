@@ -118,7 +118,7 @@ def _discovered(found: DataFrame, docs: DataFrame) -> DataFrame:
     edge = written(edge.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0)), "graph")
     for _ in range(ROUNDS):
         p = edge.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"))
-        scored = edge.drop("score").join(p, "pattern")
+        scored = edge.drop("score", "p").join(p, "pattern")
         t = scored.groupBy("token").agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col("p"), F.lit(1e-6)))))).alias("score"))
         edge = written(scored.join(t, "token").select("pattern", "token", "n", "seed", "total", "p", "score"), "graph")
     sure = edge.where(f"not seed and p >= {MIN_PATTERN} and score >= {MIN_INSTANCE}").select("pattern", "token").distinct()
