@@ -14,7 +14,7 @@ from ._shared import WORD, mix64, written
 
 WEIGHTS, MAX_REPEAT = (5.0, 2.0, 1.0), 3
 #: Units that a block of the flight holds, and units it may leave undecided for the next level or the landing.
-BLOCK, LEFT = 20_000, 8
+BLOCK, LEFT = 4_000, 8
 SEED = 41
 #: Sources whose totals may be broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
