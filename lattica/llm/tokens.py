@@ -25,7 +25,7 @@ from ._shared import mix64, shared_dir
 
 SHARD_IDS = 1 << 20
 END_ID = 2
-CACHE = 1 << 19  # words and pieces a worker remembers
+CACHE = 3 << 18  # words and pieces a worker remembers
 
 # ---------------------------------------------------------------------------------------------------- the hash index
 
