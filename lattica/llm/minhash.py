@@ -7,14 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import components, forget, mix64, written
 
 K, SKETCHES, SIMILARITY_PERCENT = 5, 24, 80
-#: Members above which a bucket is large, and how many large buckets a document may have before it is sketched again.
-SMALL, RULED = 48, 8
+#: Members above which a bucket is large.
+SMALL = 48
+#: Counts of words by hash that bound a similarity, and members of a bucket's block, of which two meet in a task.
+COUNTS, BLOCK = 128, 512
+#: Large buckets elect further roots while at least this share of the pairs that meet one is linked.
+WORTH = 0.02
 _DROP = b".,;:!?\"'()[]{}"
 
 
@@ -181,11 +185,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     Every pair whose five-word shingles have a Jaccard similarity of 0.8 in text order is above that, and shares a value but
     for odds of 0.36 ** 24. Classes are the components of the links.
 
-    Each bucket is compared with its shortest member. A passage that many documents share links two of them only if it is
-    nearly all of both, and then each is linked to the shortest that has it. Members of a bucket of at most SMALL that are
-    still in different components meet in pairs. Larger buckets are those of shared passages: documents that have more than
-    RULED of them are sketched again without what they share with the shortest, and meet by that; any other has at least
-    SKETCHES - RULED further buckets in which it meets what is like it.
+    Each bucket is compared with its shortest member. Members of a bucket of at most SMALL that are still in different
+    components meet in pairs. Larger buckets elect further roots while that links many; then all their members that are in
+    different components meet in blocks: counts of their words bound the similarity from above, and pairs that the bound
+    leaves open are aligned.
 
     Texts without words equal only the same text. Null and empty texts are the same. Null ids have no class and are kept.
     Repeated rows are copies, of which those with the least id stay: kept is by id. Other columns are not read.
@@ -223,19 +226,147 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     comp = written(components(found, "near"), "components")
     tested = stars.select(F.least("root", "rep").alias("a"), F.greatest("root", "rep").alias("b"))
     found = _crossed(shared, comp, found, tested, docs)
-    # Documents that many large buckets hold share a long passage. What they have beside it is sketched for itself.
     size = shared.groupBy("band", "key").agg(F.count("*").alias("size")).where(f"size > {SMALL}")
-    ruled = shared.join(size, ["band", "key"]).groupBy("rep").agg(F.count("*").alias("k"), F.min(F.struct("root_n", "root")).alias("r")).where(f"k > {RULED} and r.root <> rep")
-    ruled = written(ruled.select(F.col("rep").alias("a"), F.col("r.root").alias("b")), "ruled")
-    if not ruled.isEmpty():
-        rest = written(_residual(ruled, docs).select("rep", "n", F.posexplode("sketch").alias("band", "key")), "residual")
-        found = _crossed(rest, written(components(found, "near"), "components"), found, tested, docs)
+    large = written(shared.join(size, ["band", "key"]).select("band", "key", "rep", "n", "root"), "large")
+    if not large.isEmpty():
+        found = _elected(large, found, tested, docs)
+        found = _blocks(large, found, docs)
     out = components(found, "near")
-    for x in (roots, shared, ruled):
+    for x in (roots, shared, large):
         forget(x)
     return out
 
 
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (band, key, rep, n, root) of buckets that hold several components, with their component c."""
+    own = written(components(found, "near"), "components").select(F.col("id").alias("__c"), "component")
+    members = buckets.join(own, F.col("rep") == F.col("__c"), "left").withColumn("c", F.coalesce("component", "rep")).drop("__c", "component")
+    mixed = members.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
+    return written(members.join(mixed, ["band", "key"]), "mixed")
+
+
+def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
+    """found, with the links of large buckets to further roots: the shortest member whose component has no root yet.
+
+    It spares _blocks the pairs of large groups of copies and decides nothing: what a round leaves meets there.
+    """
+    met = large.select("band", "key", "root").distinct()
+    while True:
+        members = _mixed(large.select("band", "key", "rep", "n"), found)
+        done = members.join(met, ["band", "key"]).where("rep = root").select("band", "key", "c").distinct()
+        left = members.join(done, ["band", "key", "c"], "left_anti")
+        root = written(left.groupBy("band", "key").agg(F.min(F.struct("n", "rep")).alias("r")).select("band", "key", F.col("r.rep").alias("root"), F.col("r.n").alias("root_n")), "roots")
+        pairs = left.join(root, ["band", "key"]).where(f"rep <> root and {_close('n', 'root_n')}").select(F.least("rep", "root").alias("a"), F.greatest("rep", "root").alias("b"))
+        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = written(verified(pairs, docs), "linked")
+        found = found.unionByName(more)
+        met = met.unionByName(root.select("band", "key", "root"))
+        n, linked = pairs.count(), more.count()
+        forget(members)
+        if not linked or linked < WORTH * n:
+            return found
+
+
+def _word_counts(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, counts, text): how many words of each representative have each of COUNTS hashes, 255 at most, as bytes."""
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.bincount(np.array([xxhash.xxh3_64_intdigest(w) % COUNTS for w in words_of(x)], np.int64), minlength=COUNTS) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in rows], pa.binary()), b.column(1)], ["rep", "counts", "text"])
+
+    # An id with several texts has a row for each, as in verified().
+    return text.join(reps, "rep", "left_semi").mapInArrow(run, "rep long, counts binary, text string")
+
+
+def _tile_links(t: pa.Table) -> pa.Table:
+    """Links (a, b) that unite the components of a tile's rows (bucket, buckets, first, rep, n, c, counts, text).
+
+    A pair meets in the first of the buckets that both are in. Lengths and counts bound the similarity; what they leave open
+    is aligned, unless links of this tile have united it: there are fewer links than rows.
+    """
+    first, rep, n, c = (t[k].to_numpy() for k in ("first", "rep", "n", "c"))
+    counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS)
+    bucket, text, buckets = t["bucket"][0].as_py(), t["text"], t["buckets"]
+    order = np.argsort(n, kind="stable")
+    first, rep, n, c, counts = first[order], rep[order], n[order].astype(np.int64), c[order], counts[order]
+    earlier: dict[int, set] = {}
+    words: dict[int, list] = {}
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    def before(x: int) -> set:
+        if x not in earlier:
+            earlier[x] = {k for k in buckets[int(order[x])].as_py() if k < bucket}
+        return earlier[x]
+
+    def split(x: int) -> list:
+        if x not in words:
+            words[x] = words_of(text[int(order[x])].as_py())
+        return words[x]
+
+    one = bool(first.all())
+    others = np.arange(len(n)) if one else np.flatnonzero(~first)
+    lengths = n[others]
+    a, b = [], []
+    for x in np.flatnonzero(first).tolist():
+        lo = x + 1 if one else np.searchsorted(lengths, -(-n[x] * SIMILARITY_PERCENT // 100))
+        hi = np.searchsorted(lengths, n[x] * 100 // SIMILARITY_PERCENT, "right")
+        y = others[lo:hi]
+        y = y[c[y] != c[x]]
+        if not len(y):
+            continue
+        apart = (np.maximum(counts[y], counts[x]) - np.minimum(counts[y], counts[x])).sum(axis=1, dtype=np.int64)
+        for z in y[apart <= (n[y] + n[x]) * (100 - SIMILARITY_PERCENT) // (100 + SIMILARITY_PERCENT)].tolist():
+            i, j = root(int(c[x])), root(int(c[z]))
+            if i != j and before(x).isdisjoint(before(z)) and similar(split(x), split(z)):
+                up[max(i, j)] = min(i, j)
+                a.append(min(rep[x], rep[z]))
+                b.append(max(rep[x], rep[z]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _blocks(large: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found, with all links among members of large buckets that are in different components.
+
+    Members are dealt to classes of length, of which only neighbours hold similar texts, and those to blocks; two blocks
+    meet in a tile, so that the pairs of one bucket are dealt over many tasks.
+    """
+    members = _mixed(large.select("band", "key", "rep", "n"), found)
+    members = members.withColumn("at", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SIMILARITY_PERCENT))).cast("int"))
+    sizes = members.groupBy("band", "key", "at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.groupBy("band", "key").agg(F.map_from_entries(F.collect_list(F.struct("at", "blocks"))).alias("blocks"))
+    counts = written(_word_counts(members.select("rep").distinct(), docs), "counts")
+
+    def blocks(of: str) -> Column:
+        n = F.expr(f"blocks[{of}]")
+        return F.when(n.isNotNull(), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def tile(at: Column, step: int, i: Column, j: Column, first: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), first.alias("first"))
+
+    at, own = F.col("at"), F.col("own")
+    rows = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.expr("blocks[at]")).cast("int"))
+    tiles = F.concat(
+        F.transform(blocks("at"), lambda j: tile(at, 0, F.least(own, j), F.greatest(own, j), own <= j)),
+        F.transform(blocks("at + 1"), lambda j: tile(at, 1, own, j, F.lit(True))),
+        F.transform(blocks("at - 1"), lambda i: tile(at - 1, 1, i, own, F.lit(False))),
+    )
+    bucket = F.xxhash64("band", "key")
+    counts = counts.join(members.groupBy("rep").agg(F.collect_set(bucket).alias("buckets")), "rep")
+    rows = rows.join(counts, "rep").select("band", "key", bucket.alias("bucket"), "buckets", "rep", "n", "c", "counts", "text", F.explode(tiles).alias("t"))
+    rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.step").alias("step"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "rep", "n", "c", "counts", "text")
+    more = written(rows.groupBy("band", "key", "at", "step", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked")
+    forget(members)
+    forget(counts)
+    return found.unionByName(more)
+
+
 def _crossed(buckets: DataFrame, comp: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
     """found, with the links among members (band, key, rep, n) of a bucket of at most SMALL that are in different components."""
     own = comp.select(F.col("id").alias("__c"), "component")
@@ -249,22 +380,6 @@ def _crossed(buckets: DataFrame, comp: DataFrame, found: DataFrame, tested: Data
     return found.unionByName(more)
 
 
-def _residual(ruled: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, n, sketch) of the k-mers of each ruled document a that its root b does not have."""
-    def sketched(x: str | None, y: str | None) -> tuple[int, list]:
-        w = words_of(x)
-        own, other = kmers(w), kmers(words_of(y))
-        rest = own[~np.isin(own, other)]
-        return len(w), sketch_of(rest).tolist() if len(rest) else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [sketched(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int32()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["rep", "n", "sketch"])
-
-    return _texts(ruled, docs).mapInArrow(run, "rep long, n int, sketch array<long>")
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class, with all their columns. Equal rows of an id that stays are one document."""
     classes = near_duplicate_classes(docs)

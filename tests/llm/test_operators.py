@@ -85,6 +85,34 @@ def test_shared_passage_links_nothing(spark):
     assert all(got.class_id[i] == i for i in range(120)) and all(got.class_id[1000 + i] == 5 for i in range(60))
 
 
+def test_abridged_versions_hide_no_copies(spark):
+    """Every bucket of the copies holds a shorter text that is not similar, and more members than meet in pairs."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    base = [word() for _ in range(150)]
+    rows = [(i, " ".join([*base[: 20 * i], *base[20 * i + 40 :]])) for i in range(6)]
+    rows += [(100 + i, " ".join([*base, word()])) for i in range(120)]
+    got = minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert all(got.class_id[i] == i for i in range(6)) and all(got.class_id[100 + i] == 100 for i in range(120))
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_large_buckets_meet_in_blocks(spark, monkeypatch, block):
+    """Without further roots, and in tiles of any size, the pairs among unlike documents with a common passage are found."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WORTH", 2.0)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(90)]
+    rows = [(i, " ".join([*passage, *[word() for _ in range(r.randint(30, 70))]])) for i in range(90)]
+    rows += [(1000 + i, " ".join([*t.split()[:-3], *[word() for _ in range(3)]])) for i, t in rows[:40]]
+    got = minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    words = {i: minhash.words_of(t) for i, t in rows}
+    ids = sorted(words)
+    comp = brute.components(ids, [(a, b) for a in ids for b in ids if a < b and minhash.similar(words[a], words[b])])
+    assert len(set(comp.values())) > 60 and all(got.class_id[i] == comp[i] for i in ids)
+
+
 def test_alignment():
     r = random.Random(3)
     for _ in range(300):
