@@ -140,7 +140,7 @@ def picked_frames(spark, sf_dir):
 def box_frames(spark, sf_dir):
     r, t = [F.lit(x) for x in S._ROT], [F.lit(x) for x in S._POS]
     depth = spark.range(160 * 120).select((F.col("id") % 160).cast("int").alias("u"), F.floor(F.col("id") / 160).cast("int").alias("v"), F.lit(6.0).alias("m"))
-    return panorama.boxes_in_frame(views.objects(spark, sf_dir).where("obj_id % 10 = 0"), depth, r, t, **S._CAM, width=160, height=120).select("obj_id", *r6("visible", "range"), "x1", "y1", "x2", "y2")
+    return panorama.boxes_in_frame(views.objects(spark, sf_dir), depth, r, t, **S._CAM, width=160, height=120).select("obj_id", *r6("visible", "range"), "x1", "y1", "x2", "y2")
 
 
 @query()

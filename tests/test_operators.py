@@ -22,7 +22,9 @@ from lattica.operators import reward as R
 from lattica.operators import sequences as S
 from lattica.operators import spatial, voxels
 from lattica.plans import rewrites
-from lattica.sources import files
+from lattica.queries import scenes as scene_queries
+from lattica.queries import spatial as spatial_queries
+from lattica.sources import files, views
 from lattica.streaming import codec, sync
 
 
@@ -509,3 +511,11 @@ def test_grounded_and_english(spark):
     assert [r.label for r in L.grounded(t, o).collect()] == ["Cup"]
     q = spark.createDataFrame([("沙发",), ("a very long question about a couch",)], "query string")
     assert [r.english for r in L.to_english(q).orderBy("query").collect()] == ["a very long question about a couch", "sofa"]
+
+
+def test_box_frames_has_all_objects(spark, sf_dir):
+    r, t = [F.lit(x) for x in spatial_queries._ROT], [F.lit(x) for x in spatial_queries._POS]
+    depth = spark.range(160 * 120).select((F.col("id") % 160).cast("int").alias("u"), F.floor(F.col("id") / 160).cast("int").alias("v"), F.lit(6.0).alias("m"))
+    want = P.boxes_in_frame(views.objects(spark, sf_dir), depth, r, t, **spatial_queries._CAM, width=160, height=120).select("obj_id")
+    got = [x.obj_id for x in scene_queries.box_frames(spark, sf_dir).select("obj_id").collect()]
+    assert sorted(got) == sorted(x.obj_id for x in want.collect()) and any(i % 10 for i in got)
