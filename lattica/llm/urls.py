@@ -141,9 +141,8 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], blocked: Data
     rows = rows.withColumn("__rule", best)
     verdict = F.lit("allow")
     if blocked is not None:
-        most = 12
         own = written(blocked.select(F.translate("key", _UPPER, _LOWER).alias("key")).distinct(), "blocked")
-        counts = [r[0] for r in own.select((F.size(F.split("key", r"\."))).alias("n")).distinct().where(F.col("n") <= most).orderBy("n").collect()]
+        counts = [r[0] for r in own.select((F.size(F.split("key", r"\."))).alias("n")).distinct().orderBy("n").collect()]
         if counts:
             hosts = candidates(F.col("host"), F.lit(""), counts, [0])
             cascade = build_cascade(own, rows.select(F.explode(hosts).alias("key")), 9000)

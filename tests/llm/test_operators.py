@@ -403,3 +403,10 @@ def test_tables_of_one_kind(spark):
     rows = pd.DataFrame({"doc_id": range(60), "text": ["the same words of a good text go on and on until there are enough of them for the rules to hold " + str(i) for i in range(60)]})
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert quality.quality_rules(spark.createDataFrame(rows), labels).where("kept").count() == 60
+
+
+def test_listed_hosts_of_many_labels(spark):
+    host = ".".join("abcdefghijklm") + ".example.org"
+    pages = spark.createDataFrame([(1, f"http://{host}/x"), (2, f"http://n.{host}/"), (3, "http://m.example.org/")], "page_id long, url string")
+    got = urls.url_filter(pages, [("com/", "allow")], spark.createDataFrame([(host,)], "key string"))
+    assert {x.page_id: x.verdict for x in got.collect()} == {1: "block", 2: "block", 3: "allow"}
