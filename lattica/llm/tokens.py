@@ -13,7 +13,7 @@ import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from ._shared import mix64, shared_dir
 
 SHARD_IDS = 1 << 20
 END_ID = 2
-CACHE = 3 << 18  # words and pieces a worker remembers
+#: Bytes of pieces that a worker remembers, characters that it encodes at a time, and of the longest piece that it remembers.
+MEMORY, SLICE, LONG_WORD = 96 << 20, 1 << 21, 128
 
 # ---------------------------------------------------------------------------------------------------- the hash index
 
@@ -124,32 +125,69 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+class Memory:
+    """What a worker remembers, in two generations: a hit in the old one moves to the young one, and when the young one holds
+    half of `most` bytes the old one goes. Bytes are counted as Python's own objects take them, table slots included."""
+
+    ENTRY = 33 + 49 + 100 + 2 * 8  # a bytes and a str header, a slot at the usual load, rounding
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old, self.held = most, {}, {}, 0
+
+    def recall(self, keys: set) -> set:
+        """Those of keys that are not known; the others are in the young generation now."""
+        missing = keys.difference(self.young)
+        again = missing.intersection(self.old)
+        if again:
+            self.put({k: self.old[k] for k in again})
+            missing -= again
+        return missing
+
+    def put(self, items: dict) -> None:
+        self.young.update(items)
+        self.held += len(items) * self.ENTRY + sum(map(len, items)) + sum(map(len, items.values()))
+
+    def turn(self) -> None:
+        """Between slices, when nothing looks up keys that it has recalled."""
+        if self.held > self.most // 2:
+            self.old, self.young, self.held = self.young, {}, 0
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, one library call for the words that a batch brings anew.
+    """Ids of whole texts by the tokenizers library, one library call for the pieces that a slice brings anew.
+
+    The tokenizer at hand drops white space, so ids of a text are those of its words in order. A word of plain characters is
+    the sequence of its pre-tokens, and the last id of each pre-token, and no other, ends with the word-end mark: unknown
+    pre-tokens are encoded as one text and cut there. Any other word is a piece of its own that goes to the library whole.
+    Long pieces are not remembered. The strings of special tokens are their ids, as the plain library call has it.
 
-    The tokenizer at hand drops white space, so ids of a text are those of its words in order. A word of Latin letters,
-    digits and marks is the sequence of its pre-tokens, and the last id of each pre-token, and no other, ends with the
-    word-end mark: unknown pre-tokens are encoded as one text and cut there. Any other word goes to the library whole.
+    Texts are encoded in slices of about SLICE bytes that end before white space, so that a batch's pieces are never in memory
+    at once; what is remembered is bounded by its bytes.
     """
 
+    #: Plain: Latin letters, digits and marks that neither normal forms nor lower case turn into others.
+    MARKS = "¡§«°·»¿–—‘’“”•…€"
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    PLAIN = re.compile(f"[\t-\r -~À-ÖØ-öø-ÿ{MARKS}]*+")
+    SPACE = re.compile("[ \t-\r]")
+    ODD = "\0"  # before a word that is a piece; no pre-token of plain text has it
 
-    def __init__(self, path: str, dtype: str):
-        self.t, self.dtype = _tokenizer(path), dtype
+    def __init__(self, path: str, dtype: str, memory: int = MEMORY, slice_bytes: int = SLICE):
+        self.t, self.dtype, self.slice = _tokenizer(path), dtype, slice_bytes
         self.size = np.dtype(dtype).itemsize
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = Memory(memory)
         self.ends = np.zeros(self.t.get_vocab_size(), bool)
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.special = {x.content: np.array([i], dtype).tobytes() for i, x in self.t.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, cut from those of texts that have them as words."""
+        out = {}
         coded = self.t.encode_batch_fast([" ".join(new[i : i + 2000]) for i in range(0, len(new), 2000)], add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, self.dtype) for e in coded])
         cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -157,34 +195,63 @@ class WordEncoder:
             raise ValueError("the tokenizer does not end each pre-token with its mark")
         raw, at = ids.tobytes(), 0
         for word, cut in zip(new, (cuts * self.size).tolist(), strict=True):
-            self.parts[word] = raw[at:cut]
+            out[word] = raw[at:cut]
             at = cut
+        return out
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.PLAIN.fullmatch(text):
+            return self.PIECES.findall(text.lower())
+        out = []
+        for w in self.SPACE.split(text):
+            out += self.PIECES.findall(w.lower()) if self.PLAIN.fullmatch(w) else [self.ODD + w]
+        return out
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        missing = set(itertools.chain.from_iterable(split)).difference(self.words)
-        plain, odd, new = [], [], set()
-        for w in missing:
-            s = w.decode()
-            if self.PLAIN.fullmatch(s):
-                p = self.PIECES.findall(s.lower())
-                plain.append((w, p))
-                new.update(p)
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(x) for x in texts]
+        missing = self.known.recall(set(itertools.chain.from_iterable(split)))
+        found: dict[str, bytes] = {}
+        if plain := [x for x in missing if x[0] != self.ODD]:
+            found = self._learn(plain)
+        if odd := [x for x in missing if x[0] == self.ODD]:
+            for x, e in zip(odd, self.t.encode_batch_fast([x[1:] for x in odd], add_special_tokens=False), strict=True):
+                found[x] = np.array(e.ids, self.dtype).tobytes()
+        long = {x: found.pop(x) for x in [x for x in found if len(x) > LONG_WORD]}
+        self.known.put(found)
+        get = (self.known.young | long if long else self.known.young).__getitem__
+        out = [b"".join(map(get, x)) for x in split]
+        self.known.turn()
+        return out
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of one text without special tokens, of any length."""
+        out, at = [], 0
+        while at < len(text):
+            m = self.SPACE.search(text, at + self.slice)
+            end = m.start() if m else len(text)
+            out += self._slice([text[at:end]])
+            at = end
+        return b"".join(out)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            special = self.cut is not None and self.cut.search(text) is not None
+            if held and (special or size + len(text) > self.slice):
+                yield from self._slice(held)
+                held, size = [], 0
+            if special:
+                yield b"".join(self.special.get(x) or self._plain(x) for x in self.cut.split(text))
+            elif len(text) > self.slice:
+                yield self._plain(text)
             else:
-                odd.append((w, s))
-        if new := list(new.difference(self.parts)):
-            self._learn(new)
-        get = self.parts.__getitem__
-        for w, p in plain:
-            self.words[w] = b"".join(map(get, p)) if len(p) > 1 else self.parts[p[0]]
-        for (w, _), e in zip(odd, self.t.encode_batch_fast([s for _, s in odd], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.dtype).tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._slice(held)
 
 
 @functools.lru_cache(maxsize=2)
@@ -215,11 +282,16 @@ def _shard(part: int, seq: int, rel: int, ids: list, coded: list[bytes], width:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text of docs (doc_id, text) and write a store at path, in ascending doc_id order.
 
-    Null ids come first; rows of one id are ordered by their text. A null text is empty and has the end id only.
+    Null ids come first; rows of one id are ordered by a hash of their text and then by their text. A null text is empty and
+    has the end id only; texts of any length are encoded whole. Repeated rows are documents of their own. An empty table makes
+    an empty store. Other columns are not read.
     """
     spark = docs.sparkSession
-    # Whole texts are dealt in ranges, encoded where they land and packed there; ties break by a hash, so that an id with many rows is split.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    # Whole texts are dealt in ranges, encoded where they land and packed there. Ties break by a hash and then by where a row
+    # was read, so that an id with many rows, equal ones too, is split.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("p"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text"), F.col("p")]
+    rows = rows.repartitionByRange(order[0], order[1], order[3]).sortWithinPartitions(*order).select("doc_id", "text")
     size = _tokenizer(tokenizer_path).get_vocab_size()
     dtype = "<u2" if max(size, end_id or 0) < 1 << 16 else "<u4"
     width = np.dtype(dtype).itemsize
@@ -235,7 +307,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             return pa.RecordBatch.from_pylist([_shard(part, seq, rel, ids, coded, width)], schema=_arrow())
 
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for doc, raw in zip(b.column(0).to_pylist(), enc.encode(x.as_py() for x in b.column(1)), strict=True):
                 ids.append(doc)
                 coded.append(raw + end)
                 held += len(coded[-1]) // width
@@ -271,7 +343,8 @@ def _open(row: dict) -> tuple[MinimalPerfectHash, np.ndarray, np.ndarray]:
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """Every document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids.
 
-    Each document is found through the index of its shard by its key, as lookup() finds it.
+    Each document is found through the index of its shard by its key, as lookup() finds it. Null ids and documents that share
+    an id have keys of their own; an empty store gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,7 +364,11 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
-    """Documents with the given ids: doc_id, start and ids. Shards whose range holds none of them are not read; an unknown id has no row."""
+    """Documents with the given ids: doc_id, start and ids. Shards whose range holds none of them are not read; an unknown id has no row.
+
+    A key costs its shard: the index, whose levels are touched less than twice, and one payload of SHARD_IDS ids at most but
+    for its last document, whatever the size of the store.
+    """
     wanted = np.unique(np.array(list(doc_ids), np.int64))
     if not len(wanted):
         return spark.createDataFrame([], "doc_id long, start long, ids binary")
@@ -316,7 +393,8 @@ def lookup(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
 
 
 def token_store(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Write docs to a store in the shared folder and read every document back from it."""
+    """Write docs (doc_id, text) to a store in the shared folder and read every document back: see write_tokens and read_tokens
+    for null and repeated ids, null, empty and long texts, and empty tables. Other columns, whatever their names, are not read."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/lattica-tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_path)

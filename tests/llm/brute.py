@@ -66,7 +66,6 @@ def tokens(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]])
     return [(int(s), len(x), zlib.crc32(x.tobytes())) for s, x in zip(starts, ids, strict=True)]
