@@ -7,8 +7,9 @@ import html
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,49 +24,71 @@ SILENT = frozenset("script style noscript template iframe object svg math head t
 #: Start tags that end an open paragraph; and elements that end an open one of their own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that are parts of a page by their name alone.
+SECTIONS = frozenset(f"<{x}>" for x in "article aside button dialog fieldset footer form header label legend main menu nav option search select textarea".split())
 SCOPE = frozenset("ul ol dl table tr div section article body td th nav aside main".split())
 
+#: A tag ends at its first > outside a value in quotes, or with the page; what a match scans it consumes, so that all is linear.
 _MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:-->|\Z))|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
+    r"<!--(?:>|->|.*?(?:-->|\Z))|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?|[\"'])*+)(?:>|\Z)|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: The score of a word without evidence; log odds of an element that rule its words out, their score, and the least of a run of them.
+BIAS, RULED_OUT, LOST, MOST_LOST = 0.6, -1.0, -0.25, -10.0
 
 
-@functools.lru_cache(maxsize=1 << 14)
-def features(tag: str, attributes: str) -> tuple[str, ...]:
-    """What is known of an element: its name and the words of its class, id and role."""
+def _features(tag: str, attributes: str) -> tuple[str, ...]:
     names = {w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w}
-    return (f"<{tag}>", *sorted(names))
+    return (f"<{tag}>", *sorted(names), *(("[hidden]",) if _HIDDEN.search(attributes) else ()))
+
+
+_short_features = functools.lru_cache(maxsize=1 << 14)(_features)
+
+
+def features(tag: str, attributes: str) -> tuple[str, ...]:
+    """What is known of an element: its name, the words of its class, id and role, and whether it is hidden."""
+    return _short_features(tag, attributes) if len(attributes) <= 200 else _features(tag, attributes)
 
 
 @dataclass
 class Piece:
-    """A run of text, or a tag: markup has its own (negative) score and breaks the line unless it is inline."""
+    """A run of text, or a tag, with the state of the elements that are open at it."""
 
     text: str
-    path: tuple = ()
+    state: Any
     tag: str = ""
+    end: int = 0
 
 
-def pieces(page: str) -> Iterator[Piece]:
-    """Texts and tags of a page in order, each text with its open elements; end tags that are missing are implied."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def pieces(page: str, start: Any, enter: Callable[[Any, tuple[str, ...]], Any]) -> Iterator[Piece]:
+    """Texts and tags of a page in order; end tags that are missing are implied.
+
+    An open element has a state of its own, which enter makes of that around it and its features, so that a piece costs the
+    same however deep it is. Where the open elements of a name are is kept, so that end tags need no search.
+    """
+    stack: list[tuple[str, Any]] = []
+    places: dict[str, list[int]] = {}
     at = 0
 
+    def top(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        i = top(names)
+        if i < 0 or top(stop.difference(names)) > i:
+            return
+        while len(stack) > i:
+            places[stack.pop()[0]].pop()
+
+    def state() -> Any:
+        return stack[-1][1] if stack else start
 
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            yield Piece(page[at : m.start()], tuple(f for _, f in stack))
+            yield Piece(page[at : m.start()], state(), "", m.start())
         at = m.end()
         name = m[3]
         if not name:
@@ -79,11 +102,21 @@ def pieces(page: str) -> Iterator[Piece]:
             if tag in SELF:
                 close(SELF[tag], frozenset(("ul", "ol", "dl", "table", "select")) if tag != "tr" else frozenset(("table",)))
             if tag not in VOID and not m[4].endswith("/"):
-                f = features(tag, m[4])
-                stack.append((tag, (*f, "[hidden]") if m[4] and _HIDDEN.search(m[4]) else f))
-        yield Piece("", tuple(f for _, f in stack), tag)
+                places.setdefault(tag, []).append(len(stack))
+                stack.append((tag, enter(state(), features(tag, m[4]))))
+        yield Piece("", state(), tag, at)
     if at < len(page):
-        yield Piece(page[at:], tuple(f for _, f in stack))
+        yield Piece(page[at:], state(), "", len(page))
+
+
+class Context(NamedTuple):
+    """What the open elements say of a word: the sum of their log odds, the greatest, whether one rules it out, and whether
+    one of them is the article's."""
+
+    total: float = 0.0
+    best: float = 0.0
+    out: bool = False
+    article: bool = False
 
 
 @dataclass
@@ -92,100 +125,96 @@ class Weights:
 
     names: dict[str, float]
     tags: dict[str, float]
-    cache: dict = field(default_factory=dict)
-
-    def element(self, f: tuple[str, ...]) -> float:
-        return sum(self.names.get(x, 0.0) for x in f)
-
-    def judge(self, path: tuple) -> tuple[float, bool, float]:
-        """Score of a word at this path, whether an open element rules it out, and how much negative scores count: little
-        within an element that the weights take for the article's."""
-        found = self.cache.get(path)
-        if found is None:
-            scores = [self.element(f) for f in path]
-            inside = [i for i, f in enumerate(path) if f[0] in ("<article>", "<main>") and scores[i] > 0]
-            bad = any(s <= -1.0 and not (f[0] == "<header>" and len(f) == 1 and inside and i > inside[0]) for i, (s, f) in enumerate(zip(scores, path, strict=True)))
-            bad = bad or any(f[0][1:-1] in SILENT or "[hidden]" in f for f in path)
-            found = self.cache[path] = (-0.25 if bad else max(0.1, min(1.0, 0.6 + sum(scores))), bad, 0.1 if max(scores, default=0.0) >= 1.0 else 1.0)
-            if len(self.cache) > 1 << 16:
-                self.cache.clear()
-        return found
+
+    def enter(self, around: Context, f: tuple[str, ...]) -> Context:
+        own = sum(self.names.get(x, 0.0) for x in f)
+        title = f == ("<header>",) and around.article  # of the article, not of the page
+        out = around.out or (own <= RULED_OUT and not title) or f[0][1:-1] in SILENT or f[-1] == "[hidden]"
+        return Context(around.total + own, max(around.best, own), out, around.article or (own > 0 and f[0] in ("<article>", "<main>")))
+
+    def word(self, c: Context) -> float:
+        return LOST if c.out else max(LOST, min(1.0, BIAS + c.total))
+
+    def share(self, c: Context) -> float:
+        """How much negative scores count: little within an element that the weights take for the article's."""
+        return 0.1 if c.best >= 1.0 else 1.0
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.5)
 
 
-@functools.lru_cache(maxsize=1)
-def learned() -> Weights:
-    """Weights of the labelled pages: naive Bayes over a page's texts, smoothed; a tag costs more the rarer it is in articles."""
+def fitted(pages: Iterable[list[tuple[str, int]]]) -> Weights:
+    """Weights of labelled pages: naive Bayes over a page's texts, smoothed; a tag costs more the rarer it is in articles.
+
+    The name of an element says much if it is one of SECTIONS; that of another takes little off.
+    """
     pos: dict[str, float] = defaultdict(float)
     neg: dict[str, float] = defaultdict(float)
     tag_in: dict[str, float] = defaultdict(float)
     tag_out: dict[str, float] = defaultdict(float)
-    for parts in labelled_pages():
+    for parts in pages:
         edges, at = [], 0
         for markup, label in parts:
             at += len(markup)
             edges.append((at, label))
-        page, end, seen = "".join(m for m, _ in parts), 0, [set(), set()]
-        for piece in _located(page):
-            (text, path, tag), end = piece[:3], piece[3]
-            label = next(y for e, y in edges if end <= e)
-            if tag:
-                (tag_in if label else tag_out)[tag] += 1
-            elif text.strip():
-                seen[label].update(x for f in path for x in f)
+        # A state is the set of features of the open elements.
+        seen: list[set] = [set(), set()]
+        for p in pieces("".join(m for m, _ in parts), frozenset(), lambda around, f: around | set(f)):
+            label = next(y for e, y in edges if p.end <= e)
+            if p.tag:
+                (tag_in if label else tag_out)[p.tag] += 1
+            elif p.text.strip():
+                seen[label] |= p.state
         for x in seen[1]:
             pos[x] += 1
         for x in seen[0] - seen[1]:
             neg[x] += 1
-    names = {x: round(math.log((pos[x] + 0.5) / (neg[x] + 0.5)), 3) for x in {*pos, *neg}}
-    most = lambda x: 3.0 if x[0] != "<" or x in ("<article>", "<main>") else 1.0  # noqa: E731  other elements say little without a name
-    names = {x: max(-3.0, min(most(x), v)) if v < 0 or x not in ("<html>", "<body>", "<div>", "<p>", "<ul>", "<li>", "<a>") else 0.0 for x, v in names.items()}
+    names = {}
+    for x in {*pos, *neg}:
+        least, most = (-3.0, 3.0) if x[0] != "<" or x in SECTIONS else (-0.5, 0.0)
+        names[x] = round(max(least, min(most, math.log((pos[x] + 1) / (neg[x] + 1)))), 3)
     tags = {x: max(-1.0, min(-0.1, 0.3 * math.log((tag_in[x] + 1) / (tag_out[x] + 1)) - 0.3)) for x in {*tag_in, *tag_out}}
     return Weights(names, tags)
 
 
-def _located(page: str) -> Iterator[tuple]:
-    """pieces() of a labelled page, with the place where each ends."""
-    found = iter(pieces(page))
-    for m in re.finditer(r"<[^>]*>|[^<]+", page):
-        p = next(found)
-        yield p.text, p.path, p.tag, m.end()
+@functools.lru_cache(maxsize=1)
+def learned() -> Weights:
+    return fitted(labelled_pages().values())
 
 
 def main_text(page: str | None, weights: Weights | None = None) -> str:
-    """The text of the best contiguous region of a page, without the parts inside it that the weights rule out.
+    """The text of the best contiguous region of a page, without its words that score negative.
 
-    Words have positive scores that shrink, and turn slightly negative, with the elements around them; tags are negative. One
-    scan keeps the best region that ends here and the best so far. Of equal regions the first counts.
+    Words score by the elements around them: the sum of their log odds and a bias, or a fixed negative score if the log odds of
+    one of them alone rule it out, so that a menu inside the article is none of it. Tags are negative. One scan keeps the best region that ends here and the best so
+    far; of equal regions the first counts.
     """
     if not page:
         return ""
     w = weights or learned()
     items: list[tuple[str, bool]] = []
     best, best_from, best_to, run, run_from = 0.0, 0, 0, 0.0, 0
-    for p in pieces(page):
-        per, bad, share = w.judge(p.path)
+    for p in pieces(page, Context(), w.enter):
+        c = p.state
         if p.tag:
             items.append(("" if p.tag in INLINE else " ", False))
-            score = w.tag(p.tag) * share
+            score = w.tag(p.tag) * w.share(c)
         else:
-            n = p.text.count(" ") + p.text.count("\n") + 1 if not p.text.isspace() else 0
-            items.append((p.text, bad))
-            score = max(per * n, -10.0) * (share if bad else 1.0)
+            per = w.word(c)
+            items.append((p.text, per < 0))
+            score = max(per * len(p.text.split()), MOST_LOST) * (w.share(c) if per < 0 else 1.0)
         if run <= 0:
             run, run_from = 0.0, len(items) - 1
         run += score
         if run > best:
             best, best_from, best_to = run, run_from, len(items)
-    return " ".join("".join(" " if bad else html.unescape(t) if "&" in t else t for t, bad in items[best_from:best_to]).split())
+    return " ".join("".join(" " if out else html.unescape(t) if "&" in t else t for t, out in items[best_from:best_to]).split())
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    Null or empty markup gives an empty text, as does a page without any words of its own. Character references are decoded,
+    Null or empty markup gives an empty text, as does a page without any words of its own. Pages of any length and nesting take time in proportion. Character references are decoded,
     runs of white space (as Unicode has it) become one space, and blocks are joined by one space in page order. Repeated
     rows, null ids and null urls keep their rows; other columns are not read.
     """
@@ -194,7 +223,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = learned()
         for b in batches:
-            text = [main_text(x, w) for x in b.column(2).to_pylist()]
+            text = [main_text(x.as_py(), w) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
