@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,11 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    rows: how many rows a batch for Python has at most while it is written, where rows are long; the session's own setting is
+    put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    if rows:
+        spark.conf.set(_BATCH, str(min(rows, int(usual) if int(usual) > 0 else rows)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lattica_path = path

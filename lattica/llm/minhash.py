@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,12 @@ from ._shared import components, forget, mix64, written
 K, SKETCHES, SIMILARITY_PERCENT = 5, 24, 80
 #: Members above which a bucket is large.
 SMALL = 48
+#: Rows of a batch of texts that a worker is sent.
+BATCH = 500
 #: Counts of words by hash that bound a similarity, and members of a bucket's block, of which two meet in a task.
 COUNTS, BLOCK = 128, 512
+#: Values that the sketch of one text holds at a time; places that a word has bits for, and places of a rare word.
+HELD, WHOLE, RARE = 1 << 17, 4096, 32
 #: Large buckets elect further roots while at least this share of the pairs that meet one is linked.
 WORTH = 0.02
 _DROP = b".,;:!?\"'()[]{}"
@@ -58,20 +63,23 @@ def sketch_of(g: np.ndarray, m: int = SKETCHES) -> np.ndarray:
     """m values: each hashes the two least k-mers under one order of all k-mers, in their order in the text.
 
     Occurrences count apart, so that the sketch sees a multiset, and keeping the order of the two makes it follow the edit
-    similarity rather than the Jaccard similarity.
+    similarity rather than the Jaccard similarity. As many orders are looked at at a time as HELD values allow.
     """
+    out = np.empty(m, np.uint64)
+    step = max(1, HELD // len(g))
     with np.errstate(over="ignore"):
-        v = g[None, :] * _MULTIPLIERS[:m, None]
-        rows = np.arange(m)
-        a = v.argmin(axis=1)
-        if len(g) == 1:
-            pair = g[a]
-        else:
-            v[rows, a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            b = v.argmin(axis=1)
-            first, second = np.minimum(a, b), np.maximum(a, b)
-            pair = g[first] * np.uint64(3) + mix64(g[second])
-        return mix64(pair ^ _MULTIPLIERS[:m]).view(np.int64)
+        for at in range(0, m, step):
+            own = _MULTIPLIERS[at : min(at + step, m)]
+            v = g[None, :] * own[:, None]
+            a = v.argmin(axis=1)
+            if len(g) == 1:
+                pair = g[a]
+            else:
+                v[np.arange(len(own)), a] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                b = v.argmin(axis=1)
+                pair = g[np.minimum(a, b)] * np.uint64(3) + mix64(g[np.maximum(a, b)])
+            out[at : at + step] = mix64(pair ^ own)
+    return out.view(np.int64)
 
 
 def order_sketches(words: list[bytes]) -> np.ndarray:
@@ -79,28 +87,73 @@ def order_sketches(words: list[bytes]) -> np.ndarray:
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, a 128-bit key of the words (k1, k2), their number n and the sketch for each row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, h (a hash of the text), a 128-bit key of the words (k1, k2), their number n and the sketch for each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2, n, sketch = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for cell in b.column(1):
+                text = cell.as_py() or ""
                 w = words_of(text)
-                d = xxhash.xxh3_128_digest(b" ".join(w) if w else b"\0" + (text or "").encode("utf-8", "surrogatepass"))
+                d = xxhash.xxh3_128_digest(b" ".join(w) if w else b"\0" + text.encode("utf-8", "surrogatepass"))
                 k1.append(int.from_bytes(d[:8], "big", signed=True))
                 k2.append(int.from_bytes(d[8:], "big", signed=True))
                 n.append(len(w))
                 sketch.append(order_sketches(w) if w else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1), pa.array(k2), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1), pa.array(k2), pa.array(n, pa.int32()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "h", "k1", "k2", "n", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n int, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, k1 long, k2 long, n int, sketch array<long>")
 
 
 # ---------------------------------------------------------------------------------------------------- alignment
 
 
-def aligned_words(a: list, b: list, most: int) -> int:
+class Places:
+    """Where the words of a text are, as bits: memory in proportion to the text, whatever words it has.
+
+    Up to WHOLE words, each distinct one has an integer with a bit for each place. Longer texts keep the places of rare words,
+    and of frequent ones the bits by blocks of WHOLE places, of which only those in the asked window are put together.
+    """
+
+    def __init__(self, words: list, whole: int):
+        self.n, self.whole = len(words), whole
+        self.bits: dict = {}
+        self.rare: dict = {}
+        self.blocks: dict = {}
+        if self.n <= whole:
+            for i, x in enumerate(words):
+                self.bits[x] = self.bits.get(x, 0) | (1 << i)
+            return
+        for i, x in enumerate(words):
+            self.rare.setdefault(x, []).append(i)
+        for x in [x for x, at in self.rare.items() if len(at) > RARE]:
+            at = np.array(self.rare.pop(x))
+            blocks = {}
+            for c in np.unique(at // whole).tolist():
+                own = np.zeros(whole, np.uint8)
+                own[at[at // whole == c] - c * whole] = 1
+                blocks[c] = np.packbits(own, bitorder="little").tobytes()
+            self.blocks[x] = blocks
+        self.none = bytes(whole // 8)
+
+    def window(self, word, low: int, width: int) -> int:
+        """Bit i tells whether the word is at place low + i, for i below width; low may be negative."""
+        if self.n <= self.whole:
+            p = self.bits.get(word, 0)
+            return (p >> low if low >= 0 else p << -low) & ((1 << width) - 1) if p else 0
+        if word in self.rare:
+            return sum(1 << (i - low) for i in self.rare[word] if low <= i < low + width)
+        blocks = self.blocks.get(word)
+        if not blocks or low + width <= 0 or low >= self.n:
+            return 0
+        first = max(low, 0) // self.whole
+        p = int.from_bytes(b"".join(blocks.get(c, self.none) for c in range(first, min(self.n, low + width) // self.whole + 1)), "little")
+        shift = first * self.whole - low
+        return (p << shift if shift >= 0 else p >> -shift) & ((1 << width) - 1)
+
+
+def aligned_words(a: list, b: list, most: int, whole: int = WHOLE) -> int:
     """The words that the best alignment of a and b leaves in place, -1 if more than `most` are to be inserted or deleted.
 
     The matrix is computed in a band of `most` diagonals on either side of the main one, a whole column of the band at a time
@@ -119,25 +172,26 @@ def aligned_words(a: list, b: list, most: int) -> int:
     a, b = a[start:ea], b[start:eb]
     n, m = len(a), len(b)
     need = n + m - most  # twice the words that must be matched
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
+    if n > whole and 2 * (Counter(a) & Counter(b)).total() < need:
+        return -1  # whatever their order
+    places = Places(a, whole)
+    width = 2 * most + 1
     top = 1 << (2 * most)
     full = 2 * top - 1
     band, matched, low = full, 0, -most
     for j, y in enumerate(b):
-        p = where.get(y, 0)
+        p = places.window(y, low, width)
         if p:
-            u = band & ((p >> low if low >= 0 else p << -low) & full)
+            u = band & p
             if u:
                 band = ((band + u) | (band - u)) & full
         if not band & 1:
             matched += 1
         band = band >> 1 | top
         low += 1
-        if not j & 63 and 2 * (matched + 2 * most + 1 - band.bit_count() + m - j) < need:
+        if not j & 63 and 2 * (matched + width - band.bit_count() + m - j) < need:
             return -1
-    matched += 2 * most + 1 - band.bit_count()
+    matched += width - band.bit_count()
     return same + matched if 2 * matched >= need else -1
 
 
@@ -147,26 +201,43 @@ def similar(a: list, b: list, percent: int = SIMILARITY_PERCENT) -> bool:
     return total == 0 or aligned_words(a, b, total * (100 - percent) // (100 + percent)) >= 0
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) with both texts, which travel only for documents that are in a pair."""
-    text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__t"))
-    one = pairs.join(text, F.col("a") == F.col("__id")).select("a", "b", F.col("__t").alias("ta"))
-    return one.join(text, F.col("b") == F.col("__id")).select("a", "b", "ta", F.col("__t").alias("tb"))
+class Corpus:
+    """The representatives (node, rep, h, k1, k2, n, sketch) and the texts that stand for them."""
 
+    def __init__(self, docs: DataFrame, rows: DataFrame):
+        """rows: see sketch_rows. A node is a number that only one representative has; ids may have several texts."""
+        least = F.min(F.struct("doc_id", "h")).alias("least")
+        reps = rows.where("doc_id is not null").groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        self.reps = written(reps.select(F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("rep"), F.col("least.h").alias("h"), "k1", "k2", "n", "sketch"), "reps")
+        self.keys = self.reps.select("node", "rep", "h")
+        text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), F.col("text").alias("__t"))
+        twice = rows.groupBy("doc_id", "h").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null")
+        # Where an id and text are in several rows, one of them stands for all.
+        self.text = text if twice.isEmpty() else text.groupBy("__id", "__h").agg(F.first("__t").alias("__t"))
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of ids whose whole texts are similar."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str | None, list] = (None, [])
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if y != known[0]:
-                    known = (y, words_of(y))
-                ok.append(similar(words_of(x), known[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def _with(self, df: DataFrame, node: str, to: str) -> DataFrame:
+        keyed = df.join(self.keys, F.col(node) == F.col("node")).drop("node")
+        return keyed.join(self.text, (F.col("rep") == F.col("__id")) & (F.col("h") == F.col("__h"))).drop("rep", "h", "__id", "__h").withColumnRenamed("__t", to)
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) for each of nodes (node), which are distinct."""
+        return self._with(nodes.select(F.col("node").alias("__n")), "__n", "text").withColumnRenamed("__n", "node")
 
-    return _texts(pairs, docs).mapInArrow(run, "a long, b long")
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) of nodes whose whole texts are similar; texts travel only for nodes that are in a pair."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: tuple[str | None, list] = (None, [])
+            for b in batches:
+                ok = []
+                for x, y in zip(b.column(2), b.column(3), strict=True):
+                    y = y.as_py()
+                    if y != known[0]:
+                        known = (y, words_of(y))
+                    ok.append(similar(words_of(x.as_py()), known[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return self._with(self._with(pairs.select("a", "b"), "a", "ta"), "b", "tb").mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------------------------------------------- classes
@@ -193,104 +264,124 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     Texts without words equal only the same text. Null and empty texts are the same. Null ids have no class and are kept.
     Repeated rows are copies, of which those with the least id stay: kept is by id. Other columns are not read.
     """
-    rows = written(sketch_rows(docs), "sketches")
-    reps = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = written(reps, "reps")
-    links = _links(docs, reps)
-    comp = written(links, "classes")
-    of = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
-    out = rows.select("doc_id", "k1", "k2").join(of, ["k1", "k2"], "left")
+    rows, classes = _classes(docs)
     mine = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    out = rows.join(classes, ["k1", "k2"], "left")
     return out.select("doc_id", mine.alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Components (id, component) of the representatives that have links."""
-    buckets = reps.where("sketch is not null").select("rep", "n", F.posexplode("sketch").alias("band", "key"))
-    roots = written(buckets.groupBy("band", "key").agg(F.min(F.struct("n", "rep")).alias("least"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("least.rep").alias("root"), F.col("least.n").alias("root_n")), "roots")
-    shared = written(buckets.join(roots, ["band", "key"]).select("band", "key", "rep", "n", "root", "root_n"), "buckets")
-    stars = written(shared.where(f"rep <> root and {_close('n', 'root_n')}").select("rep", "root", "root_n").distinct(), "stars")
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (doc_id, h, k1, k2), and the class_id of each text (k1, k2)."""
+    sketches = written(sketch_rows(docs), "sketches", rows=BATCH)
+    corpus = Corpus(docs, sketches)
+    comp = written(_links(corpus), "classes")
+    ids = corpus.keys.join(comp, F.col("node") == F.col("id")).groupBy("component").agg(F.min("rep").alias("class_id"))
+    own = comp.join(ids, "component").select(F.col("id").alias("node"), "class_id")
+    classes = corpus.reps.select("node", "rep", "k1", "k2").join(own, "node", "left").select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"))
+    return sketches.select("doc_id", "h", "k1", "k2"), classes
+
+
+def _links(corpus: Corpus) -> DataFrame:
+    """Components (id, component) of the nodes that have links."""
+    buckets = corpus.reps.where("sketch is not null").select("node", "n", F.posexplode("sketch").alias("band", "key"))
+    roots = written(buckets.groupBy("band", "key").agg(F.min(F.struct("n", "node")).alias("least"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("least.node").alias("root"), F.col("least.n").alias("root_n"), "size"), "roots")
+    shared = written(buckets.join(roots, ["band", "key"]).select("band", "key", "node", "n", "root", "root_n", "size"), "buckets")
+    forget(roots)
+    stars = written(shared.where(f"node <> root and {_close('n', 'root_n')}").select("node", "root", "root_n").distinct(), "stars")
     # Each representative first meets the shortest root of its buckets, then those roots that are in other components still.
-    first = stars.groupBy("rep").agg(F.min(F.struct("root_n", "root")).alias("r")).select("rep", F.col("r.root").alias("root"))
-    found = written(verified(first.select(F.col("rep").alias("a"), F.col("root").alias("b")), docs), "linked")
+    first = stars.groupBy("node").agg(F.min(F.struct("root_n", "root")).alias("r")).select("node", F.col("r.root").alias("root"))
+    found = written(corpus.verified(first.select(F.col("node").alias("a"), F.col("root").alias("b"))), "linked", rows=BATCH)
     comp = written(components(found, "near"), "components")
-
-    def placed(df: DataFrame, c: str, name: str) -> DataFrame:
-        own = comp.select(F.col("id").alias("__c"), F.col("component").alias(name))
-        return df.join(own, F.col(c) == F.col("__c"), "left").withColumn(name, F.coalesce(name, c)).drop("__c")
-
-    rest = stars.join(first, ["rep", "root"], "left_anti")
-    rest = placed(placed(rest, "rep", "ca"), "root", "cb").where("ca <> cb").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    more = written(verified(rest, docs), "linked")
+    rest = placed(placed(stars.join(first, ["node", "root"], "left_anti"), comp, "node", "ca"), comp, "root", "cb").where("ca <> cb").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = written(corpus.verified(rest), "linked", rows=BATCH)
+    forget(comp)
     found = found.unionByName(more)
     comp = written(components(found, "near"), "components")
-    tested = stars.select(F.least("root", "rep").alias("a"), F.greatest("root", "rep").alias("b"))
-    found = _crossed(shared, comp, found, tested, docs)
-    size = shared.groupBy("band", "key").agg(F.count("*").alias("size")).where(f"size > {SMALL}")
-    large = written(shared.join(size, ["band", "key"]).select("band", "key", "rep", "n", "root"), "large")
+    tested = stars.select(F.least("root", "node").alias("a"), F.greatest("root", "node").alias("b"))
+    found = _crossed(shared.where(f"size <= {SMALL}"), comp, found, tested, corpus)
+    forget(comp)
+    large = shared.where(f"size > {SMALL}").select("band", "key", "node", "n", "root")
     if not large.isEmpty():
-        found = _elected(large, found, tested, docs)
-        found = _blocks(large, found, docs)
-    out = components(found, "near")
-    for x in (roots, shared, large):
+        found = _elected(large, found, tested, corpus)
+        found = _blocks(large, found, corpus)
+    out = written(components(found, "near"), "components")
+    for x in (shared, stars):
         forget(x)
     return out
 
 
+def placed(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
+    """df with the component of its column node."""
+    own = comp.select(F.col("id").alias("__c"), F.col("component").alias(name))
+    return df.join(own, F.col(node) == F.col("__c"), "left").withColumn(name, F.coalesce(name, node)).drop("__c")
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Those of members (band, key, c, ...) whose bucket holds several components.
+
+    Both sides of the last join are tables, so that a bucket with many members is split over tasks.
+    """
+    members = written(members, "members")
+    mixed = written(members.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key"), "several")
+    out = written(members.join(mixed, ["band", "key"]), "mixed")
+    forget(members)
+    forget(mixed)
+    return out
+
+
 def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (band, key, rep, n, root) of buckets that hold several components, with their component c."""
-    own = written(components(found, "near"), "components").select(F.col("id").alias("__c"), "component")
-    members = buckets.join(own, F.col("rep") == F.col("__c"), "left").withColumn("c", F.coalesce("component", "rep")).drop("__c", "component")
-    mixed = members.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-    return written(members.join(mixed, ["band", "key"]), "mixed")
+    """Members (band, key, node, n) of buckets that hold several components, with their component c."""
+    own = written(components(found, "near"), "components")
+    out = _several(placed(buckets.select("band", "key", "node", "n"), own, "node", "c"))
+    forget(own)
+    return out
 
 
-def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
+def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, corpus: Corpus) -> DataFrame:
     """found, with the links of large buckets to further roots: the shortest member whose component has no root yet.
 
     It spares _blocks the pairs of large groups of copies and decides nothing: what a round leaves meets there.
     """
-    met = large.select("band", "key", "root").distinct()
+    met = written(large.select("band", "key", "root").distinct(), "met")
     while True:
-        members = _mixed(large.select("band", "key", "rep", "n"), found)
-        done = members.join(met, ["band", "key"]).where("rep = root").select("band", "key", "c").distinct()
-        left = members.join(done, ["band", "key", "c"], "left_anti")
-        root = written(left.groupBy("band", "key").agg(F.min(F.struct("n", "rep")).alias("r")).select("band", "key", F.col("r.rep").alias("root"), F.col("r.n").alias("root_n")), "roots")
-        pairs = left.join(root, ["band", "key"]).where(f"rep <> root and {_close('n', 'root_n')}").select(F.least("rep", "root").alias("a"), F.greatest("rep", "root").alias("b"))
+        members = _mixed(large, found)
+        done = written(members.join(met, (members["node"] == met["root"]) & (members["band"] == met["band"]) & (members["key"] == met["key"]), "left_semi").select("band", "key", "c").distinct(), "done")
+        left = written(members.join(done, ["band", "key", "c"], "left_anti"), "left")
+        root = written(left.groupBy("band", "key").agg(F.min(F.struct("n", "node")).alias("r")).select("band", "key", F.col("r.node").alias("root"), F.col("r.n").alias("root_n")), "roots")
+        pairs = left.join(root, ["band", "key"]).where(f"node <> root and {_close('n', 'root_n')}").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(pairs, docs), "linked")
+        more = written(corpus.verified(pairs), "linked", rows=BATCH)
         found = found.unionByName(more)
         met = met.unionByName(root.select("band", "key", "root"))
         n, linked = pairs.count(), more.count()
-        forget(members)
+        for x in (members, done, left, pairs):
+            forget(x)
         if not linked or linked < WORTH * n:
             return found
 
 
-def _word_counts(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, counts, text): how many words of each representative have each of COUNTS hashes, 255 at most, as bytes."""
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+def _word_counts(nodes: DataFrame, corpus: Corpus) -> DataFrame:
+    """(node, counts, text): how many words of each of nodes have each of COUNTS hashes, 255 at most, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.bincount(np.array([xxhash.xxh3_64_intdigest(w) % COUNTS for w in words_of(x)], np.int64), minlength=COUNTS) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in rows], pa.binary()), b.column(1)], ["rep", "counts", "text"])
+            rows = [np.bincount(np.fromiter((xxhash.xxh3_64_intdigest(w) % COUNTS for w in words_of(x.as_py())), np.int64), minlength=COUNTS) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in rows], pa.binary()), b.column(1)], ["node", "counts", "text"])
 
-    # An id with several texts has a row for each, as in verified().
-    return text.join(reps, "rep", "left_semi").mapInArrow(run, "rep long, counts binary, text string")
+    return corpus.texts(nodes).mapInArrow(run, "node long, counts binary, text string")
 
 
 def _tile_links(t: pa.Table) -> pa.Table:
-    """Links (a, b) that unite the components of a tile's rows (bucket, buckets, first, rep, n, c, counts, text).
+    """Links (a, b) that unite the components of a tile's rows (bucket, buckets, first, node, n, c, counts, text).
 
     A pair meets in the first of the buckets that both are in. Lengths and counts bound the similarity; what they leave open
     is aligned, unless links of this tile have united it: there are fewer links than rows.
     """
-    first, rep, n, c = (t[k].to_numpy() for k in ("first", "rep", "n", "c"))
+    first, node, n, c = (t[k].to_numpy() for k in ("first", "node", "n", "c"))
     counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS)
     bucket, text, buckets = t["bucket"][0].as_py(), t["text"], t["buckets"]
     order = np.argsort(n, kind="stable")
-    first, rep, n, c, counts = first[order], rep[order], n[order].astype(np.int64), c[order], counts[order]
+    first, node, n, c, counts = first[order], node[order], n[order].astype(np.int64), c[order], counts[order]
     earlier: dict[int, set] = {}
     words: dict[int, list] = {}
     up: dict[int, int] = {}
@@ -326,22 +417,21 @@ def _tile_links(t: pa.Table) -> pa.Table:
             i, j = root(int(c[x])), root(int(c[z]))
             if i != j and before(x).isdisjoint(before(z)) and similar(split(x), split(z)):
                 up[max(i, j)] = min(i, j)
-                a.append(min(rep[x], rep[z]))
-                b.append(max(rep[x], rep[z]))
+                a.append(min(node[x], node[z]))
+                b.append(max(node[x], node[z]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _blocks(large: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+def _blocks(large: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
     """found, with all links among members of large buckets that are in different components.
 
     Members are dealt to classes of length, of which only neighbours hold similar texts, and those to blocks; two blocks
     meet in a tile, so that the pairs of one bucket are dealt over many tasks.
     """
-    members = _mixed(large.select("band", "key", "rep", "n"), found)
-    members = members.withColumn("at", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SIMILARITY_PERCENT))).cast("int"))
+    members = _mixed(large, found).withColumn("at", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SIMILARITY_PERCENT))).cast("int"))
     sizes = members.groupBy("band", "key", "at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = sizes.groupBy("band", "key").agg(F.map_from_entries(F.collect_list(F.struct("at", "blocks"))).alias("blocks"))
-    counts = written(_word_counts(members.select("rep").distinct(), docs), "counts")
+    sizes = written(sizes.groupBy("band", "key").agg(F.map_from_entries(F.collect_list(F.struct("at", "blocks"))).alias("blocks")), "sizes")
+    counts = written(_word_counts(members.select("node").distinct(), corpus), "counts", rows=BATCH)
 
     def blocks(of: str) -> Column:
         n = F.expr(f"blocks[{of}]")
@@ -351,42 +441,47 @@ def _blocks(large: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
         return F.struct(at.alias("at"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), first.alias("first"))
 
     at, own = F.col("at"), F.col("own")
-    rows = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.expr("blocks[at]")).cast("int"))
+    rows = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.expr("blocks[at]")).cast("int"))
     tiles = F.concat(
         F.transform(blocks("at"), lambda j: tile(at, 0, F.least(own, j), F.greatest(own, j), own <= j)),
         F.transform(blocks("at + 1"), lambda j: tile(at, 1, own, j, F.lit(True))),
         F.transform(blocks("at - 1"), lambda i: tile(at - 1, 1, i, own, F.lit(False))),
     )
     bucket = F.xxhash64("band", "key")
-    counts = counts.join(members.groupBy("rep").agg(F.collect_set(bucket).alias("buckets")), "rep")
-    rows = rows.join(counts, "rep").select("band", "key", bucket.alias("bucket"), "buckets", "rep", "n", "c", "counts", "text", F.explode(tiles).alias("t"))
-    rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.step").alias("step"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "rep", "n", "c", "counts", "text")
+    # A node is in SKETCHES buckets at most.
+    counts = counts.join(members.groupBy("node").agg(F.collect_set(bucket).alias("buckets")), "node")
+    rows = rows.join(counts, "node").select("band", "key", bucket.alias("bucket"), "buckets", "node", "n", "c", "counts", "text", F.explode(tiles).alias("t"))
+    rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.step").alias("step"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "node", "n", "c", "counts", "text")
     more = written(rows.groupBy("band", "key", "at", "step", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked")
-    forget(members)
-    forget(counts)
+    for x in (members, counts, sizes):
+        forget(x)
     return found.unionByName(more)
 
 
-def _crossed(buckets: DataFrame, comp: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
-    """found, with the links among members (band, key, rep, n) of a bucket of at most SMALL that are in different components."""
-    own = comp.select(F.col("id").alias("__c"), "component")
-    members = buckets.join(own, F.col("rep") == F.col("__c"), "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"lo <> hi and size <= {SMALL}").select("band", "key")
-    members = written(members.join(mixed, ["band", "key"]), "mixed")
+def _crossed(buckets: DataFrame, comp: DataFrame, found: DataFrame, tested: DataFrame, corpus: Corpus) -> DataFrame:
+    """found, with the links among members (band, key, node, n) of a bucket of at most SMALL that are in different components."""
+    members = _several(placed(buckets.select("band", "key", "node", "n"), comp, "node", "c"))
     x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, F.expr(f"x.band = y.band and x.key = y.key and x.rep < y.rep and x.c <> y.c and {_close('x.n', 'y.n')}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = written(verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), docs), "linked")
+    pairs = x.join(y, F.expr(f"x.band = y.band and x.key = y.key and x.node < y.node and x.c <> y.c and {_close('x.n', 'y.n')}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = written(corpus.verified(pairs.distinct().join(tested, ["a", "b"], "left_anti")), "linked", rows=BATCH)
     forget(members)
     return found.unionByName(more)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each class, with all their columns. Equal rows of an id that stays are one document."""
-    classes = near_duplicate_classes(docs)
-    twice = written(classes.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"), "twice")
-    gone = written(classes.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """docs without all but one document of each class, with all their columns.
+
+    Rows go by id and text, so that an id with several texts loses those alone whose class keeps another document. Equal ids
+    and texts that stay are one document, of which one row stays, whatever its other columns. Null ids all stay. Null, empty
+    and long texts are as in near_duplicate_classes; an empty table stays empty.
+    """
+    rows, classes = _classes(docs)
+    out = rows.where("doc_id is not null").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), (F.col("doc_id") == F.col("class_id")).alias("stays"))
+    fate = written(out, "fate")
+    gone = fate.where("not stays").select("__id", "__h").distinct()
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    left = docs.join(gone, same, "left_anti")
+    twice = written(fate.where("stays").groupBy("__id", "__h").agg(F.count("*").alias("c")).where("c > 1").select("__id", "__h"), "twice")
     if twice.isEmpty():
         return left
-    same = F.col("doc_id").cast("long") == F.col("__id")
     return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
