@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
 _S = r"\x20\x09-\x0D"
@@ -16,28 +16,46 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A run without white space that has four digits or an @.
+#: A run without white space that has four digits or an @. A unit is one, or the digit groups of a phone or card number.
 TOKEN = rf"(?<![^{_S}])(?=(?:[^0-9{_S}]*+[0-9]){{4}}|[^@{_S}]*+@)[^{_S}]++"
+UNIT = rf"{PHONE}|(?<![0-9])[0-9](?:[\x20-]?+[0-9]){{15,}}+|{TOKEN}"
 
-#: Rounds of scoring; what a context must reach: distinct seeds, share of its occurrences; what an identifier must reach.
-ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 3, 5, 0.5, 0.8
+#: What a pattern must have: distinct sure instances, and the share of its occurrences that are sure; the score of a sure instance.
+MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 5, 0.5, 0.8
+#: Patterns that travel to all tasks; more are joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
+#: Matches that are gathered before they are appended to those before them.
+STEP = 64
+_SPAN = "array<struct<kind:string,start:int,end:int>>"
+_HIT = "struct<start:int,hit:string,before:string,after:string>"
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Matches of pattern: start (in code points), hit, and what lies between it and the matches before and after it.
+
+    What lies between matches gives their places. Matches are gathered by STEP, so that a text with many of them does not copy
+    all that were found for each one more. The last gap has no hit; a hit is put out when the gap after it is known.
+    """
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("hit"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_HIT).alias("last"), F.array().cast(f"array<{_HIT}>").alias("now"), F.array().cast(f"array<array<{_HIT}>>").alias("done"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        last = acc["last"]
+        closed = F.array(F.struct(last["start"].alias("start"), last["hit"].alias("hit"), last["before"].alias("before"), x["gap"].alias("after")))
+        full = F.size(acc["now"]) >= STEP
+        now = F.when(last["hit"].isNull(), acc["now"]).when(full, closed).otherwise(F.concat(acc["now"], closed))
+        found = F.struct(start.alias("start"), x["hit"].alias("hit"), x["gap"].alias("before"), F.lit(None).cast("string").alias("after"))
+        return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), found.alias("last"), now.alias("now"), F.when(full & last["hit"].isNotNull(), F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(both, zero, add, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
 
 
 def _spans(text: Column, pattern: str, kind: str, good, near: str) -> Column:
-    """Spans of the matches of pattern that are good, in code points: what lies between matches gives their places."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,hit:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(good(x["hit"]), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(near), walk).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,hit:string>>"))
+    """Spans (kind, start, end) of the matches of pattern that are good; texts without near have none."""
+    found = F.filter(located(text, pattern), lambda x: good(x["hit"]))
+    spans = F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end")))
+    return F.when(text.rlike(near), spans).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(x: Column) -> Column:
@@ -71,77 +89,104 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _contexts(text: Column) -> Column:
-    """Identifier-like tokens with the one and two words before them."""
-    hits = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
-    gaps = F.split(text, TOKEN, -1)
-    kind = "array<struct<start:int,end:int,token:string,one:string,two:string>>"
+def _units(text: Column) -> Column:
+    """Identifier-like units (start, end, token) with their patterns: the one and two words before and after them.
 
-    def word(x: Column, n: int) -> Column:
-        tail = F.lower(F.substring(x, -80, 80))
-        return F.regexp_extract(tail, rf"([^{_S}]++{rf'[{_S}]++[^{_S}]++' if n == 2 else ''})[{_S}]*+\z", 1)
+    A pattern is the words after a mark: <1, <2 before the unit, >1, >2 after it.
+    """
+    one, two = rf"\A[{_S}]*+([^{_S}]++)", rf"\A[{_S}]*+([^{_S}]++[{_S}]++[^{_S}]++)"
 
-    def add(acc: Column, x: Column) -> Column:
-        token = F.rtrim(x["hit"], F.lit(".,;:!?)]}\"'"))
-        start = acc["at"] + F.length(x["gap"])
-        found = F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), word(x["gap"], 1).alias("one"), word(x["gap"], 2).alias("two"))
-        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def pattern(mark: str, words: Column) -> Column:
+        return F.when(words != "", F.concat(F.lit(mark), F.regexp_replace(words, f"[{_S}]++", " ")))
 
-    walk = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike("@|(?:[0-9][^0-9\\x20\\x09-\\x0D]*+){4}"), walk).otherwise(F.array().cast(kind))
+    def unit(x: Column) -> Column:
+        left, right = F.reverse(F.lower(x["before"])), F.lower(x["after"])
+        patterns = F.array(*[pattern(m, w) for m, w in (("<1 ", F.reverse(F.regexp_extract(left, one, 1))), ("<2 ", F.reverse(F.regexp_extract(left, two, 1))), (">1 ", F.regexp_extract(right, one, 1)), (">2 ", F.regexp_extract(right, two, 1)))])
+        short = F.ltrim(x["hit"], F.lit("([{<\"'"))
+        start = x["start"] + F.length(x["hit"]) - F.length(short)
+        token = F.rtrim(short, F.lit(".,;:!?)]}>\"'"))
+        return F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), F.array_compact(patterns).alias("patterns"))
 
+    walk = F.filter(F.transform(located(text, UNIT), unit), lambda u: u["token"] != "")
+    return F.when(text.rlike("@|(?:[0-9][^0-9\\x20\\x09-\\x0D]*+){4}|\\+[0-9]|[0-9](?:[\\x20-]?+[0-9]){15}"), walk).otherwise(F.array().cast("array<struct<start:int,end:int,token:string,patterns:array<string>>>"))
 
-def _discovered(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans (doc_id, h, start, end) of tokens that are no base match but stand where confirmed patterns stand.
 
-    Patterns are the one and two words before a token. The graph of patterns and tokens is scored in rounds: seeds are sure;
-    a pattern scores the sum of its tokens' scores over all its occurrences in the corpus, whatever follows them; a token
-    that is no seed scores one less the product of what its patterns leave open. Patterns need MIN_SEEDS distinct seeds.
+def _occurrences(patterns: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+    """(pattern, total): how often the words of each of patterns (pattern) stand in the corpus, whatever is around them.
+
+    The corpus is read once; its words are counted before they are dealt, unless the patterns travel to them.
     """
-    at = found.where(F.size("tokens") > 0).select("doc_id", "h", "base", F.explode("tokens").alias("t"))
-    seed = F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    at = at.select("doc_id", "h", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.token").alias("token"), seed.alias("seed"), F.explode(F.array(F.concat(F.lit("1 "), F.col("t.one")), F.concat(F.lit("2 "), F.col("t.two")))).alias("pattern")).where("length(pattern) > 2")
-    at = written(at, "contexts")
-    strong = at.groupBy("pattern").agg(F.count_distinct(F.when(F.col("seed"), F.col("token"))).alias("seeds"), F.sum((~F.col("seed")).cast("long")).alias("new")).where(f"seeds >= {MIN_SEEDS} and new > 0")
-    strong = written(strong.select("pattern"), "patterns")
-    n = strong.count()
-    if not n:
-        return None
-    # All occurrences of those patterns: the corpus is read once, and its words are counted before they are dealt.
+    keys = patterns.select("pattern", F.substring("pattern", 4, 1 << 30).alias("words"))
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), f"[{_S}]++"), lambda w: w != "")
     w = docs.select(words.alias("w"))
-    pairs = F.zip_with("w", F.slice(F.col("w"), 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(F.lit("2 "), a, F.lit(" "), b))
-    every = w.select(F.explode(F.concat(F.transform("w", lambda a: F.concat(F.lit("1 "), a)), F.coalesce(pairs, F.array().cast("array<string>")))).alias("pattern"))
-    every = every.join(F.broadcast(strong), "pattern") if n <= BROADCAST_PATTERNS else every.groupBy("pattern").agg(F.count("*").alias("k")).join(strong, "pattern")
-    total = written(every.groupBy("pattern").agg((F.count("*") if n <= BROADCAST_PATTERNS else F.sum("k")).alias("total")), "occurrences")
-    edge = at.join(strong, "pattern").groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(total, "pattern")
-    edge = written(edge.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0)), "graph")
-    for _ in range(ROUNDS):
-        p = edge.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"))
-        scored = edge.drop("score", "p").join(p, "pattern")
-        t = scored.groupBy("token").agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col("p"), F.lit(1e-6)))))).alias("score"))
-        edge = written(scored.join(t, "token").select("pattern", "token", "n", "seed", "total", "p", "score"), "graph")
-    sure = edge.where(f"not seed and p >= {MIN_PATTERN} and score >= {MIN_INSTANCE}").select("pattern", "token").distinct()
-    return written(at.where("not seed").join(sure, ["pattern", "token"]).select("doc_id", "h", "start", "end").distinct(), "discovered")
+    pairs = F.zip_with("w", F.slice(F.col("w"), 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    every = w.select(F.explode(F.concat("w", F.coalesce(F.filter(pairs, lambda x: x.isNotNull()), F.array().cast("array<string>")))).alias("words"))
+    if few:
+        total = every.join(F.broadcast(keys.select("words").distinct()), "words").groupBy("words").agg(F.count("*").alias("total"))
+    else:
+        total = every.groupBy("words").agg(F.count("*").alias("total")).join(keys.select("words").distinct(), "words")
+    return keys.join(total, "words").select("pattern", "total")
+
+
+def _discovered(found: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Spans (doc_id, h, start, end) of units that hold no base match but stand where confirmed patterns stand.
+
+    Bootstrapping: units that hold base matches are the first sure instances. A pattern is confirmed once it stands next to
+    MIN_SEEDS distinct sure instances and these make up MIN_PATTERN of all its occurrences in the corpus, whatever else stands
+    there. A unit scores one less the product of what its confirmed patterns leave open; those that reach MIN_INSTANCE are
+    sure in their turn and can confirm further patterns, until a round finds none.
+    """
+    at = found.where(F.size("units") > 0).select("doc_id", "h", F.explode("units").alias("u"))
+    at = at.select("doc_id", "h", F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.col("u.token").alias("token"), F.col("u.patterns").alias("patterns"), (F.size(base_spans(F.col("u.token"))) > 0).alias("seed"))
+    at = written(at, "units").select("doc_id", "h", "start", "end", "token", "seed", F.explode("patterns").alias("pattern"))
+    # Whatever is found on the way, only patterns with so many distinct instances, and others than seeds, can come to count.
+    each = at.groupBy("pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    able = each.groupBy("pattern").agg(F.count("*").alias("k"), F.min("seed").alias("all"), F.sum("n").alias("instances")).where(f"k >= {MIN_SEEDS} and not all").select("pattern", "instances")
+    able = written(able, "patterns")
+    n = able.count()
+    if not n:
+        return None
+    few = n <= BROADCAST_PATTERNS
+    small = F.broadcast if few else lambda df: df
+    total = written(_occurrences(able, docs, few).join(able, "pattern").select("pattern", F.greatest("total", "instances").alias("total")), "occurrences")
+    edges = written(each.join(small(total.select("pattern")), "pattern"), "graph")
+    sure = written(edges.where("seed").select("token").distinct(), "sure")
+    size = sure.count()
+    while True:
+        p = edges.join(sure, "token", "left_semi").groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where(f"k >= {MIN_SEEDS}")
+        p = written(p.join(small(total), "pattern").select("pattern", (F.col("n") / F.col("total")).alias("p")).where(f"p >= {MIN_PATTERN}"), "confirmed")
+        score = edges.where("not seed").join(small(p), "pattern").groupBy("token").agg((1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col("p"), F.lit(1e-6)))))).alias("score"))
+        new = written(edges.where("seed").select("token").unionByName(score.where(f"score >= {MIN_INSTANCE}").select("token")).distinct(), "sure")
+        last, size = size, new.count()
+        forget(sure)
+        sure = new
+        if size == last:
+            break
+        forget(p)
+    hit = edges.where("not seed").join(small(p), "pattern").join(sure, "token", "left_semi").select("pattern", "token")
+    out = written(at.where("not seed").join(hit, ["pattern", "token"], "left_semi").select("doc_id", "h", "start", "end").distinct(), "discovered")
+    for x in (able, total, edges, sure, p):
+        forget(x)
+    return out
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and pii for each row of docs (doc_id, text): arrays of spans (kind, start, end), by kind and then start.
 
     base has the matches of the base patterns, pii those and the identifiers that the bootstrapped contexts discover (kind
-    context). Null texts are empty and have no spans; repeated rows and null ids keep their rows; other columns are not read.
+    context). Null texts are empty and have no spans; long texts are looked at whole, in time that grows with their length and
+    matches; repeated rows and null ids keep their rows, and equal texts have equal spans; an empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
-    slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    found = rows.select("doc_id", "h", base_spans(F.col("text")).alias("base"), _contexts(F.col("text")).alias("tokens")).withColumn("base", slim)
-    found = written(found, "pii")
+    found = written(rows.select("doc_id", "h", base_spans(F.col("text")).alias("base"), _units(F.col("text")).alias("units")), "pii")
     more = _discovered(found, docs)
     if more is None or more.isEmpty():
         return found.select("doc_id", "base", F.col("base").alias("pii"))
     extra = more.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("extra"))
     both = found.alias("f").join(extra.alias("e"), F.col("f.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("f.h") == F.col("e.h")), "left")
-    return both.select("f.doc_id", "f.base", F.concat("f.base", F.coalesce("e.extra", F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("pii"))
+    return both.select("f.doc_id", "f.base", F.concat("f.base", F.coalesce("e.extra", F.array().cast(_SPAN))).alias("pii"))
 
 
 def joined(spans: Column) -> Column:
