@@ -18,6 +18,10 @@ PIECE = 200_000
 #: A match of the pattern holds white space only before its other characters, so none spans from a character that is not
 #: white space to a space or line break after it.
 _SAFE = re.compile(r"(?<=[^\s])(?=[ \n])")
+#: White space above which a run of it does not go through the library's expression, whose stack grows with the run.
+RUN = 10_000
+#: What the expression's \\s stands for: Unicode's White_Space, which is not quite Python's.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @functools.lru_cache(maxsize=4)
@@ -42,16 +46,39 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(enc, text: str, size: int = PIECE) -> np.ndarray:
-    if len(text) <= size:
+def _parts(text: str, run: int) -> Iterator[tuple[str, bool]]:
+    """text in order, and whether a part is one match of the pattern: a long run of white space.
+
+    Such a run is one match but for its last character if anything follows it, which may open the next match. Nothing else
+    matches white space but one blank before other characters, so no match spans an edge of the parts.
+    """
+    at = 0
+    for m in re.finditer(f"[{_SPACE}]{{{run},}}+", text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+def encode_text(enc, text: str, size: int = PIECE, run: int = RUN) -> np.ndarray:
+    """Ids of a whole text, of any length and with runs of any length, as the library would have them in one call."""
+    if len(text) <= min(size, run):
         return np.array(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), "<u4") for p in pieces(text, size)])
+    out = []
+    for part, single in _parts(text, run):
+        if single:
+            out.append(np.array(enc._encode_single_piece(part.encode()), "<u4"))
+        else:
+            out += [np.array(enc.encode_ordinary(p), "<u4") for p in pieces(part, size)]
+    return np.concatenate(out)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """All columns of docs but the text, with ids (little-endian unsigned 32-bit) and n_tokens.
 
-    A null text counts as empty and has no ids. Columns of docs that are called ids or n_tokens are replaced.
+    A null text counts as empty and has no ids. Columns of docs that are called ids or n_tokens are replaced, others are kept
+    as they are. Repeated rows and null ids each keep their row; an empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("ids"))
@@ -59,7 +86,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         for b in batches:
-            ids = [encode_text(enc, t or "") for t in b.column(len(keep)).to_pylist()]
+            ids = [encode_text(enc, t.as_py() or "") for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], [*keep, "ids", "n_tokens"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -79,13 +106,17 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the bytes decoded from them, by one pass of Python; with the ids if asked for."""
+    """doc_id, n_tokens and the SHA-256 of the ids and of the bytes decoded from them, by one pass of Python; with the ids if asked for.
+
+    A null or empty text has no ids and the digest of nothing. Texts are encoded whole, whatever their length. Repeated rows
+    and null ids each keep their row, an empty table gives no rows, and other columns, whatever their names, are not read.
+    """
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         for b in batches:
-            coded = [encode_text(enc, t or "") for t in b.column(1).to_pylist()]
+            coded = [encode_text(enc, t.as_py() or "") for t in b.column(1)]
             raw = [x.tobytes() for x in coded]
             out = [
                 b.column(0), pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
