@@ -1,4 +1,4 @@
-"""Quality rules: rule statistics of whole texts, judged by an isolation forest whose cut-off comes from labelled rows."""
+"""Quality rules: an isolation forest over rule statistics of whole texts, with a cut-off that comes from labelled rows."""
 
 from __future__ import annotations
 
@@ -15,14 +15,17 @@ from ._shared import forget, written
 
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "punct_ratio", "distinct_ratio", "top_ratio")
+#: What the forest splits: letters a word, symbols a word, distinct words and the most frequent word among all words. Repeated
+#: lines and windows are left to the base rules: they are rare in good texts, and a forest without labels takes that for odd.
+FEATURES = ("mean_word", "symbol_ratio", "distinct_ratio", "top_ratio")
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Bound of the sample of labelled rows that the forest is fitted on; the cut-off is taken from all labelled rows.
 FIT_ROWS, TREES, TREE_ROWS, SEED = 20_000, 100, 256, 17
-#: Share of good labelled rows that the cut-off may reject, and the share on either side of a statistic's usual range.
-MAX_GOOD_REJECTED, TAIL = 0.005, 0.001
+#: Share of good labelled rows that the cut-off may reject.
+MAX_GOOD_REJECTED = 0.005
+#: Words up to which a text's share of distinct ones is raised to that of LONG words, by a power law.
+LONG, POWER = 400, 0.3
 
-_UPPER, _DIGIT, _PUNCT = bytes(range(65, 91)), bytes(range(48, 58)), b".,;:!?"
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -60,24 +63,17 @@ def rule_row(text: str | None) -> tuple:
     dup = len(lines) - len(set(lines))
     repeat = repeated_words(words)
     per = 1.0 / max(n, 1)
-    chars = 1.0 / max(word_chars, 1)
     counts = Counter(words)
-    long = min(n, 400)
-    return (
-        n, word_chars, symbols, dup, repeat,
-        word_chars * per, symbols * per, dup / max(len(lines), 1), repeat * per,
-        (len(raw) - len(raw.translate(None, _UPPER))) * chars, (len(raw) - len(raw.translate(None, _DIGIT))) * chars,
-        (len(raw) - len(raw.translate(None, _PUNCT))) * per,
-        len(counts) * per * (long / 400) ** 0.3 if n else 0.0, max(counts.values(), default=0) * per,
-    )
+    distinct = len(counts) * per * (min(n, LONG) / LONG) ** POWER if n else 0.0
+    return n, word_chars, symbols, dup, repeat, word_chars * per, symbols * per, distinct, max(counts.values(), default=0) * per
 
 
 _STATS = pa.schema([(c, pa.int64()) for c in BASE] + [(c, pa.float64()) for c in FEATURES])
 STATS_SCHEMA = ", ".join([f"{c} long" for c in BASE] + [f"{c} double" for c in FEATURES])
 
 
-def _columns(texts: list) -> list[pa.Array]:
-    rows = [rule_row(t) for t in texts]
+def _columns(texts: pa.Array) -> list[pa.Array]:
+    rows = [rule_row(t.as_py()) for t in texts]
     return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_STATS)]
 
 
@@ -87,7 +83,7 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1).to_pylist())], ["doc_id", *_STATS.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1))], ["doc_id", *_STATS.names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, {STATS_SCHEMA}")
@@ -161,17 +157,9 @@ class IsolationForest:
 class QualityModel:
     forest: IsolationForest | None
     cutoff: float
-    low: np.ndarray | None = None
-    high: np.ndarray | None = None
-
-    def severity(self, x: np.ndarray) -> np.ndarray:
-        """How far each statistic lies outside the usual range of good rows, in widths of that range; then the worst and the sum."""
-        width = np.maximum(self.high - self.low, 1e-3)
-        s = np.log1p(np.maximum(np.maximum(self.low - x, x - self.high), 0.0) / width)
-        return np.column_stack([s, s.max(axis=1, initial=0.0), s.sum(axis=1)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.forest.score(self.severity(x)) if self.forest is not None and len(x) else np.zeros(len(x))
+        return self.forest.score(x) if self.forest is not None and len(x) else np.zeros(len(x))
 
     def verdict(self, base: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, repeat = base["n_words"], base["n_repeat_words"]
@@ -183,9 +171,10 @@ class QualityModel:
 def fit_quality(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
     """The forest of labelled rows and its cut-off.
 
-    The usual ranges and the forest are fitted on at most fit_rows labelled rows that pass the base rules, in the order of a
-    hash of their id. The forest splits how far a row's statistics lie outside the ranges of good rows. The cut-off is the best Youden index over all labelled rows among those that reject at most MAX_GOOD_REJECTED of the good ones. Without
-    good labelled rows there is no forest, and only the base rules reject.
+    The forest is fitted on the rule statistics of at most fit_rows labelled rows that pass the base rules, in the order of a
+    hash of their id, whatever their label. Labels set the cut-off: the best Youden index over all labelled rows among the
+    cut-offs that reject at most MAX_GOOD_REJECTED of the good ones. Without good labelled rows there is no forest, and only
+    the base rules reject. Null labels and null ids are not used; of an id with several labels the greatest counts.
     """
     y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__y"))
     rows = stats.join(y, "doc_id").where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
@@ -193,12 +182,10 @@ def fit_quality(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     order = F.xxhash64("doc_id", F.lit(SEED))
     part = min(1.0, 1.25 * fit_rows / max(rows.count(), 1))  # so that tasks do not each send that many rows
     sample = rows.where(F.pmod(order, F.lit(1_000_000)) < round(part * 1e6)).orderBy(order, *FEATURES).limit(fit_rows).select("__y", *FEATURES).toPandas()
-    good = sample[sample["__y"] == 1][list(FEATURES)].to_numpy(float)
-    if not len(good):
+    if not (sample["__y"] == 1).any():
         forget(rows)
         return QualityModel(None, 1.0)
-    model = QualityModel(None, 1.0, np.quantile(good, TAIL, axis=0), np.quantile(good, 1 - TAIL, axis=0))
-    model.forest = IsolationForest.fit(model.severity(sample[list(FEATURES)].to_numpy(float)))
+    model = QualityModel(IsolationForest.fit(sample[list(FEATURES)].to_numpy(float)), 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,7 +228,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; the statistics are taken again rather than joined back."""
+    """The rows of docs that the rules keep, with all their columns; the statistics are taken again rather than joined back.
+
+    Null, empty and short texts go, as the base rules have it. Repeated rows and null ids are each judged by their text; an
+    empty table stays empty; columns of any other name pass through.
+    """
     stats = written(rule_stats(docs), "stats")
     model = fit_quality(stats, labels)
     forget(stats)
@@ -249,7 +240,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = dict(zip(_STATS.names, (c.to_numpy(zero_copy_only=False) for c in _columns(b.column(at).to_pylist())), strict=True))
+            cols = dict(zip(_STATS.names, (c.to_numpy(zero_copy_only=False) for c in _columns(b.column(at))), strict=True))
             kept = model.verdict(cols, np.column_stack([cols[c] for c in FEATURES]))[2]
             yield b.filter(pa.array(kept, pa.bool_()))
 
