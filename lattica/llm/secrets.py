@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -19,11 +20,14 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(e[yw][A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}+={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.-]*+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(e[yw][A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+)(?:\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?")
+#: Encoded text of 16 bytes or more, the least that _holds_secret looks at; and what a line may go on with.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}+={0,2}")
 _HEXES = re.compile(r"[0-9a-fA-F]{32,}+")
-_DEPTH = 3
+_NEXT = re.compile(r"\r?\n[ \t]*+([A-Za-z0-9+/_-]++={0,2})")
+LEAST = 16
 
 
 def _unbase64(s: str) -> bytes | None:
@@ -119,11 +123,18 @@ def is_signed_header(segment: str, rest: str) -> bool:
         return False
 
 
-def _holds_secret(b: bytes, depth: int) -> bool:
-    """Decoded bytes that are a key or, as text, hold a confirmed secret or an access key."""
-    if is_der_key(b) or is_openssh_key(b):
+def _is_key(b: bytes) -> bool:
+    return is_der_key(b) or is_openssh_key(b)
+
+
+def _holds_secret(b: bytes) -> bool:
+    """Decoded bytes that are a key or, as text, hold a confirmed secret or an access key, however often it is encoded.
+
+    Each decoding is at most three quarters as long as what it decodes, so that this ends.
+    """
+    if _is_key(b):
         return True
-    if depth >= _DEPTH or len(b) < 16:
+    if len(b) < LEAST:
         return False
     try:
         s = b.decode("ascii")
@@ -131,37 +142,84 @@ def _holds_secret(b: bytes, depth: int) -> bool:
         return False
     if not s.isprintable() and not all(c.isprintable() or c in "\r\n\t" for c in s):
         return False
-    return bool(_ACCESS.search(s)) or any(len(m[1]) >= 12 for m in _ASSIGN.finditer(s)) or bool(confirmed(s, depth + 1))
+    return bool(_ACCESS.search(s)) or any(len(m[1]) >= 12 for m in _ASSIGN.finditer(s)) or bool(confirmed(s))
 
 
-def confirmed(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
+def _pem_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of PEM blocks, each looked for up to the next header only."""
+    heads = list(_PEM.finditer(text))
+    for m, end in zip(heads, [*(x.start() for x in heads[1:]), len(text)], strict=True):
+        tail = f"-----END {m[1]}-----"
+        at = text.find(tail, m.end(), end)
+        if at < 0 or not _PEM_BODY.fullmatch(text, m.end(), at):
+            continue
+        inner = text[m.end() : at]
+        raw = _unbase64(re.sub(r"\s+", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", inner)))
+        if raw and (_is_key(raw) or "ENCRYPTED" in inner and len(raw) >= 24):
+            yield m.start(), at + len(tail)
+
+
+def _wrapped_lines(text: str, m: re.Match) -> tuple[int, int, str]:
+    """Where lines end that a run of base64 goes on in, where other lines may begin, and their characters.
+
+    Lines are as long as the first one, but for the last, which may be shorter, and may then be the first of others.
+    """
+    parts, end, width, begin = [m[0]], m.end(), len(m[0]), m.end()
+    while "=" not in parts[-1] and len(parts[-1]) == width:
+        after = _NEXT.match(text, end)
+        if after is None or len(after[1]) > width:
+            break
+        parts.append(after[1])
+        end = after.end()
+        begin = end if len(after[1]) == width else after.start(1)
+    return end, begin, "".join(parts)
+
+
+def _kind(raw: bytes | None) -> str | None:
+    return ("key" if _is_key(raw) else "wrapped") if raw and _holds_secret(raw) else None
+
+
+def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans of encoded secrets whose structure was parsed; a span inside one already taken is left out."""
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    layers: list[list[tuple[int, int]]] = []  # each in order and without overlaps
 
     def add(kind: str, start: int, end: int) -> None:
-        if not any(a <= start and end <= b for a, b in taken):
-            out.append((kind, start, end))
-            taken.append((start, end))
+        for layer in layers:
+            i = bisect.bisect_right(layer, (start, 1 << 62)) - 1
+            if i >= 0 and end <= layer[i][1]:
+                return
+        out.append((kind, start, end))
+
+    def close() -> None:
+        layers.append([(s, e) for _, s, e in out[sum(map(len, layers)) :]])
 
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])
-            raw = _unbase64(re.sub(r"\s+", "", body))
-            if raw and (is_der_key(raw) or is_openssh_key(raw) or "ENCRYPTED" in m[2] and len(raw) >= 24):
-                add("key", *m.span())
+        for start, end in _pem_keys(text):
+            add("key", start, end)
+    close()
     if "." in text:
         for m in _TOKEN.finditer(text):
             if is_signed_header(m[1], m[2]):
                 add("token", *m.span())
+    close()
+    taken = begin = 0  # the end of lines that were reported, and where lines may begin
     for run in _BASE64.finditer(text):  # runs of hex digits are runs of base64 as well
+        if run.end() <= taken:
+            continue
+        if run.start() >= begin:
+            end, begin, lines = _wrapped_lines(text, run)
+            if end > run.end() and (found := _kind(_unbase64(lines))):
+                add(found, run.start(), end)
+                taken = begin = end
+                continue
+        whole = False
         for m in _HEXES.finditer(text, *run.span()):
-            raw = bytes.fromhex(m[0][: len(m[0]) & ~1])
-            if _holds_secret(raw, depth):
-                add("key" if is_der_key(raw) or is_openssh_key(raw) else "wrapped", *m.span())
-        raw = _unbase64(run[0])
-        if raw and _holds_secret(raw, depth):
-            add("key" if is_der_key(raw) or is_openssh_key(raw) else "wrapped", *run.span())
+            if found := _kind(bytes.fromhex(m[0][: len(m[0]) & ~1])):
+                add(found, *m.span())
+                whole = whole or m.span() == run.span()
+        if not whole and (found := _kind(_unbase64(run[0]))):
+            add(found, *run.span())
     return out
 
 
@@ -188,21 +246,27 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and secrets, an array of (kind, start, end), for each row of docs (doc_id, text).
 
-    A null or empty text has none; repeated rows and null ids each keep their row; other columns are not read.
+    Encodings are opened however deep they are nested; texts are looked at whole, in time that grows with their length. A null
+    or empty text has none; repeated rows and null ids each keep their row; an empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     rows = docs.select("doc_id", "text")
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t)] for t in b.column(1).to_pylist()]
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, spans)], ["doc_id", "secrets"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, secrets {_SPANS}")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every secret replaced by MASK, all columns kept; n_chars, where there is one, follows the new text."""
+    """docs with every secret replaced by MASK, all columns kept; n_chars, where there is one, follows the new text.
+
+    Overlapping spans become one mask. Null and empty texts stay as they are, as do repeated rows, null ids and columns of any
+    other name; an empty table stays empty.
+    """
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
