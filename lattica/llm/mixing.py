@@ -24,23 +24,30 @@ def source_targets(units: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     """One row for each source (no_source, source): source_size, units, weight and target.
 
     Sources take the weights in turn, in the order of code points with null last, and share all words by weight. No target
-    is above max_repeat times its source's size: with sources ordered by that limit over the weight, those before the first
-    whose fair share of the rest fits are at their limit. The window runs over one row for each source.
+    is above max_repeat times its source's size, the excess is shared again. Sources are ranked by ranges and their rows'
+    places within them, and the fair share of a unit of weight is raised until no further source is at its limit: each round
+    is one sum over all sources, so that no task holds them all.
     """
     s = units.groupBy("no_source", "source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"), F.count("*").alias("units"))
-    rank = F.row_number().over(Window.orderBy("no_source", "source")) - 1
+    # The lower 33 bits of the generated id count the rows of a partition, the upper ones are its number.
+    s = s.repartitionByRange("no_source", "source").sortWithinPartitions("no_source", "source").withColumn("id", F.monotonically_increasing_id())
+    s = written(s, "sources").withColumn("part", F.shiftright("id", 33)).withColumn("place", F.col("id").bitwiseAND((1 << 33) - 1))
+    parts = s.groupBy("part").agg(F.count("*").alias("n"))
+    # One row for each partition of the shuffle.
+    before = written(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "parts")
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    s = s.withColumn("weight", F.element_at(turn, (rank % len(weights) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(max_repeat)))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "no_source", "source")
-    everything = Window.partitionBy()
-    s = s.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    s = s.withColumn("before", F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("rest", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    share = (F.col("total") - F.col("before")) / F.col("rest")
-    s = s.withColumn("fits", share * F.col("weight") <= F.col("most"))
-    s = s.withColumn("level", F.max(F.when(F.col("fits"), share)).over(everything))
-    # max: after the first source that fits, taking others at their limit only lowers the share.
-    return s.select("no_source", "source", "source_size", "units", "weight", F.least("most", F.coalesce(F.col("level") * F.col("weight"), "most")).alias("target"))
+    s = s.join(F.broadcast(before), "part").withColumn("weight", F.element_at(turn, ((F.col("before") + F.col("place")) % len(weights) + 1).cast("int")))
+    s = s.select("no_source", "source", "source_size", "units", "weight", (F.col("source_size") * F.lit(float(max_repeat))).alias("most"))
+    total, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    share = (total or 0) / all_weights if all_weights else 0.0
+    while True:
+        full = F.col("most") < F.lit(share) * F.col("weight")
+        taken, left = s.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        new = ((total or 0) - taken) / left if left else float("inf")
+        if new <= share:
+            break
+        share = new
+    return s.select("no_source", "source", "source_size", "units", "weight", F.least("most", F.lit(share) * F.col("weight")).alias("target"))
 
 
 def flight(size: np.ndarray, pi: np.ndarray, seed: np.ndarray, left: int = LEFT) -> np.ndarray:
@@ -133,7 +140,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
     Rows with the same id, source and text are one unit, whose c rows share a decision. A source that is to give r times its
     words gives every unit floor(r) times, and once more a balanced sample of the units with probability r - floor(r): its
     words and its units come to the expected sums but for the landing of at most LEFT units. Null texts are empty, a null
-    source is a source of its own, null ids are kept. All is derived from hashes, so reruns agree.
+    source is a source of its own, null ids are kept. All is derived from hashes, so reruns agree. An empty table gives no
+    rows; texts of any length are one unit; columns of other names are not read.
     """
     units = written(_units(docs), "units")
     targets = written(source_targets(units, weights, max_repeat), "targets")
@@ -143,7 +151,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
     rows = units.join(few, ["no_source", "source"]).withColumn("r", F.least(ratio, F.lit(float(max_repeat)))).withColumn("whole", F.floor(F.col("r") + 1e-12))
     rows = rows.withColumn("pi", F.greatest(F.col("r") - F.col("whole"), F.lit(0.0)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", F.lit(SEED)), F.ceil(F.col("units") / BLOCK)))
-    fly = rows.select("doc_id", "no_source", "source", "h", "size", "c", "source_size", "target", "whole", "pi", "block")
+    # Written, so that the blocks of a source are dealt apart even where the join has dealt by source.
+    fly = written(rows.select("doc_id", "no_source", "source", "h", "size", "c", "source_size", "target", "whole", "pi", "block"), "flight")
     still = (F.col("pi") > 1e-9) & (F.col("pi") < 1 - 1e-9)
     parts, blocks, most = [fly.where(~still)], 1, -(-(bound[1] or 0) // BLOCK)
     now = fly.where(still)
@@ -163,7 +172,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat:
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mix itself: each row of docs, with all its columns, as often as the mix takes it."""
+    """The mix itself: each row of docs, with all its columns, as often as the mix takes it.
+
+    Rows with the same id, source and text share a decision, whatever their other columns. Null and empty texts, null ids and
+    null sources are as in mix_sources; an empty table stays empty.
+    """
     d = mix_sources(docs, weights, max_repeat).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__s"), F.col("copies").alias("__n"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))
     return docs.join(d, same).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
