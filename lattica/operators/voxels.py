@@ -23,26 +23,36 @@ def keyed(points: DataFrame, size: float = SIZE) -> DataFrame:
 KEY = ("kx", "ky", "kz")
 
 
-def fuse(points: DataFrame, size: float = SIZE, dims: int = 4) -> DataFrame:
-    """Per voxel: points, weight, the sums of the features and of the weighted features, and their maxima.
+#: What each mode sums up for each dimension: s plain, sw weighted, m the greatest.
+MODES = {"mean": ("s",), "confidence_weighted": ("sw",), "max": ("m",)}
+
+
+def _kinds(mode: str | None) -> tuple[str, ...]:
+    return ("s", "sw", "m") if mode is None else MODES[mode]
+
+
+def fuse(points: DataFrame, size: float = SIZE, dims: int = 4, mode: str | None = None) -> DataFrame:
+    """Per voxel: points, weight, and of each dimension the sums of the features and of the weighted features and their maxima,
+    or what one mode needs of these.
 
     Sums and weights are kept apart, so that fields merge and reload exactly; means are taken by `finished`.
     """
-    f = [F.get("e", F.lit(i)) for i in range(dims)]
     aggs = [F.count("*").alias("n"), F.sum("w").alias("weight")]
-    for i, x in enumerate(f):
-        aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * F.col("w")).alias(f"sw{i}"), F.max(x).alias(f"m{i}")]
+    for i in range(dims):
+        x = F.get("e", F.lit(i))
+        own = {"s": F.sum(x), "sw": F.sum(x * F.col("w")), "m": F.max(x)}
+        aggs += [own[k].alias(f"{k}{i}") for k in _kinds(mode)]
     return keyed(points, size).groupBy(*KEY).agg(*aggs)
 
 
-def merged(*fields: DataFrame, dims: int = 4) -> DataFrame:
+def merged(*fields: DataFrame, dims: int = 4, mode: str | None = None) -> DataFrame:
     """Several fields as one."""
     out = fields[0]
     for x in fields[1:]:
         out = out.unionByName(x)
     aggs = [F.sum("n").alias("n"), F.sum("weight").alias("weight")]
     for i in range(dims):
-        aggs += [F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"sw{i}").alias(f"sw{i}"), F.max(f"m{i}").alias(f"m{i}")]
+        aggs += [(F.max if k == "m" else F.sum)(f"{k}{i}").alias(f"{k}{i}") for k in _kinds(mode)]
     return out.groupBy(*KEY).agg(*aggs)
 
 
@@ -102,27 +112,30 @@ def color_histogram(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(total))
 
 
-# ---------------------------------------------------------------------------------------------------- tracks
+def color_features(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(vec_id, dim, value): the 72 dimensions of each image region, as a unit vector.
 
+    64 shares: of each cell of a 2 x 2 grid over the image, the pixels by 8 hues, 4 saturations and 4 values. Then the mean hue,
+    the mean and deviation of saturation and of value, the aspect of the region's box (a tenth of it, 1 at most), its share of the
+    image, and the height of its box's middle. pixels are the region's: (vec_id, u, v, r, g, b).
+    """
+    shares = color_histogram(pixels, width, height)
+    at = F.when(F.col("kind") == "h", 0).when(F.col("kind") == "s", 8).otherwise(12)
+    local = shares.select("vec_id", (F.col("cell") * 16 + at + F.col("bin")).cast("int").alias("dim"), F.col("share").alias("x"))
+    h, s, v = hsv(F.col("r"), F.col("g"), F.col("b"))
+    p = pixels.select("vec_id", "u", "v", h.alias("__h"), s.alias("__s"), v.alias("__v"))
+    wide, high = F.max("u") - F.min("u") + 1, F.max("v") - F.min("v") + 1
+    g = p.groupBy("vec_id").agg(
+        F.avg("__h").alias("g0"), F.avg("__s").alias("g1"), F.stddev_pop("__s").alias("g2"), F.avg("__v").alias("g3"), F.stddev_pop("__v").alias("g4"),
+        (F.least(wide / high, F.lit(10.0)) / 10).alias("g5"), (F.count("*") / F.lit(float(width * height))).alias("g6"), F.least(F.lit(1.0), (F.min("v") + F.max("v") + 1) / 2.0 / height).alias("g7"),
+    )
+    whole = g.select("vec_id", F.explode(F.array(*[F.struct(F.lit(64 + i).alias("dim"), F.col(f"g{i}").alias("x")) for i in range(8)])).alias("d")).select("vec_id", "d.dim", "d.x")
+    every = local.unionByName(whole)
+    n = every.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    return every.join(n, "vec_id").select("vec_id", "dim", F.when(F.col("n") > 1e-8, F.col("x") / F.col("n")).otherwise(F.col("x")).alias("value"))
 
-def track_summary(points: DataFrame, by: str = "label", size: float = SIZE) -> DataFrame:
-    """One row for each track: centre, robust box, votes, feature, purity, support and confidence.
 
-    The box is the 2nd to 98th percentile on each axis from eight points on, else the least and greatest. Confidence is the
-    cube root of purity, voxel support and observation support, each 0.001 at least.
-    """
-    v = keyed(points, size)
-    box = []
-    for k in G.AXES:
-        p = F.percentile(k, F.array(F.lit(0.02), F.lit(0.98)))
-        box += [F.when(F.count("*") >= 8, F.greatest(F.min(k), p[0])).otherwise(F.min(k)).alias(f"{k}0"), F.when(F.count("*") >= 8, F.least(F.max(k), p[1])).otherwise(F.max(k)).alias(f"{k}1")]
-    voxel = F.count_distinct(F.struct(*KEY))
-    base = v.groupBy(by).agg(F.count("*").alias("n_points"), *[F.avg(k).alias(f"c{k}") for k in G.AXES], *box, F.count_distinct("frame").alias("n_frames"), voxel.alias("n_voxels"), F.avg("w").alias("mean_score"))
-    votes = points.groupBy(by, "frame").agg(F.count("*").alias("votes")).groupBy(by).agg(F.max("votes").alias("top"), F.sum("votes").alias("all"))
-    out = base.join(votes, by).withColumn("purity", F.col("top") / F.col("all"))
-    out = out.withColumn("support", F.least(F.lit(1.0), F.greatest(F.col("n_voxels"), F.floor(F.col("n_points") / 50)) / 10)).withColumn("seen", F.least(F.lit(1.0), F.col("n_frames") / 3))
-    f = lambda c: F.greatest(F.col(c), F.lit(1e-3))
-    return out.withColumn("confidence", F.pow(f("purity") * f("support") * f("seen"), F.lit(1 / 3))).drop("top", "all")
+# ---------------------------------------------------------------------------------------------------- tracks
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -157,60 +170,80 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in out)
 
 
-def match_score(track: dict, obs: dict) -> float:
-    """How well an observation fits a track: by distance up to the radius, else by overlap; -1 if neither fits or labels differ."""
-    if track["label"] and obs["label"] and track["label"] != obs["label"]:
-        return -1.0
-    d = float(np.linalg.norm(track["sum"] / track["n"] - obs["c"]))
-    if d <= ASSOC_RADIUS:
-        return 1.0 - d / ASSOC_RADIUS
-    lo, hi = np.maximum(track["lo"], obs["lo"]), np.minimum(track["hi"], obs["hi"])
-    inter = float(np.prod(np.maximum(hi - lo, 0)))
-    union = float(np.prod(track["hi"] - track["lo"]) + np.prod(obs["hi"] - obs["lo"])) - inter
-    iou = inter / union if union > 1e-12 else 0.0
-    return iou if iou >= ASSOC_IOU else -1.0
+def match_scores(centre: np.ndarray, box: np.ndarray, seen: np.ndarray, seen_box: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """How well each observation (rows) fits each track: by distance up to the radius, else by overlap; -1 if neither or labels do not fit."""
+    d = np.linalg.norm(seen[:, None, :] - centre[None, :, :], axis=2)
+    low, high = np.maximum(seen_box[:, None, :3], box[None, :, :3]), np.minimum(seen_box[:, None, 3:], box[None, :, 3:])
+    inter = np.prod(np.maximum(high - low, 0.0), axis=2)
+    union = np.prod(seen_box[:, 3:] - seen_box[:, :3], axis=1)[:, None] + np.prod(box[:, 3:] - box[:, :3], axis=1)[None, :] - inter
+    overlap = np.where(union > 1e-12, inter / np.maximum(union, 1e-12), 0.0)
+    score = np.where(d <= ASSOC_RADIUS, 1.0 - d / ASSOC_RADIUS, np.where(overlap >= ASSOC_IOU, overlap, -1.0))
+    return np.where(fits, score, -1.0)
+
+
+class _Tracks:
+    """What is known of a scene's tracks: points' sums and counts, boxes, and votes for labels."""
 
+    def __init__(self, fits: np.ndarray):
+        self.fits, self.n = fits, 0
+        self.sums, self.counts, self.boxes = np.zeros((0, 3)), np.zeros(0), np.zeros((0, 6))
+        self.votes = np.zeros((0, len(fits)))
 
-def associate(frames: pd.DataFrame, one_to_one: bool = True) -> pd.DataFrame:
-    """Track numbers of one scene's observations, frame by frame: a frame's best assignment, or the best track for each in turn."""
-    tracks: list[dict] = []
-    out = []
+    def scores(self, centre: np.ndarray, box: np.ndarray, label: np.ndarray) -> np.ndarray:
+        own = self.votes.argmax(axis=1) if self.n else np.zeros(0, int)
+        return match_scores(self.sums / self.counts[:, None], self.boxes, centre, box, self.fits[label][:, own])
 
-    def put(obs: dict, t: int | None) -> int:
+    def put(self, t: int | None, centre: np.ndarray, box: np.ndarray, label: int, n: float) -> int:
         if t is None:
-            tracks.append({"label": obs["label"], "sum": np.zeros(3), "n": 0, "lo": obs["lo"].copy(), "hi": obs["hi"].copy()})
-            t = len(tracks) - 1
-        x = tracks[t]
-        x["sum"] = x["sum"] + obs["c"]
-        x["n"] += 1
-        x["lo"], x["hi"] = np.minimum(x["lo"], obs["lo"]), np.maximum(x["hi"], obs["hi"])
+            t, self.n = self.n, self.n + 1
+            self.sums = np.vstack([self.sums, np.zeros(3)])
+            self.counts = np.append(self.counts, 0.0)
+            self.boxes = np.vstack([self.boxes, box])
+            self.votes = np.vstack([self.votes, np.zeros(self.votes.shape[1])])
+        self.sums[t] += centre * n
+        self.counts[t] += n
+        self.boxes[t] = np.concatenate([np.minimum(self.boxes[t, :3], box[:3]), np.maximum(self.boxes[t, 3:], box[3:])])
+        self.votes[t, label] += n
         return t
 
+
+def associate(frames: pd.DataFrame, one_to_one: bool = True, like: dict[str, frozenset[str]] | None = None) -> pd.DataFrame:
+    """Track numbers of one scene's observations, frame by frame: a frame's best assignment, or the best track for each in turn.
+
+    A track's label is that with most votes, the first by name of equals; like says which labels are as good as equal. Rows
+    without n_points count as one point.
+    """
+    names = sorted(frames["label"].fillna("").unique())
+    code = {x: i for i, x in enumerate(names)}
+    fits = np.array([[a == b or not a or not b or b in (like or {}).get(a, ()) for b in names] for a in names], bool).reshape(len(names), len(names))
+    tracks, out = _Tracks(fits), []
     for _, frame in frames.sort_values(["frame", "obj_id"]).groupby("frame", sort=True):
-        seen = [{"id": r.obj_id, "label": r.label, "c": np.array([r.cx, r.cy, r.cz]), "lo": np.array([r.x0, r.y0, r.z0]), "hi": np.array([r.x1, r.y1, r.z1])} for r in frame.itertuples()]
-        if one_to_one and tracks:
-            score = np.array([[match_score(t, o) for t in tracks] for o in seen])
-            cost = np.where(score < 0, 1e6, -score)
-            cost = np.hstack([cost, np.zeros((len(seen), len(seen)))])  # columns of no track at all
-            pick = dict(hungarian(cost))
-            n = len(tracks)
-            out += [(o["id"], put(o, pick[i] if pick[i] < n and score[i, pick[i]] >= 0 else None)) for i, o in enumerate(seen)]
-        elif one_to_one:
-            out += [(o["id"], put(o, None)) for o in seen]
-        else:
-            for o in seen:
-                s = [match_score(t, o) for t in tracks]
-                best = int(np.argmax(s)) if s and max(s) >= 0 else None
-                out.append((o["id"], put(o, best)))
+        centre, box = frame[["cx", "cy", "cz"]].to_numpy(float), frame[["x0", "y0", "z0", "x1", "y1", "z1"]].to_numpy(float)
+        label = frame["label"].fillna("").map(code).to_numpy()
+        n = frame["n_points"].to_numpy(float) if "n_points" in frame else np.ones(len(frame))
+        if one_to_one:
+            score = tracks.scores(centre, box, label)
+            cost = np.hstack([np.where(score < 0, 1e6, -score), np.zeros((len(frame), len(frame)))])  # columns of no track at all
+            pick, known = dict(hungarian(cost)), tracks.n
+            to = [pick[i] if pick[i] < known and score[i, pick[i]] >= 0 else None for i in range(len(frame))]
+        for i, obj in enumerate(frame["obj_id"]):
+            if one_to_one:
+                t = to[i]
+            else:
+                own = tracks.scores(centre[i : i + 1], box[i : i + 1], label[i : i + 1])[0]
+                t = int(own.argmax()) if len(own) and own.max() >= 0 else None
+            out.append((obj, tracks.put(t, centre[i], box[i], label[i], n[i])))
     return pd.DataFrame(out, columns=["obj_id", "track"])
 
 
-def tracks(observations: DataFrame, one_to_one: bool = True) -> DataFrame:
+def tracks(observations: DataFrame, one_to_one: bool = True, like: dict[str, frozenset[str]] | None = None) -> DataFrame:
     """(scene, obj_id, track): frames of a scene are taken in order, scenes in parallel."""
+    cols = ["scene", "frame", "obj_id", "label", "cx", "cy", "cz", "x0", "y0", "z0", "x1", "y1", "z1", *(["n_points"] if "n_points" in observations.columns else [])]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return associate(pdf, one_to_one).assign(scene=pdf["scene"].iloc[0])[["scene", "obj_id", "track"]]
+        return associate(pdf, one_to_one, like).assign(scene=pdf["scene"].iloc[0])[["scene", "obj_id", "track"]]
 
-    return observations.groupBy("scene").applyInPandas(run, "scene long, obj_id long, track long")
+    return observations.select(*cols).groupBy("scene").applyInPandas(run, "scene long, obj_id long, track long")
 
 
 def same_label_matches(found: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
@@ -231,8 +264,10 @@ def same_label_matches(found: DataFrame, truth: DataFrame, reach: float = 2.0) -
 
 
 def instance_quality(found: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Claims of each truth: objects of its label within reach."""
+    """Claims of each truth, objects of its label within reach, and spurious objects that no truth of their label is within reach of."""
     p = within_distance(truth.select("label", "obj_id", "cx", "cy", "cz"), found.select("label", "obj_id", "cx", "cy", "cz"), ("cx", "cy", "cz"), reach).where("a.label = b.label")
     n = p.groupBy(F.col("a.obj_id").alias("gt_id")).agg(F.count("*").alias("claims"))
     every = truth.select(F.col("obj_id").alias("gt_id")).join(n, "gt_id", "left").fillna(0, ["claims"])
-    return every.agg(F.count("*").alias("n_gt"), F.sum((F.col("claims") == 0).cast("long")).alias("claims_0"), F.sum((F.col("claims") == 1).cast("long")).alias("claims_1"), F.sum((F.col("claims") >= 2).cast("long")).alias("claims_2"), F.avg(F.greatest(F.col("claims") - 1, F.lit(0))).alias("fragmentation"))
+    spurious = found.join(p.select(F.col("b.obj_id").alias("obj_id")).distinct(), "obj_id", "left_anti").agg(F.count("*").alias("spurious"))
+    out = every.agg(F.count("*").alias("n_gt"), F.sum((F.col("claims") == 0).cast("long")).alias("claims_0"), F.sum((F.col("claims") == 1).cast("long")).alias("claims_1"), F.sum((F.col("claims") >= 2).cast("long")).alias("claims_2"), F.avg(F.greatest(F.col("claims") - 1, F.lit(0))).alias("fragmentation"))
+    return out.join(spurious, F.lit(True))

@@ -25,6 +25,66 @@ def within_distance(a: DataFrame, b: DataFrame, coords: Sequence[str], radius: f
     return left.join(right, keys).drop(*keys).where(F.sqrt(d2) <= radius)
 
 
+def _level(*lengths: Column) -> Column:
+    """The least power of two that is no shorter than any of the lengths, as its exponent."""
+    return F.ceil(F.log2(F.greatest(*lengths, F.lit(1e-9)))).cast("int")
+
+
+def meeting_boxes(a: DataFrame, b: DataFrame, low: Sequence[Column], high: Sequence[Column], low_b: Sequence[Column], high_b: Sequence[Column]) -> DataFrame:
+    """Pairs of rows (structs a and b) whose boxes meet, whatever their sizes, by equi-joins on grids of several sizes.
+
+    A box has the level of its longest side, and at most two cells for each axis on a grid of that size or a coarser one. The
+    grids are those of b's levels and of a's: each pair meets on the grid of the larger box, in the cell of the lower corner of
+    what the two share. Levels are powers of two, so there are few.
+    """
+    n = len(low)
+
+    def sided(df: DataFrame, name: str, lo: Sequence[Column], hi: Sequence[Column]) -> DataFrame:
+        cols = [c.alias(f"__{e}{i}") for e, x in (("l", lo), ("h", hi)) for i, c in enumerate(x)]
+        return df.select(F.struct(*[F.col(c) for c in df.columns]).alias(name), *cols).withColumn("__own", _level(*[F.col(f"__h{i}") - F.col(f"__l{i}") for i in range(n)]))
+
+    x, y = sided(a, "a", low, high), sided(b, "b", low_b, high_b)
+    levels = x.select("__own").unionByName(y.select("__own")).distinct().agg(F.array_sort(F.collect_set("__own")).alias("__levels"))  # one row: the exponents of doubles
+
+    def celled(df: DataFrame, own_only: bool, name: str) -> DataFrame:
+        if own_only:
+            df = df.withColumn("__g", F.col("__own"))
+        else:
+            df = df.join(F.broadcast(levels), F.lit(True)).withColumn("__g", F.explode(F.filter("__levels", lambda v: v >= F.col("__own")))).drop("__levels")
+        for i in range(n):
+            cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("__g"))).cast("long")
+            df = df.withColumn(f"__c{i}", F.explode(F.sequence(cell(F.col(f"__l{i}")), cell(F.col(f"__h{i}")))))
+        keys = ["__g", *[f"__c{i}" for i in range(n)]]
+        return df.select(name, "__own", *keys, *[F.col(f"__{e}{i}").alias(f"__{name}{e}{i}") for e in "lh" for i in range(n)])
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        keys = ["__g", *[f"__c{i}" for i in range(n)]]
+        both = left.drop("__own").join(right.drop("__own"), keys)
+        for i in range(n):
+            corner = F.greatest(f"__al{i}", f"__bl{i}")
+            both = both.where((corner <= F.least(f"__ah{i}", f"__bh{i}")) & (F.floor(corner / F.pow(F.lit(2.0), F.col("__g"))) == F.col(f"__c{i}")))
+        return both.select("a", "b")
+
+    # b's level is the coarser one or the same; then a's alone.
+    first = met(celled(x, False, "a"), celled(y, True, "b"))
+    second = met(celled(x, True, "a"), celled(y, False, "b").where(F.col("__own") < F.col("__g")))
+    return first.unionByName(second)
+
+
+def prefix_sums(df: DataFrame, order: str, values: Sequence[str], blocks: int = 1024) -> DataFrame:
+    """df with sum_<value> of each value over the rows at or below its own order: by blocks of the order's range, so that no task
+    holds all rows. Rows of one order are one group."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    step = ((hi - lo) / blocks or 1.0) if lo is not None else 1.0
+    b = df.withColumn("__b", F.floor((F.col(order) - F.lit(lo if lo is not None else 0)) / F.lit(float(step))))
+    per = b.groupBy("__b").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    every = Window.orderBy("__b")  # a row for each block
+    base = per.select("__b", *[(F.sum(f"__{v}").over(every) - F.col(f"__{v}")).alias(f"__{v}") for v in values])
+    w = Window.partitionBy("__b").orderBy(order)
+    out = b.join(F.broadcast(base), "__b")
+    return out.select(*df.columns, *[(F.col(f"__{v}") + F.sum(v).over(w)).alias(f"sum_{v}") for v in values])
+
+
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, order: str, values: Sequence[str], following: bool = False) -> DataFrame:
     """left with the values of the last row of right at or before its time (or the first at or after it), by one sort per key."""
     marked = left.withColumn("__side", F.lit(1 if not following else 0)).withColumn("__v", F.lit(None).cast(right.select(F.struct(time, *values)).schema[0].dataType))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import geometry as G
+from lattica.operators import frames as FR
+from lattica.operators import mapping as M
 from lattica.operators import panorama as P
 from lattica.operators import spatial as S
 from lattica.operators import voxels as V
@@ -94,37 +96,37 @@ _CENTERS = "(kx+0.5)*0.5 as x, (ky+0.5)*0.5 as y, (kz+0.5)*0.5 as z"
 
 
 @query(f"""with {views.POINTS}, {views.OBJECTS}, v as (select distinct {_KEYS} from points), c as (select *, {_CENTERS} from v),
-    best as (select kx, ky, kz, any_value(x) as x, any_value(y) as y, any_value(z) as z, arg_min(obj_id, ((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))) as obj_id from c, objects where obj_id % 10 = 0 group by kx, ky, kz)
+    best as (select kx, ky, kz, any_value(x) as x, any_value(y) as y, any_value(z) as z, arg_min(obj_id, ((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))) as obj_id from c, objects group by kx, ky, kz)
     select kx, ky, kz, best.obj_id from best join objects using (obj_id) where x between x0-0.15 and x1+0.15 and y between y0-0.15 and y1+0.15 and z between z0-0.15 and z1+0.15""")
 def attach_voxels(spark, sf_dir):
     v = V.keyed(views.points(spark, sf_dir), 0.5).select(*V.KEY).distinct()
     centers = v.select("*", *[G.voxel_center(F.col(f"k{k}"), 0.5).alias(k) for k in G.AXES])
-    landmarks = views.objects(spark, sf_dir).where("obj_id % 10 = 0")
-    return S.attach(centers, landmarks).select(*V.KEY, "obj_id")
+    return S.attach(centers, views.objects(spark, sf_dir)).select(*V.KEY, "obj_id")
 
 
 # ---------------------------------------------------------------------------------------------------- voxels
 
-_FUSE = f"{views.POINTS}, field as (select {_KEYS}, count(*) as n, sum(w) as weight, " + ", ".join(f"sum(e[{i + 1}]) as s{i}, sum(e[{i + 1}]*w) as sw{i}, max(e[{i + 1}]) as m{i}" for i in range(4)) + " from points group by all)"
+_DIMS = 64
+_FUSE = f"{views.POINTS}, field as (select {_KEYS}, count(*) as n, sum(w) as weight, " + ", ".join(f"sum(e[{i + 1}]) as s{i}, sum(e[{i + 1}]*w) as sw{i}, max(e[{i + 1}]) as m{i}" for i in range(_DIMS)) + " from points group by all)"
 
 
-@query(f"with {_FUSE} select kx, ky, kz, n, round(weight,6) as weight, " + ", ".join(f"round(s{i}/n,6) as f{i}" for i in range(4)) + " from field")
+@query(f"with {_FUSE} select kx, ky, kz, n, round(weight,6) as weight, " + ", ".join(f"round(s{i}/n,6) as f{i}" for i in range(_DIMS)) + " from field")
 def voxel_mean(spark, sf_dir):
-    f = V.finished(V.fuse(views.points(spark, sf_dir), 0.5), "mean")
-    return f.select(*V.KEY, "n", *r6("weight", "f0", "f1", "f2", "f3"))
+    f = V.finished(V.fuse(views.points(spark, sf_dir), 0.5, _DIMS, "mean"), "mean", _DIMS)
+    return f.select(*V.KEY, "n", *r6("weight", *[f"f{i}" for i in range(_DIMS)]))
 
 
-@query(f"with {_FUSE} select kx, ky, kz, n, round(weight,6) as weight, " + ", ".join(f"round(sw{i}/greatest(weight,1e-8),6) as f{i}" for i in range(4)) + " from field")
+@query(f"with {_FUSE} select kx, ky, kz, n, round(weight,6) as weight, " + ", ".join(f"round(sw{i}/greatest(weight,1e-8),6) as f{i}" for i in range(_DIMS)) + " from field")
 def voxel_confidence(spark, sf_dir):
-    f = V.finished(V.fuse(views.points(spark, sf_dir), 0.5), "confidence_weighted")
-    return f.select(*V.KEY, "n", *r6("weight", "f0", "f1", "f2", "f3"))
+    f = V.finished(V.fuse(views.points(spark, sf_dir), 0.5, _DIMS, "confidence_weighted"), "confidence_weighted", _DIMS)
+    return f.select(*V.KEY, "n", *r6("weight", *[f"f{i}" for i in range(_DIMS)]))
 
 
-@query(f"with {_FUSE} select kx, ky, kz, n, round(weight,6) as weight, " + ", ".join(f"round(m{i},6) as f{i}" for i in range(4)) + " from field")
+@query(f"with {_FUSE} select kx, ky, kz, n, round(weight,6) as weight, " + ", ".join(f"round(m{i},6) as f{i}" for i in range(_DIMS)) + " from field")
 def voxel_merge_max(spark, sf_dir):
     p = views.points(spark, sf_dir)
-    parts = [V.fuse(p.where(f"frame % 2 = {i}"), 0.5) for i in range(2)]
-    return V.finished(V.merged(*parts), "max").select(*V.KEY, "n", *r6("weight", "f0", "f1", "f2", "f3"))
+    parts = [V.fuse(p.where(f"frame % 2 = {i}"), 0.5, _DIMS, "max") for i in range(2)]
+    return V.finished(V.merged(*parts, dims=_DIMS, mode="max"), "max", _DIMS).select(*V.KEY, "n", *r6("weight", *[f"f{i}" for i in range(_DIMS)]))
 
 
 @query(f"with {views.POINTS}, t as (select {_KEYS}, label, count(*) as votes from points group by all), r as (select *, row_number() over (partition by kx,ky,kz order by votes desc, label) as rank from t) select * from r where rank <= 2")
@@ -165,16 +167,44 @@ def color_histogram(spark, sf_dir):
     return V.color_histogram(views.pixels(spark, sf_dir), 5, 4).select("vec_id", "cell", "kind", "bin", "n", *r6("share"))
 
 
-_BOX = ", ".join(f"case when count(*) >= 8 then greatest(min({k}), quantile_cont({k}, 0.02)) else min({k}) end as {k}0, case when count(*) >= 8 then least(max({k}), quantile_cont({k}, 0.98)) else max({k}) end as {k}1" for k in "xyz")
+_FEAT = f"""c as (select vec_id, least(floor(u*2/5.0),1)::int + 2*least(floor(v*2/4.0),1)::int as cell, u, v, h, s, val from hsv),
+    f as (select vec_id, cell, 'h' as kind, least(floor(h*8),7)::int as bin from c union all select vec_id, cell, 's', 8+least(floor(s*4),3)::int from c union all select vec_id, cell, 'v', 12+least(floor(val*4),3)::int from c),
+    l as (select vec_id, cell*16 + bin as dim, count(*) / any_value(t) as x from (select *, count(*) over (partition by vec_id, cell, kind) as t from f) group by vec_id, cell, kind, bin),
+    w as (select vec_id, avg(h) as g0, avg(s) as g1, stddev_pop(s) as g2, avg(val) as g3, stddev_pop(val) as g4, least((max(u)-min(u)+1)/(max(v)-min(v)+1), 10.0)/10 as g5, count(*)/20.0::double as g6, least(1.0, (min(v)+max(v)+1)/2.0::double/4) as g7 from c group by vec_id),
+    d as (select * from l union all {" union all ".join(f"select vec_id, {64 + i}, g{i} from w" for i in range(8))}), nn as (select vec_id, sqrt(sum(x*x)) as n from d group by vec_id)"""
 
 
-@query(f"""with {views.POINTS}, g as (select label, count(*) as n_points, avg(x) as cx, avg(y) as cy, avg(z) as cz, {_BOX}, count(distinct frame) as n_frames, count(distinct (floor(x/0.5), floor(y/0.5), floor(z/0.5))) as n_voxels, avg(w) as mean_score from points group by label),
-    t as (select label, max(v) as top, sum(v) as al from (select label, frame, count(*) as v from points group by all) group by label),
-    j as (select g.*, top/al as purity, least(1.0, greatest(n_voxels, floor(n_points/50))/10) as support, least(1.0, n_frames/3) as seen from g join t using (label))
-    select label, n_points, n_frames, n_voxels, {", ".join(f"round({c},5) as {c}" for c in ("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1", "mean_score", "purity"))}, round(pow(greatest(purity,1e-3)*greatest(support,1e-3)*greatest(seen,1e-3), 1/3.0), 5) as confidence from j""")
+@query(f"with {views.PIXELS}, {_HSV}, {_FEAT} select vec_id, dim::int as dim, round(x/n, 6) as value from d join nn using (vec_id)")
+def color_features(spark, sf_dir):
+    return V.color_features(views.pixels(spark, sf_dir), 5, 4).select("vec_id", "dim", *r6("value"))
+
+
+_BOX = ", ".join(f"case when count(*) >= 8 then quantile_cont({k}, 0.02) else min({k}) end as {k}0, case when count(*) >= 8 then quantile_cont({k}, 0.98) else max({k}) end as {k}1" for k in "xyz")
+#: Every vector is an observation of a label, with 20 points; a track has seven of them.
+_OBS = f"{views.POINTS}, {views.OBJECTS}, obs as (select obj_id as obs, obj_id // 7 as track, label, conf as score, e from objects), pp as (select vec_id as obs, vec_id // 7 as track, x, y, z from points)"
+
+
+def _tracked(spark, sf_dir):
+    o = views.objects(spark, sf_dir).select(F.col("obj_id").alias("obs"), F.floor(F.col("obj_id") / 7).alias("track"), "label", F.col("conf").alias("score"), "e")
+    return o, views.points(spark, sf_dir).select(F.col("vec_id").alias("obs"), *G.AXES)
+
+
+@query(f"""with {_OBS}, g as (select track, count(*) as n_points, avg(x) as cx, avg(y) as cy, avg(z) as cz, {_BOX}, count(distinct (floor(x/0.5), floor(y/0.5), floor(z/0.5))) as n_voxels from pp group by track),
+    n as (select obs, count(*) as n from pp group by obs), v as (select track, label, sum(greatest(n, 1)) as v from obs join n using (obs) group by all), t as (select track, max(v) / sum(v) as purity, arg_min(label, row(-v, label)) as label, string_agg(label || '=' || v::bigint, ',' order by v desc, label) as votes from (select *, row_number() over (partition by track order by v desc, label) as rk from v) group by track),
+    top as (select track, string_agg(label || '=' || v::bigint, ',' order by v desc, label) as votes from (select *, row_number() over (partition by track order by v desc, label) as rk from v) where rk <= 5 group by track),
+    s as (select track, count(*) as n_observations, avg(score) as mean_score from obs group by track),
+    j as (select g.*, t.label, t.purity, top.votes, s.n_observations, s.mean_score, least(1.0, greatest(n_voxels, floor(n_points/50))/10) as support, least(1.0, n_observations/3) as seen from g join t using (track) join top using (track) join s using (track))
+    select track, label, votes, n_points, n_observations, n_voxels, {", ".join(f"round({c},5) as {c}" for c in ("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1", "mean_score", "purity"))}, round(pow(greatest(purity,1e-3)*greatest(support,1e-3)*greatest(seen,1e-3), 1/3.0), 5) as confidence from j""")
 def track_summary(spark, sf_dir):
-    t = V.track_summary(views.points(spark, sf_dir), "label", 0.5)
-    return t.select("label", "n_points", "n_frames", "n_voxels", *[F.round(c, 5).alias(c) for c in ("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1", "mean_score", "purity", "confidence")])
+    t = M.track_summary(*_tracked(spark, sf_dir), size=0.5)
+    votes = F.array_join(F.transform("votes", lambda x: F.concat_ws("=", x["label"], x["votes"].cast("string"))), ",").alias("votes")
+    return t.select("track", "label", votes, "n_points", "n_observations", "n_voxels", *[F.round(c, 5).alias(c) for c in ("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1", "mean_score", "purity", "confidence")])
+
+
+@query(f"with {_OBS}, w as (select track, i, sum(e[i+1]*greatest(score,1e-3))/sum(greatest(score,1e-3)) as x from obs, range(64) t(i) group by all), n as (select track, sqrt(sum(x*x)) as n from w group by track) select track, i::int as dim, round(x/n,6) as value from w join n using (track)")
+def track_features(spark, sf_dir):
+    f = M.track_features(_tracked(spark, sf_dir)[0])
+    return f.select("track", F.posexplode("e").alias("dim", "value")).select("track", "dim", *r6("value"))
 
 
 def _observations(spark, sf_dir):
@@ -192,11 +222,20 @@ def tracks_assigned(spark, sf_dir):
     return V.tracks(_observations(spark, sf_dir))
 
 
-@query()
+_GROUPED = f"""with recursive {views.OBJECTS}, near as (select a.obj_id as a, b.obj_id as b from objects a join objects b on {_DIST} <= 0.55),
+    core as (select a as id from near group by a having count(*) >= 4), link as (select a, b from near where a in (select id from core) and b in (select id from core)),
+    reach(a, b) as (select id, id from core union select r.a, l.b from reach r join link l on r.b = l.a),
+    own as (select a as id, min(b) as cluster from reach group by a), border as (select n.a as id, min(own.cluster) as cluster from near n join own on n.b = own.id group by n.a),
+    clusters as (select obj_id as id, coalesce(own.cluster, border.cluster, -1) as cluster from objects left join own on obj_id = own.id left join border on obj_id = border.id)"""
+
+
+@query(f"""{_GROUPED}, p as (select cluster, cx as x, cy as y, cz as z, floor(conf * 10)::bigint as n, label from objects join clusters on obj_id = id where cluster >= 0),
+    v as (select cluster, max(v) / sum(v) as purity, arg_min(label, row(-v, label)) as label from (select cluster, label, sum(n) as v from p group by all) group by cluster),
+    g as (select cluster, count(*) as n_members, sum(n)::bigint as n_points, {", ".join(f"sum({k}*n)/sum(n) as c{k}, quantile_cont({k}, 0.02) as {k}0, quantile_cont({k}, 0.98) as {k}1" for k in "xyz")} from p group by cluster having count(*) >= 5)
+    select cluster, label, n_members, n_points, {", ".join(f"round({c},6) as {c}" for c in ("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1"))}, round(pow(least(1.0, n_members/10) * least(1.0, n_points/20) * greatest(purity, 1e-3), 1/3.0), 5) as confidence from g join v using (cluster)""")
 def cluster_objects(spark, sf_dir):
-    o = views.objects(spark, sf_dir)
-    c = dbscan_clusters(spark, sf_dir).where("cluster >= 0")
-    return o.join(c, o.obj_id == c.id).groupBy("cluster").agg(F.count("*").alias("n"), *[F.round(F.sum(F.col(f"c{k}") * F.col("conf")) / F.sum("conf"), 6).alias(f"c{k}") for k in G.AXES]).where("n >= 5")
+    o = views.objects(spark, sf_dir).select(F.col("obj_id").alias("id"), *[F.col(f"c{k}").alias(k) for k in G.AXES], F.floor(F.col("conf") * 10).alias("n"), "label")
+    return M.cluster_objects(o, dbscan_clusters(spark, sf_dir)).select("cluster", "label", "n_members", "n_points", *r6("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1"), F.round("confidence", 5).alias("confidence"))
 
 
 @query()
@@ -206,10 +245,10 @@ def same_label_matches(spark, sf_dir):
 
 
 @query(f"""with {views.OBJECTS}, c as (select a.obj_id, count(b.obj_id) as claims from (select * from objects where obj_id % 2 = 1) a left join (select * from objects where obj_id % 2 = 0) b on a.label = b.label and {_DIST} <= 0.8 group by a.obj_id)
-    select count(*) as n_gt, sum((claims=0)::bigint)::bigint as claims_0, sum((claims=1)::bigint)::bigint as claims_1, sum((claims>=2)::bigint)::bigint as claims_2, round(avg(greatest(claims-1,0)),6) as fragmentation from c""")
+    select (select count(*) from objects a where a.obj_id % 2 = 0 and not exists (select 1 from objects b where b.obj_id % 2 = 1 and a.label = b.label and {_DIST} <= 0.8)) as spurious, count(*) as n_gt, sum((claims=0)::bigint)::bigint as claims_0, sum((claims=1)::bigint)::bigint as claims_1, sum((claims>=2)::bigint)::bigint as claims_2, round(avg(greatest(claims-1,0)),6) as fragmentation from c""")
 def instance_quality(spark, sf_dir):
     o = views.objects(spark, sf_dir)
-    return V.instance_quality(o.where("obj_id % 2 = 0"), o.where("obj_id % 2 = 1"), 0.8).select("n_gt", "claims_0", "claims_1", "claims_2", *r6("fragmentation"))
+    return V.instance_quality(o.where("obj_id % 2 = 0"), o.where("obj_id % 2 = 1"), 0.8).select("n_gt", "claims_0", "claims_1", "claims_2", *r6("fragmentation"), "spurious")
 
 
 # ---------------------------------------------------------------------------------------------------- cameras
@@ -268,7 +307,15 @@ def panorama_coverage(spark, sf_dir):
     return P.coverage(P.fuse_range(P.samples(views.points(spark, sf_dir), 64, 32)), 64, 32).select(*r6("coverage", "solid_angle", "span_deg"))
 
 
-@query()
+_LATTICE = f"lat(sx, sy, sz) as (values {', '.join(f'({a}::double, {b}::double, {c}::double)' for a, b, c in G.surface_lattice(6))})"
+
+
+@query(f"""with {views.OBJECTS}, {_PANO}, {_LATTICE}, o as (select * from objects where not (0 between x0 and x1 and 0 between y0 and y1 and 0 between z0 and z1)),
+    p as (select obj_id, cx+(x1-x0)*sx as x, cy+(y1-y0)*sy as y, cz+(z1-z0)*sz as z from o, lat), q as (select obj_id, {_LEN} as r, atan2(y, x) as az, {_EQ} from p),
+    j as (select q.*, coalesce(f.rng >= r - greatest(0.30, r*0.10), false) as shown from q left join f on q.u = f.u and q.v = f.v),
+    g as (select obj_id, az, row_number() over w as i, coalesce(lead(az) over w, min(az) over (partition by obj_id) + 2*pi()) - az as gap, coalesce(lead(az) over w, min(az) over (partition by obj_id)) as start from j window w as (partition by obj_id order by az)),
+    b as (select obj_id, max(gap) as gap, arg_max(start, row(gap, -i)) as az0 from g group by obj_id), a as (select obj_id, sum(shown::int)::bigint as n_visible, avg(shown::int) as visible, quantile_cont(r, 0.5) as range from j group by obj_id)
+    select obj_id, n_visible, round(visible,6) as visible, round(range,6) as range, round(az0,6) as az0, round(2*pi()-gap,6) as width, case when az0 + 2*pi() - gap > pi() then 2 else 1 end as parts from a join b using (obj_id)""")
 def box_visibility(spark, sf_dir):
     pano = P.fuse_range(P.samples(views.points(spark, sf_dir), 64, 32))
     return P.boxes_in_panorama(views.objects(spark, sf_dir), pano, 64, 32).select("obj_id", "n_visible", *r6("visible", "range", "az0", "width"), "parts")
@@ -303,10 +350,49 @@ def sampled_points(spark, sf_dir):
     return P.sampled(views.points(spark, sf_dir), "frame", "pt", 40, 7).select("frame", "pt")
 
 
-@query("""with recursive tree(child, parent, tx, ty, tz) as (values ('base','world',1.0,2.0,0.5),('arm','base',0.25,0.0,1.0),('camera','arm',0.0,0.125,0.25),('lidar','base',-0.5,0.0,0.75)),
-    path(start, here, x, y, z, depth) as (select child, child, 0.0::double, 0.0::double, 0.0::double, 0 from tree union all select start, parent, x+tx, y+ty, z+tz, depth+1 from path join tree on here = child)
-    select start as frame, round(x,6) as x, round(y,6) as y, round(z,6) as z, depth::bigint as depth from path where here = 'world'""")
+_TREE = [("base", "world", 1.0, 2.0, 0.5, 0.0, 0.0, 0.6, 0.8), ("arm", "base", 0.25, 0.0, 1.0, 0.0, 0.8, 0.0, 0.6), ("camera", "arm", 0.0, 0.125, 0.25, 0.28, 0.0, 0.0, 0.96), ("lidar", "base", -0.5, 0.0, 0.75, 0.0, 0.0, 0.0, 1.0)]
+_TREE_SQL = f"""with recursive tree(child, parent, tx, ty, tz, x, y, z, w) as (values {", ".join(map(str, _TREE))}),
+    e as (select child, parent, tx, ty, tz, 1-2*(y*y+z*z) as a0, 2*(x*y-z*w) as a1, 2*(x*z+y*w) as a2, 2*(x*y+z*w) as a3, 1-2*(x*x+z*z) as a4, 2*(y*z-x*w) as a5, 2*(x*z-y*w) as a6, 2*(y*z+x*w) as a7, 1-2*(x*x+y*y) as a8 from tree),
+    path as (select child as start, child as here, {", ".join(f"{1.0 if i % 4 == 0 else 0.0}::double as r{i}" for i in range(9))}, 0.0::double as px, 0.0::double as py, 0.0::double as pz, 0 as depth from e
+      union all select start, parent, {", ".join(" + ".join(f"(a{3 * i + k}*r{3 * k + j})::double" for k in range(3)) for i in range(3) for j in range(3))}, {", ".join(" + ".join(f"a{3 * i + k}*p{x}" for k, x in enumerate("xyz")) + f" + t{y}" for i, y in enumerate("xyz"))}, depth+1 from path join e on here = child)"""
+
+
+def _tree(spark):
+    return spark.createDataFrame(_TREE, "child string, parent string, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+
+
+@query(f"{_TREE_SQL} select start as frame, round(px,6) as x, round(py,6) as y, round(pz,6) as z, {', '.join(f'round(r{i},6) as r{i}' for i in range(9))}, depth::bigint as depth from path where here = 'world'")
 def frame_tree(spark, sf_dir):
-    rows = [("base", "world", 1.0, 2.0, 0.5), ("arm", "base", 0.25, 0.0, 1.0), ("camera", "arm", 0.0, 0.125, 0.25), ("lidar", "base", -0.5, 0.0, 0.75)]
-    tree = spark.createDataFrame(rows, "child string, parent string, tx double, ty double, tz double")
-    return P.to_root(tree, "world").select("frame", *r6("x", "y", "z"), "depth")
+    out = FR.to_root(_tree(spark), "world")
+    return out.select("frame", *[F.round(f"t{k}", 6).alias(k) for k in G.AXES], *r6(*[f"r{i}" for i in range(9)]), "depth")
+
+
+@query(f"""{_TREE_SQL}, c as (select * from path where here = 'world' and start = 'camera'), l as (select * from path where here = 'world' and start = 'lidar'), d as (select l.*, c.px-l.px as qx, c.py-l.py as qy, c.pz-l.pz as qz from c, l)
+    select round(r0*qx+r3*qy+r6*qz,6) as x, round(r1*qx+r4*qy+r7*qz,6) as y, round(r2*qx+r5*qy+r8*qz,6) as z from d""")
+def camera_from_lidar(spark, sf_dir):
+    return FR.lookup(_tree(spark), "camera", "lidar").select(*[F.round(f"t{k}", 6).alias(k) for k in G.AXES])
+
+
+_VIEW = f"""{views.PIXELS}, vw as (select vec_id as frame, vec_id*20+v*5+u as pt, u, v, case when raw = 0 or raw = 65535 then 0.0 else raw/1000.0::double end as m, r, g, b, (u-2.0::double)/4 as kx, (v-1.5::double)/4 as ky from pixels),
+    dv as (select *, sqrt(kx*kx+ky*ky+1) as n from vw), sv as (select frame, pt, r, g, b, m*n as rng, 1/(n*n) as w, kx/n as dx, 1/n as dy, -ky/n as dz from dv where m*n > 0 and m*n <= 8 and 1/n >= 0.35),
+    smp as (select *, ((floor((atan2(dy,dx)/(2*pi())+0.5)*64)::bigint % 64) + 64) % 64 as u, greatest(least(floor((0.5-asin(greatest(least(dz,1.0),-1.0))/pi())*32), 31), 0)::bigint as v from sv)"""
+
+
+def _views(spark, sf_dir):
+    """All images as views from one centre that look along the world's y."""
+    p = views.pixels(spark, sf_dir)
+    p = p.withColumn("m", G.raw_depth(F.col("raw"), 1000.0, 65535)).withColumn("pt", F.col("vec_id") * 20 + F.col("v") * 5 + F.col("u")).withColumnRenamed("vec_id", "frame")
+    return P.view_samples(p, [F.lit(x) for x in _ROT], [F.lit(0.0)] * 3, 4.0, 4.0, 2.0, 1.5, 64, 32)
+
+
+@query(f"with {_VIEW} select u, v, {', '.join(f'floor(greatest(0.0, least(255.0, round(sum(w*{c})/sum(w), 9))))::int as {c}' for c in 'rgb')} from smp group by u, v")
+def panorama_colors(spark, sf_dir):
+    return P.fuse_color(_views(spark, sf_dir))
+
+
+@query(f"""with {_VIEW}, ref as (select u, v, arg_max(rng, row(w, frame, pt)) as ref from smp group by all), a as (select s.u, s.v, sum(w*rng)/sum(w) as x from smp s join ref using (u, v) where abs(rng-ref) <= 0.5 group by all), b as (select u, v, sum(w*rng)/sum(w) as y from smp group by all)
+    select count(*) as n, round(avg(abs(x-y)),6) as mae, round(quantile_cont(abs(x-y),0.5),6) as median_error, round(quantile_cont(x/y,0.1),6) as ratio_10, round(quantile_cont(x/y,0.5),6) as ratio_50, round(quantile_cont(x/y,0.9),6) as ratio_90, round(avg((abs(x-y)<=0.1*y)::int),6) as within_10, round(avg((abs(x-y)<=0.25*y)::int),6) as within_25 from a join b using (u, v)""")
+def panorama_comparison(spark, sf_dir):
+    s = _views(spark, sf_dir)
+    c = P.compared(P.fuse_range(s), P.fuse_range(s, mode="mean"))
+    return c.select("n", *r6("mae", "median_error", "ratio_10", "ratio_50", "ratio_90", "within_10", "within_25"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +36,28 @@ def rooms(spark: SparkSession, seeds: list[int], objects: int = 5, side: float =
 
 
 def rendered(objects: DataFrame, width: int, height: int) -> DataFrame:
-    """What each pixel of a panorama around the origin shows: the nearest box that its ray enters (u, v, obj_id, range)."""
-    px = objects.sparkSession.range(width * height).select((F.col("id") % width).alias("u"), F.floor(F.col("id") / width).alias("v"))
-    d = G.equirect_direction(F.col("u"), F.col("v"), width, height)
-    rays = px.select("u", "v", *[x.alias(f"d{k}") for x, k in zip(d, G.AXES, strict=True)])
-    hit = rays.join(F.broadcast(objects.select("obj_id", *[f"{k}{i}" for k in G.AXES for i in (0, 1)])), F.lit(True))  # a room's boxes
+    """What each pixel of a panorama around the origin shows: the nearest box that its ray enters (u, v, obj_id, range).
+
+    A box meets the pixels that the ball around it can cover, and no others: a range of rows, and of columns unless a pole or
+    the origin is in the ball.
+    """
+    half = G.length([F.col(f"{k}1") - F.col(f"{k}0") for k in G.AXES]) / 2
+    c = [(F.col(f"{k}0") + F.col(f"{k}1")) / 2 for k in G.AXES]
+    o = objects.select("obj_id", *[f"{k}{i}" for k in G.AXES for i in (0, 1)], *[x.alias(f"__c{k}") for x, k in zip(c, G.AXES, strict=True)], half.alias("__h"))
+    d = F.sqrt(sum(F.col(f"__c{k}") ** 2 for k in G.AXES))
+    o = o.withColumn("__d", d).withColumn("__r", F.when(F.col("__d") <= F.col("__h") * 1.000001, math.pi).otherwise(F.asin(F.least(F.lit(1.0), F.col("__h") / F.col("__d"))) + 1e-6))
+    el, az = F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("__cz") / F.greatest("__d", F.lit(1e-12))))), F.atan2("__cy", "__cx")
+    o = o.withColumn("__el", el).withColumn("__az", az)
+    row = lambda e: F.floor((0.5 - e / math.pi) * height).cast("long")
+    o = o.withColumn("v", F.explode(F.sequence(F.greatest(row(F.col("__el") + F.col("__r")), F.lit(0).cast("long")), F.least(row(F.col("__el") - F.col("__r")), F.lit(height - 1).cast("long")))))
+    wide = F.abs(F.col("__el")) + F.col("__r") >= math.pi / 2 - 1e-6
+    turn = F.when(~wide, F.asin(F.least(F.lit(1.0), F.sin("__r") / F.cos("__el"))) + 1e-6)
+    column = lambda x: F.floor((x / (2 * math.pi) + 0.5) * width).cast("long")
+    some = F.transform(F.sequence(column(F.col("__az") - turn), F.least(column(F.col("__az") + turn), column(F.col("__az") - turn) + width - 1)), lambda u: F.pmod(u, F.lit(width).cast("long")))
+    hit = o.withColumn("u", F.explode(F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).otherwise(some)))
     low, high = [], []
-    for k in G.AXES:
-        safe = F.when(F.abs(f"d{k}") < 1e-12, F.lit(1e-12)).otherwise(F.col(f"d{k}"))
+    for k, x in zip(G.AXES, G.equirect_direction(F.col("u"), F.col("v"), width, height), strict=True):
+        safe = F.when(F.abs(x) < 1e-12, F.lit(1e-12)).otherwise(x)
         a, b = F.col(f"{k}0") / safe, F.col(f"{k}1") / safe
         low.append(F.least(a, b))
         high.append(F.greatest(a, b))
