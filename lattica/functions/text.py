@@ -25,14 +25,15 @@ def normalized_caption(text: Column) -> Column:
 
 
 def squeezed(t: Column) -> Column:
-    t = F.regexp_replace(t, "[\u200b\u200c\u200d\ufeff]", " ")
-    t = F.regexp_replace(t, r"([!?.,;:])\1{2,}", "$1")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """White space, invisible characters and tags as one blank, and then runs of three or more equal marks as one."""
+    t = F.regexp_replace(t, "(?:<[^>]++>|[\u200b\u200c\u200d\ufeff\\s])++", " ")
+    t = F.regexp_replace(t, r"([!?.,;:])\1{2,}+", "$1")
+    return F.trim(t)
 
 
 def plain_caption(text: Column) -> Column:
     """The same for text without references or compatibility characters: expressions only."""
-    return squeezed(F.regexp_replace(text, r"<[^>]+>", " "))
+    return squeezed(text)
 
 
 def words(t: Column) -> Column:
@@ -43,15 +44,15 @@ def letters(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"([A-Za-z']+)"), 1)
 
 
-def caption_reason(t: Column) -> Column:
-    """Why a normalised caption is dropped, by the first gate it fails; empty if it is kept."""
+def caption_reason(t: Column, most: int | None = MAX_WORDS) -> Column:
+    """Why a normalised caption is dropped, by the first gate it fails; empty if it is kept. most: words, None for any number."""
     w, a = words(t), letters(t)
     non_ascii = F.length(F.regexp_replace(t, r"[\x00-\x7f]", "")) / F.greatest(F.length(t), F.lit(1))
     low = F.transform(a, F.lower)
     return (
         F.when(t.rlike(URL), "url")
         .when(F.size(w) < MIN_WORDS, "too_short")
-        .when(F.size(w) > MAX_WORDS, "too_long")
+        .when(F.lit(False) if most is None else F.size(w) > most, "too_long")
         .when(t == "", "empty")
         .when(non_ascii > MAX_NON_ASCII, "non_ascii")
         .when(F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x)) < MIN_LETTERS, "no_alpha")

@@ -10,37 +10,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
+from lattica.functions import vector as X
 from lattica.plans.rewrites import greedy_survivors, kept_apart
 
-#: Hash functions, bands, least overlap of near duplicates, videos of a template, mixture exponent, caps.
-PERMUTATIONS, BANDS, NEAR, TEMPLATE, ALPHA, CAP, REUSE, SHARD = 64, 8, 0.80, 3, 0.5, 0.25, 3, 2000
+#: Least overlap of near duplicates, videos of a template, mixture exponent, caps.
+NEAR, TEMPLATE, ALPHA, CAP, REUSE, SHARD = 0.80, 3, 0.5, 0.25, 3, 2000
+#: Hash functions and bands: two sets with an overlap of 0.8 share a band but for odds of (1 - 0.8**4)**32, less than 1 in 10**7.
+PERMUTATIONS, BANDS = 128, 32
+#: Cosines below this count as badly aligned.
+LOW_ALIGNMENT = 0.2
 
 
-def cleaned(captions: DataFrame, full: bool = True) -> DataFrame:
-    """captions with cleaned, tokens and drop_reason ("" if kept); full also decodes references and compatibility characters."""
+def cleaned(captions: DataFrame, full: bool = True, most: int | None = T.MAX_WORDS) -> DataFrame:
+    """captions with cleaned, tokens and drop_reason ("" if kept); full also decodes references and compatibility characters.
+
+    most: words that a caption may have, None for any number. Each is computed once for a row: a filter on the result would
+    otherwise be pushed below and have the expressions evaluated again, which explode() of one element prevents.
+    """
     t = T.normalized_caption(F.col("text")) if full else T.plain_caption(F.col("text"))
-    out = captions.withColumn("cleaned", F.coalesce(t, F.lit("")))
-    return out.withColumn("tokens", F.size(T.words(F.col("cleaned"))).cast("long")).withColumn("drop_reason", T.caption_reason(F.col("cleaned")))
+    out = captions.select("*", F.explode(F.array(F.coalesce(t, F.lit("")))).alias("cleaned"))
+    judged = F.struct(F.size(T.words(F.col("cleaned"))).cast("long").alias("tokens"), T.caption_reason(F.col("cleaned"), most).alias("drop_reason"))
+    return out.select("*", F.explode(F.array(judged)).alias("__j")).select(*captions.columns, "cleaned", "__j.tokens", "__j.drop_reason")
 
 
-def _first(df: DataFrame, keys: list, flag: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ord")
-    return df.withColumn(flag, F.row_number().over(w) > 1)
+def _first(kept: DataFrame, key: Column, flag: str, per_video: bool) -> DataFrame:
+    """(ord, flag): whether an earlier caption has the same key. Digests are kept apart, counted where they are and joined back, so
+    that texts do not travel, and a key that many captions have is no one task's."""
+    keys = ["k", *(["video_id"] if per_video else [])]
+    slim = kept_apart(kept)(kept.select("ord", "video_id", F.sha2(key.cast("binary"), 256).alias("k")))
+    first = slim.groupBy(*keys).agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys]
+    return slim.alias("s").join(first.alias("f"), same, "left").select("s.ord", F.coalesce(F.col("s.ord") > F.col("f.first"), F.lit(False)).alias(flag))
 
 
 def exact_duplicates(kept: DataFrame, per_video: bool = False) -> DataFrame:
-    """kept with exact: an earlier caption has the same text, case aside; of the same video if per_video."""
-    return _first(kept, [F.lower("cleaned"), *(["video_id"] if per_video else [])], "exact")
+    """(ord, exact): an earlier caption has the same text, case aside; of the same video if per_video."""
+    return _first(kept, F.lower("cleaned"), "exact", per_video)
 
 
 def wordset_duplicates(kept: DataFrame, per_video: bool = False) -> DataFrame:
-    """kept with wordset: an earlier caption has the same set of words."""
-    return _first(kept, [T.word_set(F.col("cleaned")), *(["video_id"] if per_video else [])], "wordset")
+    """(ord, wordset): an earlier caption has the same set of words."""
+    return _first(kept, T.word_set(F.col("cleaned")), "wordset", per_video)
 
 
 def templates(kept: DataFrame, videos: int = TEMPLATE) -> DataFrame:
-    """Texts that stand in at least so many videos; to be found before duplicates are dropped."""
-    return kept.groupBy(F.lower("cleaned").alias("text")).agg(F.count_distinct("video_id").alias("videos"), F.count("*").alias("copies")).where(F.col("videos") >= videos)
+    """Texts (by a digest and one of them) that stand in at least so many videos; to be found before duplicates are dropped."""
+    slim = kept.select(F.sha2(F.lower("cleaned").cast("binary"), 256).alias("k"), "video_id", "ord", F.lower("cleaned").alias("text"))
+    per = slim.groupBy("k", "video_id").agg(F.count("*").alias("n"), F.min_by("text", "ord").alias("text"), F.min("ord").alias("ord"))
+    return per.groupBy("k").agg(F.min_by("text", "ord").alias("text"), F.count("video_id").alias("videos"), F.sum("n").alias("copies")).where(F.col("videos") >= videos).select("text", "videos", "copies")
 
 
 def minhash_bands(sets: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
@@ -72,12 +89,19 @@ def near_duplicates(kept: DataFrame, least: float = NEAR) -> DataFrame:
 
 
 def caption_stats(kept: DataFrame) -> DataFrame:
-    w = kept.select(F.explode(T.letters(F.lower("cleaned"))).alias("word"))
-    words = w.agg(F.count("*").alias("words"), F.count_distinct("word").alias("vocabulary"))
-    per = kept.groupBy("video_id").agg(F.count("*").alias("c")).agg(F.min("c").alias("least"), F.avg("c").alias("mean"), F.max("c").alias("most"))
-    p = F.percentile("tokens", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    base = kept.agg(F.count("*").alias("captions"), F.sum("tokens").alias("tokens"), p[0].alias("p10"), p[1].alias("p50"), p[2].alias("p90"))
-    return base.join(words, F.lit(True)).join(per, F.lit(True)).withColumn("ttr", F.col("vocabulary") / F.greatest("words", F.lit(1)))
+    """One row of figures, from one pass: words, videos and lengths are counted together, and the counts summed up."""
+    part = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    words = F.transform(T.letters(F.lower("cleaned")), lambda w: part("word", w))
+    parts = F.explode(F.concat(F.array(part("tokens", F.col("tokens").cast("string")), part("video", F.col("video_id").cast("string"))), words)).alias("p")
+    c = kept.select(parts).groupBy("p.kind", "p.key").agg(F.count("*").alias("n"))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    n, tokens = F.col("n"), F.when(F.col("kind") == "tokens", F.col("key")).cast("long")
+    p = F.call_function("percentile", tokens, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), n)
+    out = c.agg(
+        F.coalesce(F.sum(of("tokens", n)), F.lit(0)).alias("captions"), F.sum(tokens * n).alias("tokens"), p.alias("p"), F.coalesce(F.sum(of("word", n)), F.lit(0)).alias("words"), F.count(of("word", n)).alias("vocabulary"),
+        F.min(of("video", n)).alias("least"), F.avg(of("video", n)).alias("mean"), F.max(of("video", n)).alias("most"),
+    )
+    return out.select("captions", "tokens", *[F.get("p", F.lit(i)).alias(x) for i, x in enumerate(("p10", "p50", "p90"))], "words", "vocabulary", "least", "mean", "most", (F.col("vocabulary") / F.greatest("words", F.lit(1))).alias("ttr"))
 
 
 def top_words(kept: DataFrame, k: int = 15) -> DataFrame:
@@ -85,30 +109,34 @@ def top_words(kept: DataFrame, k: int = 15) -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
 
 
-def alignment(spark: SparkSession, similarities: DataFrame | None = None) -> DataFrame:
-    """Summary of caption-image similarities, or one row that says none were computed."""
-    if similarities is None:
-        return spark.sql("select false as performed, bigint(0) as n, cast(null as double) as mean")
-    return similarities.agg(F.lit(True).alias("performed"), F.count("*").alias("n"), F.avg("similarity").alias("mean"))
+def alignment(spark: SparkSession, pairs: DataFrame | None = None) -> DataFrame:
+    """Summary of the cosines of caption and frame vectors (a, b), or one row that says that there was no encoder for them."""
+    if pairs is None:
+        return spark.sql("select false as performed, bigint(0) as n, cast(null as double) as mean, cast(null as double) as median, cast(null as double) as low")
+    c = pairs.select(X.cosine(F.col("a"), F.col("b")).alias("s"))
+    return c.agg(F.lit(True).alias("performed"), F.count("*").alias("n"), F.avg("s").alias("mean"), F.percentile("s", 0.5).alias("median"), F.avg((F.col("s") < LOW_ALIGNMENT).cast("double")).alias("low"))
 
 
 # ---------------------------------------------------------------------------------------------------- mixtures
 
 
 def mixture_ratios(counts: Mapping[str, int], alpha: float = ALPHA, cap: float = CAP) -> dict[str, float]:
-    """Shares of groups by count to the power alpha, none above cap as far as there are groups enough, by repeated levelling."""
-    weights = {g: float(n) ** alpha if n > 0 else 0.0 for g, n in counts.items()}
-    total = sum(weights.values())
-    ratio = {g: w / total for g, w in weights.items()} if total else {}
-    for _ in range(20):
-        over = {g for g, r in ratio.items() if r > cap + 1e-12}
-        rest = sum(r for g, r in ratio.items() if g not in over)
-        if not over or rest <= 0:
-            break
-        spare = 1.0 - cap * len(over)
-        ratio = {g: cap if g in over else r / rest * max(spare, 0.0) for g, r in ratio.items()}
-    total = sum(ratio.values())
-    return {g: r / total for g, r in ratio.items()} if total else ratio
+    """Shares of groups by count to the power alpha, none above cap as far as there are groups enough.
+
+    The groups with the greatest weights are at the cap: as many of them as leave the others a fair share below it.
+    """
+    weight = {g: float(n) ** alpha if n > 0 else 0.0 for g, n in counts.items()}
+    order = sorted((g for g in weight if weight[g] > 0), key=lambda g: (-weight[g], g))
+    if not order:
+        return dict.fromkeys(weight, 0.0) if weight else {}
+    if cap * len(order) <= 1.0:
+        return {g: 1.0 / len(order) if weight[g] else 0.0 for g in weight}
+    rest, capped = sum(weight[g] for g in order), 0
+    while capped < len(order) and (1.0 - cap * capped) * weight[order[capped]] / rest > cap:
+        rest -= weight[order[capped]]
+        capped += 1
+    top = set(order[:capped])
+    return {g: cap if g in top else (1.0 - cap * capped) * weight[g] / rest for g in weight}
 
 
 def mixture_quota(counts: Mapping[str, int], budget: int, alpha: float = ALPHA, cap: float = CAP, reuse: float = REUSE) -> dict[str, int]:
@@ -161,28 +189,35 @@ def token_budget(samples: DataFrame) -> DataFrame:
     return samples.agg(F.sum("tokens").alias("total"), F.avg("tokens").alias("mean"), F.percentile("tokens", 0.5).alias("median"), F.percentile("tokens", 0.95).alias("p95"), F.avg("frames_kept").alias("mean_frames"))
 
 
-def sharded(samples: DataFrame, size: int = SHARD, key: str = "ord", blocks: int = 64) -> DataFrame:
-    """samples with shard and place: consecutive runs of `size` by key. Ranges of the key are numbered apart and then offset."""
-    lo, hi = samples.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return samples.withColumn("shard", F.lit(0).cast("long")).withColumn("place", F.lit(0).cast("long"))
-    step = max(1, (hi - lo) // blocks + 1)
-    b = samples.withColumn("__b", F.floor((F.col(key) - lo) / step))
-    per = b.groupBy("__b").agg(F.count("*").alias("n"))
-    base = per.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("before"))  # as many rows as blocks
-    rn = F.row_number().over(Window.partitionBy("__b").orderBy(key)) + F.col("before") - 1
-    out = b.join(F.broadcast(base), "__b").withColumn("__rn", rn)
-    return out.withColumn("shard", F.floor(F.col("__rn") / size)).withColumn("place", F.col("__rn") % size).drop("__b", "__rn", "before")
-
-
-def manifest(shards: DataFrame) -> DataFrame:
-    return shards.groupBy("shard").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+def sharded(samples: DataFrame, size: int = SHARD, key: str = "ord") -> DataFrame:
+    """samples with shard and place: consecutive runs of `size` by key.
 
-
-def write_shards(shards: DataFrame, path: str) -> None:
+    Ranges of the key, as many as the shuffle has partitions and as even as its sample allows, are numbered apart and then offset.
+    """
+    ranged = samples.repartitionByRange(key).sortWithinPartitions(key).withColumn("__id", F.monotonically_increasing_id())
+    kept = kept_apart(samples)(ranged)
+    own = kept.withColumn("__b", F.shiftright("__id", 33)).withColumn("__rn", F.col("__id").bitwiseAND((1 << 33) - 1))
+    per = own.groupBy("__b").agg(F.count("*").alias("n"))
+    base = per.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__before"))  # a row for each partition
+    out = own.join(F.broadcast(base), "__b").withColumn("__at", F.col("__before") + F.col("__rn"))
+    return out.withColumn("shard", F.floor(F.col("__at") / size)).withColumn("place", F.col("__at") % size).select(*samples.columns, "shard", "place")
+
+
+def manifest(shards: DataFrame, preview: int = 0) -> DataFrame:
+    """Rows, tokens and bytes (of a row as JSON with its line end) of each shard; with preview, its first rows as JSON."""
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in shards.columns if c not in ("shard", "place")]))
+    rows = shards.select("shard", "place", "tokens", line.alias("line"))
+    aggs = [F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("line") + 1).alias("bytes")]
+    if preview:
+        first = F.when(F.col("place") < preview, F.struct("place", "line"))
+        aggs.append(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["line"]).alias("preview"))
+    return rows.groupBy("shard").agg(*aggs)
+
+
+def write_shards(shards: DataFrame, path: str, preview: int = 0) -> None:
     """One folder of JSON lines for each shard, and the manifest."""
     shards.repartition("shard").sortWithinPartitions("shard", "place").write.mode("overwrite").partitionBy("shard").json(f"{path}/shards")
-    manifest(shards).orderBy("shard").write.mode("overwrite").json(f"{path}/manifest")
+    manifest(shards, preview).orderBy("shard").write.mode("overwrite").json(f"{path}/manifest")
 
 
 # ---------------------------------------------------------------------------------------------------- runs
