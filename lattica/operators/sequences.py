@@ -14,6 +14,8 @@ K_MAD, MAX_FRACTION, N_SIGNAL, MIN_FRACTION, PEAK_WINDOW, PEAK_RATIO = 6.0, 0.10
 GRADUAL_WINDOW, GRADUAL_RATIO, GRADUAL_PROMINENCE, MIN_LENGTH = 5, 0.45, 2.0, 3
 #: Fixed values of frame choice: frames, weights of motion and length; hash distance and cosine of equal frames.
 FRAMES, W_MOTION, W_LENGTH, HASH_BITS, SAME_COSINE = 24, 0.6, 0.4, 6, 0.97
+#: Fixed values of the quality gates: least side, sharpness and contrast, most of a frame that is over- or underexposed.
+MIN_SIDE, MIN_SHARPNESS, MIN_CONTRAST, MAX_OVER, MAX_UNDER = 128, 30, 8, 0.35, 0.35
 
 
 def _finite(c: str) -> Column:
@@ -41,6 +43,11 @@ def robust_threshold(diffs: DataFrame, by: str = "user_id") -> DataFrame:
     return q.select(by, F.when(F.col("mad") <= 1e-12, 2 * F.col("med")).otherwise(F.greatest("limit", quantile, F.lit(1e-9))).alias("threshold"))
 
 
+def adaptive_threshold(diffs: DataFrame, by: str = "user_id", k: float = K_MAD) -> DataFrame:
+    """(by, threshold): the median's limit alone; no row where the differences hardly differ."""
+    return mad_threshold(diffs, by, k).where("mad > 1e-12").select(by, F.col("limit").alias("threshold"))
+
+
 def otsu_threshold(diffs: DataFrame, by: str = "user_id", bins: int = 128) -> DataFrame:
     """(by, threshold): the upper edge of the bin of log10 differences that parts them best, the least of equals."""
     d = diffs.select(by, _finite("diff").alias("d")).where("d is not null").select(by, F.log10(F.greatest("d", F.lit(1e-9))).alias("l"))
@@ -63,10 +70,10 @@ def prominent(diffs: DataFrame, by: str = "user_id", window: int = PEAK_WINDOW,
     return d.withColumn(name, F.when(F.size("__near") == 0, True).when(base <= 0, F.col("diff") > 0).otherwise(F.col("diff") >= ratio * base)).drop("__near")
 
 
-def boundaries(diffs: DataFrame, by: str = "user_id") -> DataFrame:
-    """(by, idx, hard): where a step exceeds the threshold as a peak, or a moving mean of five (zeros outside) does gradually and
-    is moved to the greatest step around it."""
-    t = robust_threshold(diffs, by)
+def boundaries(diffs: DataFrame, by: str = "user_id", limits: DataFrame | None = None) -> DataFrame:
+    """(by, idx, hard): where a step exceeds the threshold (by limits, else the robust one) as a peak, or a moving mean of five
+    (zeros outside) does gradually and is moved to the greatest step around it."""
+    t = robust_threshold(diffs, by) if limits is None else limits
     d = diffs.where("diff is not null").join(t, by)
     d = prominent(d, by)
     d = prominent(d, by, GRADUAL_WINDOW, GRADUAL_PROMINENCE, "gentle")
@@ -227,9 +234,9 @@ def distinct_frames(frames: DataFrame, by: str, bits: int = HASH_BITS, cosine: f
     return frames.groupBy(by).applyInPandas(run, schema)
 
 
-def quality_reason(sharpness: Column, contrast: Column, over: Column, under: Column, side: Column) -> Column:
+def quality_reason(sharpness: Column, contrast: Column, over: Column, under: Column, side: Column, least: int = MIN_SIDE) -> Column:
     """The first gate that a frame fails; empty if none."""
-    return F.when(sharpness < 30, "blurry").when(contrast < 8, "low_contrast").when(over > 0.35, "overexposed").when(under > 0.35, "underexposed").when(side < 128, "too_small").otherwise("")
+    return F.when(side < least, "resolution").when(sharpness < MIN_SHARPNESS, "blur").when(contrast < MIN_CONTRAST, "low_contrast").when(over > MAX_OVER, "overexposed").when(under > MAX_UNDER, "underexposed").otherwise("")
 
 
 def gradient_hash(pixels: DataFrame, by: str, width: int = 9) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import vector as X
 from lattica.operators import sequences as S
+from lattica.operators import video as VD
 from lattica.sources import views
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -89,7 +90,12 @@ def _shots(spark, sf_dir):
     return s, S.shots(s.groupBy("user_id").agg(F.count("*").alias("n")), S.boundaries(s))
 
 
-@query()
+_STARTS = f"""with recursive {_BOUND.removeprefix("with ")}, mk as (select user_id, idx + 1 as pos, hard from marks), st(user_id, pos) as (select distinct user_id, 0::bigint from signal union all
+    select s.user_id, min(m.pos) from st s join mk m on m.user_id = s.user_id and m.pos > s.pos and (m.pos - s.pos >= 3 or (s.pos = 0 and m.hard)) group by s.user_id, s.pos),
+    nn as (select user_id, count(*) as n from signal group by user_id), ss as (select user_id, st.pos as start, nn.n from st join nn using (user_id) where st.pos < nn.n)"""
+
+
+@query(f'{_STARTS} select user_id, row_number() over w - 1 as shot, start, coalesce(lead(start) over w, n) as "end" from ss window w as (partition by user_id order by start)')
 def shots(spark, sf_dir):
     return _shots(spark, sf_dir)[1]
 
@@ -119,6 +125,56 @@ def sample_coverage(spark, sf_dir):
     return S.coverage(S.sample_frames(s, found), found).select("user_id", "frames", *r6("shot_coverage", "evenness"))
 
 
+_HS = f"""{views.PIXELS}, q as (select *, greatest(rr,gg,bb) as hi, least(rr,gg,bb) as lo from (select *, r/255.0::double as rr, g/255.0::double as gg, b/255.0::double as bb from pixels)),
+    hs as (select vec_id % 20 as video, vec_id // 20 as idx, case when hi = lo then 0.0 when hi = rr then (((gg-bb)/(hi-lo)) - 6*floor(((gg-bb)/(hi-lo))/6)) when hi = gg then (bb-rr)/(hi-lo)+2 else (rr-gg)/(hi-lo)+4 end / 6.0::double as h, case when hi = 0 then 0.0 else (hi-lo)/hi end as s from q),
+    bins as (select video, idx, least(floor(h*32),31)::int*32 + least(floor(s*32),31)::int as bin from hs), hist as (select video, idx, bin, count(*)/20.0::double as share from bins group by all)"""
+
+
+def _video_pixels(spark, sf_dir):
+    return views.pixels(spark, sf_dir).withColumn("video", F.col("vec_id") % 20).withColumn("idx", F.floor(F.col("vec_id") / 20))
+
+
+@query(f"with {_HS} select video, idx, bin, round(share,6) as share from hist")
+def frame_histograms(spark, sf_dir):
+    return VD.histograms(_video_pixels(spark, sf_dir)).select("video", "idx", "bin", *r6("share"))
+
+
+@query(f"with {_HS}, f as (select distinct video, idx from hist), d as (select video, idx, sum((x-y)*(x-y)/(x+y))/2 as diff from (select video, idx, bin, sum(x) as x, sum(y) as y from (select video, idx, bin, share as x, 0.0::double as y from hist union all select video, idx-1, bin, 0.0, share from hist) group by all) group by video, idx) select video, idx, round(coalesce(diff,0),6) as diff from f left join d using (video, idx) where exists (select 1 from f g where g.video = f.video and g.idx > f.idx)")
+def histogram_steps(spark, sf_dir):
+    return VD.histogram_steps(VD.histograms(_video_pixels(spark, sf_dir))).select("video", "idx", *r6("diff"))
+
+
+_DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]*p[2]))"
+
+
+@query(f"with {views.OBJECTS}, f as (select obj_id % 20 as video, obj_id // 20 as idx, e, lead(e) over (partition by obj_id % 20 order by obj_id // 20) as n from objects) select video, idx, round(1 - {_DOT('e', 'n')}/greatest(sqrt({_DOT('e', 'e')})*sqrt({_DOT('n', 'n')}), 1e-12), 6) as diff from f where n is not null")
+def embedding_steps(spark, sf_dir):
+    o = views.objects(spark, sf_dir).select((F.col("obj_id") % 20).alias("video"), F.floor(F.col("obj_id") / 20).alias("idx"), "e")
+    return VD.embedding_steps(o).select("video", "idx", *r6("diff"))
+
+
+_GRAYS = f"""{views.PIXELS}, gr as (select vec_id, u::int as u, v::int as v, round(0.299::double*r+0.587::double*g+0.114::double*b)::int as y from pixels),
+    lp as (select a.vec_id, 4.0::double*0 + (select sum(b.y) from gr b where b.vec_id = a.vec_id and b.v = a.v and b.u = case when a.u = 0 then 1 else a.u - 1 end) + (select sum(b.y) from gr b where b.vec_id = a.vec_id and b.v = a.v and b.u = case when a.u = 4 then 3 else a.u + 1 end)
+      + (select sum(b.y) from gr b where b.vec_id = a.vec_id and b.u = a.u and b.v = case when a.v = 0 then 1 else a.v - 1 end) + (select sum(b.y) from gr b where b.vec_id = a.vec_id and b.u = a.u and b.v = case when a.v = 3 then 2 else a.v + 1 end) - 4*a.y as l from gr a)"""
+
+
+@query(f"with {_GRAYS}, k as (select vec_id, var_pop(l) as sharpness from lp group by vec_id) select vec_id, round(sharpness,4) as sharpness, round(stddev_pop(y),6) as contrast, round(avg((y>=250)::int),6) as overexposed, round(avg((y<=5)::int),6) as underexposed, 4 as min_side from gr join k using (vec_id) group by vec_id, sharpness")
+def frame_quality(spark, sf_dir):
+    q = VD.quality_scores(views.pixels(spark, sf_dir), ["vec_id"])
+    return q.select("vec_id", F.round("sharpness", 4).alias("sharpness"), *r6("contrast", "overexposed", "underexposed"), "min_side")
+
+
+@query()
+def processed_videos(spark, sf_dir):
+    p = _video_pixels(spark, sf_dir)
+    quality = VD.quality_scores(p)
+    hashes = S.gradient_hash(p.withColumn("gray", VD.gray(F.col("r"), F.col("g"), F.col("b"))).withColumn("key", F.struct("video", "idx")), "key", width=5).select("key.*", "hash")
+    e = views.objects(spark, sf_dir).select((F.col("obj_id") % 20).alias("video"), F.floor(F.col("obj_id") / 20).alias("idx"), "e")
+    steps = VD.histogram_steps(VD.histograms(p))
+    frames = quality.join(hashes, ["video", "idx"]).join(e, ["video", "idx"]).join(steps, ["video", "idx"], "left")
+    return VD.processed(frames, budget=12, side=2).figures.select("video", "frames", "shots", "chosen", "kept", "duplicates")
+
+
 @query(f"with {views.SIGNAL}, r as (select user_id, value, row_number() over (partition by user_id order by value) as r from signal) select user_id, round(2*sum(r*value)/(count(*)*sum(value))-(count(*)+1)::double/count(*),6) as gini from r group by user_id")
 def value_gini(spark, sf_dir):
     return S.gini(_signal(spark, sf_dir), "user_id", "value").select("user_id", *r6("gini"))
@@ -150,7 +206,7 @@ def distinct_frames(spark, sf_dir):
     return S.distinct_frames(e.select((F.col("vec_id") % 50).alias("video"), F.col("vec_id").alias("idx"), "hash", "e"), "video", bits=2)
 
 
-@query(f"with {views.PIXELS}, s as (select vec_id, stddev_pop(r+g+b) as contrast, avg((r+g+b > 600)::int) as over, avg((r+g+b < 150)::int) as under, var_pop(r-g)/50 as sharp, 100 + vec_id % 60 as side from pixels group by vec_id) select case when sharp < 30 then 'blurry' when contrast < 8 then 'low_contrast' when over > 0.35 then 'overexposed' when under > 0.35 then 'underexposed' when side < 128 then 'too_small' else '' end as reason, count(*) as n from s group by 1")
+@query(f"with {views.PIXELS}, s as (select vec_id, stddev_pop(r+g+b) as contrast, avg((r+g+b > 600)::int) as over, avg((r+g+b < 150)::int) as under, var_pop(r-g)/50 as sharp, 100 + vec_id % 60 as side from pixels group by vec_id) select case when side < 128 then 'resolution' when sharp < 30 then 'blur' when contrast < 8 then 'low_contrast' when over > 0.35 then 'overexposed' when under > 0.35 then 'underexposed' else '' end as reason, count(*) as n from s group by 1")
 def quality_reasons(spark, sf_dir):
     gray = F.col("r") + F.col("g") + F.col("b")
     s = views.pixels(spark, sf_dir).groupBy("vec_id").agg(F.stddev_pop(gray).alias("contrast"), F.avg((gray > 600).cast("int")).alias("over"), F.avg((gray < 150).cast("int")).alias("under"), (F.var_pop(F.col("r") - F.col("g")) / 50).alias("sharp"))
