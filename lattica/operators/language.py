@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from lattica.functions import geometry as G
 from lattica.functions import text as T
 from lattica.functions import vector as X
+from lattica.plans.rewrites import prefix_sums
 
 #: Names that users give to concepts.
 ALIASES = {
@@ -67,6 +69,7 @@ KEYWORDS = {
     "nearest": ("最近", "离我最近", "最近的", "closest", "nearest", "nearest to me"),
     "locate": ("在哪", "在哪里", "位置", "什么地方", "哪儿", "哪里", "where is", "where's", "where are", "locate", "find"),
 }
+#: Words that tell which relation a question asks for.
 RELATION_WORDS = {
     "above": ("上面", "上方", "上边", "之上", "on top", "above", "over"),
     "below": ("下面", "下方", "下边", "之下", "under", "below", "beneath"),
@@ -112,6 +115,34 @@ def embedding_score(feature: Column, query: Column, nulls: list[Column], tempera
     return F.when(F.size(feature) == F.size(query), X.two_way(X.cosine(feature, query), best, temperature)).otherwise(0.0)
 
 
+@dataclass
+class TextMatcher:
+    """Scores vectors against texts: encode turns a text into a vector, nulls are the vectors of texts about nothing.
+
+    threshold is what its encoder declares for accepting a match; calibrate it with calibrated_threshold().
+    """
+
+    encode: Callable[[str], Sequence[float]]
+    nulls: Sequence[Sequence[float]]
+    threshold: float = 0.5
+    temperature: float = TEMPERATURE
+
+    def score(self, feature: Column, text: str) -> Column:
+        vector = lambda x: F.array(*[F.lit(float(v)) for v in x])
+        return embedding_score(feature, vector(self.encode(text)), [vector(n) for n in self.nulls], self.temperature)
+
+
+#: The threshold that encoders of a kind declare until they are calibrated.
+SUGGESTED = {"siglip": 0.02, "clip": 0.9, "color_hist": 0.5}
+
+
+def suggested_threshold(encoder: str, calibrated: float | None = None) -> float:
+    """The calibrated threshold if there is one, else what encoders of this kind declare, else 0.5."""
+    if calibrated is not None:
+        return calibrated
+    return next((t for kind, t in SUGGESTED.items() if kind in encoder.lower()), 0.5)
+
+
 def fused(lexical_score: Column, embedding: Column) -> Column:
     mean = (W_LEXICAL * lexical_score + W_EMBEDDING * embedding) / (W_LEXICAL + W_EMBEDDING)
     return F.greatest(mean, FLOOR * F.greatest(lexical_score, embedding))
@@ -129,12 +160,25 @@ def ranked(scored: DataFrame, k: int, t_lexical: float = LEXICAL, t_embedding: f
 def calibrated_threshold(scores: DataFrame) -> DataFrame:
     """The greatest positive score at which true-positive plus true-negative rate is best, over rows (score, positive)."""
     per = scores.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
-    w = Window.orderBy(F.desc("score"))
-    every = Window.partitionBy()
-    c = per.select("score", (F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"), (1 - F.sum("n").over(w) / F.sum("n").over(every)).alias("tnr")).where("score > 0")
+    down = prefix_sums(per.withColumn("down", -F.col("score")), "down", ["p", "n"])
+    total = per.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    c = down.join(F.broadcast(total), F.lit(True)).where("score > 0").select("score", (F.col("sum_p") / F.col("all_p")).alias("tpr"), (1 - F.col("sum_n") / F.col("all_n")).alias("tnr"))
     return c.agg(F.max_by(F.struct("score", "tpr", "tnr"), F.struct(F.round(F.col("tpr") + F.col("tnr"), 9), "score")).alias("b")).select(F.col("b.score").alias("threshold"), ((F.col("b.tpr") + F.col("b.tnr")) / 2).alias("balanced"))
 
 
+def blocked(rows: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
+    """Every row with every stated query: the queries are dealt to blocks of about `block`, each row goes to each block.
+
+    Neither side is broadcast; a task holds one block of queries at a time and any share of the rows.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism // blocks)
+    slots = F.sequence(F.lit(0), F.lit(blocks - 1))
+    r = rows.withColumn("__block", F.explode(slots)).withColumn("__part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c in ("obj_id", "label")]), F.lit(parts)))
+    q = queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int")).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return r.join(q, ["__block", "__part"]).drop("__block", "__part")
+
+
 # ---------------------------------------------------------------------------------------------------- questions
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,18 +92,30 @@ class GridDetector(GivenDetector):
 
 @register("segmenter", "box")
 class BoxSegmenter:
-    """The pixels of a box (edges rounded outwards) that lie in its ellipse, as their number and first row."""
+    """The pixels of a box, as their numbers: edges are rounded (halves to even) and clipped, the lower ones belong to it."""
 
     schema = f"{_FRAME}, {_BOX}, mask array<int>"
 
     def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        w, h = rows["width"].to_numpy(), rows["height"].to_numpy()
+        edge = lambda c, most: np.clip(np.rint(rows[c].to_numpy(float)), 0, most).astype(int)
+        sides = np.column_stack([edge("x1", w), edge("x2", w), edge("y1", h), edge("y2", h), w])
+        return rows.assign(mask=[(np.arange(y1, y2)[:, None] * n + np.arange(x1, x2)[None, :]).ravel().tolist() for x1, x2, y1, y2, n in sides.tolist()])
+
+
+@register("segmenter", "ellipse")
+class EllipseSegmenter(BoxSegmenter):
+    """Those pixels of a box whose centres lie in its ellipse: nearer to most things' outlines than the box."""
+
+    def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = super().__call__(rows)
         masks = []
-        for r in rows.itertuples():
-            cx, cy, rx, ry = (r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2, max((r.x2 - r.x1) / 2, 1e-6), max((r.y2 - r.y1) / 2, 1e-6)
-            u = range(max(0, math.floor(r.x1)), min(r.width, math.ceil(r.x2)))
-            v = range(max(0, math.floor(r.y1)), min(r.height, math.ceil(r.y2)))
-            masks.append([y * r.width + x for y in v for x in u if ((x + 0.5 - cx) / rx) ** 2 + ((y + 0.5 - cy) / ry) ** 2 <= 1])
-        return rows.assign(mask=masks)
+        for r in out.itertuples():
+            at = np.asarray(r.mask, int)
+            rx, ry = max((r.x2 - r.x1) / 2, 1e-6), max((r.y2 - r.y1) / 2, 1e-6)
+            inside = ((at % r.width + 0.5 - (r.x1 + r.x2) / 2) / rx) ** 2 + ((at // r.width + 0.5 - (r.y1 + r.y2) / 2) / ry) ** 2 <= 1
+            masks.append(at[inside].tolist())
+        return out.assign(mask=masks)
 
 
 @register("encoder", "mean_color")
@@ -115,14 +127,42 @@ class MeanColorEncoder:
     def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples():
-            px = [r.pixels[i] for i in r.mask]
-            mean = [sum(p[c] for p in px) / len(px) for c in range(3)] if px else [0.0] * 3
-            n = math.sqrt(sum(x * x for x in mean)) or 1.0
-            out.append([x / n for x in mean])
+            px = np.stack(r.pixels).astype(float)[np.asarray(r.mask, int)] if len(r.mask) else np.zeros((1, 3))
+            mean = px.mean(axis=0)
+            out.append((mean / (np.linalg.norm(mean) or 1.0)).tolist())
         keep = rows[["frame_id", "label", "score", "x1", "y1", "x2", "y2"]].reset_index(drop=True)
         return keep.assign(area=[len(m) for m in rows["mask"]], feature=out)
 
 
+def box_area(prefix: str = "") -> Column:
+    """The area of an image box, 0 if its sides cross."""
+    c = lambda n: F.col(f"{prefix}{n}")
+    return F.greatest(c("x2") - c("x1"), F.lit(0.0)) * F.greatest(c("y2") - c("y1"), F.lit(0.0))
+
+
+def backprojected(detections: DataFrame, depth: DataFrame, fx: float, fy: float, cx: float, cy: float, r: list[Column], t: list[Column], low: float = 0.1, high: float = 8.0, most: int | None = 20_000, seed: int = 0) -> DataFrame:
+    """World points (obs, x, y, z) of detections (obs, frame_id, x1..y2, mask or none) over depth images (frame_id, u, v, m).
+
+    A mask is an array of pixel numbers with the image's width; without one the box counts, its edges rounded. A detection meets the
+    rows of its image that it covers by an equal key, so that no pair is outside it. Invalid depths give no point; `most`, a
+    semantic of the observation, keeps so many points of one, by the order of a hash.
+    """
+    valid = depth.where(G.valid_depth(F.col("m"), low, high))
+    edge = lambda c: F.rint(c).cast("long")
+    d = detections.select("obs", "frame_id", edge("x1").alias("__u0"), edge("x2").alias("__u1"), F.explode(F.when(edge("y2") > edge("y1"), F.sequence(edge("y1"), edge("y2") - 1)).otherwise(F.array().cast("array<long>"))).alias("v"), *(["mask", "width"] if "mask" in detections.columns else []))
+    hit = d.join(valid.withColumn("v", F.col("v").cast("long")), ["frame_id", "v"]).where((F.col("u") >= F.col("__u0")) & (F.col("u") < F.col("__u1")))
+    if "mask" in detections.columns:
+        hit = hit.where(F.col("mask").isNull() | F.array_contains("mask", (F.col("v") * F.col("width") + F.col("u")).cast("int")))
+    p = G.unproject(F.col("u"), F.col("v"), F.col("m"), fx, fy, cx, cy)
+    w = G.inverse_transform(r, t, p)
+    out = hit.select("obs", (F.col("v") * 1_000_000 + F.col("u")).alias("pt"), *[x.alias(k) for x, k in zip(w, G.AXES, strict=True)])
+    if most is not None:
+        from lattica.operators.panorama import sampled
+
+        out = sampled(out, "obs", "pt", most, seed)
+    return out.drop("pt")
+
+
 def projected_boxes(objects: DataFrame, r: list[Column], t: list[Column], fx: float, fy: float, cx: float, cy: float, width: int, height: int) -> DataFrame:
     """Image boxes of objects: the hull of the corners in front of the camera, two at least, clipped, two pixels at least."""
     corner = G.yaw_corners([F.col(f"c{k}") for k in G.AXES], [F.col(f"{k}1") - F.col(f"{k}0") for k in G.AXES], F.lit(0.0))

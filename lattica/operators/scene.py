@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import geometry as G
 from lattica.operators import language as L
+from lattica.operators import mapping as M
+from lattica.operators import replies as R
 from lattica.operators import spatial as S
 from lattica.operators import voxels as V
 from lattica.plans.rewrites import within_distance
@@ -24,6 +25,7 @@ class SceneMap:
     objects: DataFrame
     voxels: DataFrame | None = None
     meta: dict[str, Any] = field(default_factory=dict)
+    attached: DataFrame | None = None  # (kx, ky, kz, obj_id)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SceneMap:
@@ -41,29 +43,55 @@ class SceneMap:
     def near(self, point: tuple[float, float, float], radius: float | None = None, k: int | None = None) -> DataFrame:
         return S.near(self.objects, point, radius, k)
 
-    def query_text(self, text: str, k: int = 5, threshold: float = L.LEXICAL) -> DataFrame:
-        """Objects whose labels fit a text, best first."""
-        spark = self.objects.sparkSession
-        vocabulary = self.objects.select("label").distinct()
-        lex = L.lexical(spark.createDataFrame([(text,)], "query string"), vocabulary)
-        scored = self.objects.join(lex, "label").withColumn("embedding", F.lit(0.0))
-        return L.ranked(scored, k, threshold, 2.0).drop("embedding")
+    def query_text(self, text: str, k: int = 5, threshold: float = L.LEXICAL, level: str = "auto", embedding: L.TextMatcher | None = None) -> DataFrame:
+        """Objects and voxels that fit a text, best first: (level, obj_id, kx, ky, kz, label, score, rank).
+
+        auto asks the objects, and the voxels if no object is accepted; object and voxel ask one of them. Voxels of accepted
+        objects are left out. embedding scores vectors against the text; without one only names count.
+        """
+        objects = self._scored(self.objects, text, embedding)
+        found = L.ranked(objects, k, threshold, embedding.threshold if embedding else 2.0).select(F.lit("object").alias("level"), "obj_id", *[F.lit(None).cast("long").alias(c) for c in V.KEY], "label", "score", "rank")
+        if level == "object" or self.voxels is None:
+            return found.where(F.lit(level != "voxel"))
+        voxels = L.ranked(self._scored(self._labelled_voxels(), text, embedding).withColumn("conf", F.lit(1.0)).withColumn("obj_id", F.xxhash64(*V.KEY)), 1 << 30, threshold, embedding.threshold if embedding else 2.0)
+        if level == "auto":
+            none = found.agg(F.count("*").alias("hits")).where("hits = 0").select(F.lit(True).alias("none"))
+            voxels = voxels.join(F.broadcast(none), F.lit(True)).drop("none")  # one row or none
+        elif self.attached is not None:
+            taken = self.attached.join(found.select("obj_id"), "obj_id", "left_semi").select(*V.KEY)
+            voxels = voxels.join(taken, list(V.KEY), "left_anti")
+        voxels = voxels.orderBy(F.desc("score"), *V.KEY).limit(k)
+        order = Window.orderBy(F.desc("score"), *V.KEY)  # k rows at most
+        voxels = voxels.select(F.lit("voxel").alias("level"), F.lit(None).cast("long").alias("obj_id"), *V.KEY, "label", "score", F.row_number().over(order).alias("rank"))
+        return voxels if level == "voxel" else found.unionByName(voxels)
+
+    def _labelled_voxels(self) -> DataFrame:
+        if "label" not in self.voxels.columns:
+            raise ValueError("these voxels have no labels: join voxels.top_labels to them")
+        return self.voxels
+
+    def _scored(self, rows: DataFrame, text: str, embedding: L.TextMatcher | None) -> DataFrame:
+        spark = rows.sparkSession
+        lex = L.lexical(spark.createDataFrame([(text,)], "query string"), rows.select("label").distinct())
+        score = embedding.score(F.col("e"), text) if embedding else F.lit(0.0)
+        return rows.join(lex, "label").withColumn("embedding", score)
 
     def relations(self, max_distance: float = S.MAX_DISTANCE) -> DataFrame:
         return S.relations(self.objects, max_distance)
 
+    def vocabulary(self) -> list[str]:
+        """The class names of the map. Questions are parsed on the driver against all of them: they are a detector's vocabulary."""
+        return sorted(r[0] for r in self.objects.select("label").distinct().collect())
+
     def answer(self, question: str, k: int = 5) -> tuple[L.Intent, DataFrame]:
         """What a question asks for, and the rows that answer it; no rows if its subject is not in the map."""
-        vocabulary = [r[0] for r in self.objects.select("label").distinct().limit(10_000).collect()]  # class names, not objects
-        i = L.parse_question(question, vocabulary)
+        i = L.parse_question(question, self.vocabulary())
         robot = tuple(self.meta.get("robot_position", (0.0, 0.0, 0.0)))
         own = self.objects.where(F.lower("label") == (i.subject or "").lower())
-        if i.kind == "distance" and i.other:
-            return i, L.answer_distance(self.objects, i.subject, i.other)
-        if i.kind == "relation" and i.other:
+        if i.kind in ("distance", "relation") and i.other:
             found = L.answer_distance(self.objects, i.subject, i.other)
-            same = F.when(F.col("relation").isin("near", "overlapping"), "near").otherwise(F.col("relation")) == i.relation
-            return i, found.withColumn("holds", same)
+            near = F.lit(i.relation in ("near", "overlapping")) & F.col("relation").isin("near", "overlapping")
+            return i, found if i.kind == "distance" else found.withColumn("holds", F.lit(i.relation is None) | (F.col("relation") == F.lit(i.relation or "")) | near)
         if i.kind == "list_on" and i.subject:
             return i, L.answer_on(self.objects, i.subject)
         if i.kind == "count":
@@ -74,31 +102,17 @@ class SceneMap:
             return i, S.near(L.best_of(self.objects, i.subject or ""), robot, k=1)
         return i, self.labels()
 
-
-def merged_in_frame(observations: DataFrame, least: float = 0.5) -> DataFrame:
-    """Observations (scene, frame, obj_id, label, box, conf) of one thing in a frame as one: taken by confidence, each joins the
-    first kept one of its label whose box overlaps enough; kept_id names that one."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[Any] = []
-        out = []
-        for r in pdf.sort_values(["conf", "obj_id"], ascending=[False, True]).itertuples():
-            a = [r.x0, r.y0, r.z0, r.x1, r.y1, r.z1]
-            hit = next((i for i, label, b in kept if label == r.label and _iou(a, b) >= least), None)
-            if hit is None:
-                kept.append((r.obj_id, r.label, a))
-            out.append((r.obj_id, r.obj_id if hit is None else hit))
-        return pd.DataFrame(out, columns=["obj_id", "kept_id"]).assign(scene=pdf["scene"].iloc[0], frame=pdf["frame"].iloc[0])[["scene", "frame", "obj_id", "kept_id"]]
-
-    return observations.groupBy("scene", "frame").applyInPandas(run, "scene long, frame long, obj_id long, kept_id long")
-
-
-def _iou(a: list[float], b: list[float]) -> float:
-    inter = va = vb = 1.0
-    for i in range(3):
-        inter *= max(0.0, min(a[i + 3], b[i + 3]) - max(a[i], b[i]))
-        va *= a[i + 3] - a[i]
-        vb *= b[i + 3] - b[i]
-    return inter / (va + vb - inter) if va + vb - inter > 1e-12 else 0.0
+    def reply(self, question: str, k: int = 5) -> R.Reply:
+        """An answer in words, with the rows that it rests on. A subject that the map does not have is named as such, and no
+        question raises."""
+        vocabulary = self.vocabulary()
+        try:
+            intent, rows = self.answer(question, k)
+            missing = R.missing_subject(question, intent, vocabulary)
+            found = [] if missing else [r.asDict() for r in rows.limit(max(k, 10)).collect()]
+            return R.reply(question, intent, found, missing, vocabulary)
+        except Exception as e:  # one question must not end a session
+            return R.Reply(question, "error", "I could not make sense of that question.", [], 0.0, {"error": str(e)[:200]})
 
 
 def map_localization(objects: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
@@ -110,9 +124,10 @@ def map_localization(objects: DataFrame, truth: DataFrame, reach: float = 2.0) -
     return flat.groupBy("label").applyInPandas(lambda pdf: map_matches(pdf, reach), flat.schema)
 
 
-def built(points: DataFrame, size: float = V.SIZE) -> SceneMap:
-    """A map of labelled points: the voxel field, and an object for each label with its robust box and confidence."""
-    t = V.track_summary(points, "label", size)
-    w = Window.orderBy(F.desc("confidence"), "label")  # one row for each track
-    objects = t.select((F.row_number().over(w) - 1).cast("long").alias("obj_id"), "label", "cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1", F.col("confidence").alias("conf"))
-    return SceneMap(objects, V.fuse(points, size), {"voxel_size": size})
+def built(observations: DataFrame, points: DataFrame, size: float = V.SIZE, **options: Any) -> SceneMap:
+    """A map of instances: see mapping.build. Its meta says what was dropped, and the number of objects and observations."""
+    b = M.build(observations, points, size, **options)
+    drops = {r["reason"] or "kept": r["n"] for r in b.drops.collect()}  # three reasons at most
+    counts = b.attached.groupBy("obj_id").agg(F.count("*").alias("num_voxels"))
+    objects = b.objects.join(counts, "obj_id", "left").fillna(0, ["num_voxels"])
+    return SceneMap(objects, b.voxels, {"voxel_size": size, "drops": drops}, b.attached)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions import geometry as G
 from lattica.functions import text as T
 from lattica.operators import metrics as M
+from lattica.operators import reports as RP
 from lattica.operators import reward as R
 from lattica.operators import spatial as S
 from lattica.queries import language as Q
@@ -74,6 +75,24 @@ def localization_errors(spark, sf_dir):
     return M.localization(p.select(G.center_distance().alias("error"))).select("n", *r6("mean", "median", "p90", "least", "most", "within_25", "within_50"))
 
 
+_DETECTED = f"{views.OBJECTS}, det as (select label, conf - 0.3 as score, obj_id % 60 as n_points, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)+(z1-z0)*(z1-z0)) as diagonal from objects), sz(label, low, high) as (values ('class1', 0.5::double, 0.2::double), ('class2', 2.5, 0.6), ('class3', 0.2, 0.3))"
+
+
+@query(f"with {_DETECTED}, l as (select det.*, case when score < 0.3 then 'low_score' when n_points < 20 then 'few_points' when diagonal < 0.2*coalesce(low,0) or diagonal > 3*coalesce(high,'infinity'::double) then 'implausible_size' else '' end as reason from det left join sz using (label)) select label, count(*) as n, sum((reason='')::bigint)::bigint as accepted, round(avg(score) filter (reason=''),6) as mean_score, sum((reason='low_score')::bigint)::bigint as low_score, sum((reason='few_points')::bigint)::bigint as few_points, sum((reason='implausible_size')::bigint)::bigint as implausible_size from l group by label")
+def label_report(spark, sf_dir):
+    o = views.objects(spark, sf_dir)
+    det = o.select("label", (F.col("conf") - 0.3).alias("score"), (F.col("obj_id") % 60).alias("n_points"), G.length([F.col(f"{k}1") - F.col(f"{k}0") for k in G.AXES]).alias("diagonal"))
+    sizes = spark.createDataFrame([("class1", 0.5, 0.2), ("class2", 2.5, 0.6), ("class3", 0.2, 0.3)], "label string, low double, high double")
+    return RP.label_report(RP.labelled(det, sizes)).select("label", "n", "accepted", *r6("mean_score"), "low_score", "few_points", "implausible_size")
+
+
+@query("with a as (select unnest([case conv_id % 3 when 0 then 'locate' when 1 then 'count' else 'relation' end, 'all']) as intent, case when turn % 4 = 0 then null else length(text) % 2 = 0 end as ok from conversations) select intent, count(*) as asked, count(ok) as judged, coalesce(sum(ok::int),0)::bigint as right, round(avg(ok::int),6) as accuracy from a group by intent")
+def intent_accuracy(spark, sf_dir):
+    c = views.table(spark, sf_dir, "conversations")
+    intent = F.element_at(F.array(F.lit("locate"), F.lit("count"), F.lit("relation")), (F.col("conv_id") % 3 + 1).cast("int"))
+    return RP.accuracy_by_intent(c.select(intent.alias("intent"), F.when(F.col("turn") % 4 != 0, F.length("text") % 2 == 0).alias("ok"))).select("intent", "asked", "judged", "right", *r6("accuracy"))
+
+
 @query(f"with {views.OBJECTS}, m as (select label, median(cx) as mx, median(cy) as my, median(cz) as mz, count(*) as n from objects group by label), d as (select obj_id, label, n, sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz)) as distance from objects join m using (label)) select obj_id, label, round(distance,6) as distance from d where n >= 3 and distance > 1.5")
 def label_suspects(spark, sf_dir):
     return M.suspects(views.objects(spark, sf_dir), reach=1.5).select("obj_id", "label", *r6("distance"))
@@ -93,12 +112,12 @@ def column_means(spark, sf_dir):
     return M.column_means(li, ["l_quantity", "l_discount", "l_tax"]).select("name", *r6("mean"))
 
 
-@query(Q._HYBRID.replace("select query, obj_id, label, round(score,6) as score, round(fused,6) as fused, rn as rank from (select *, row_number() over (partition by query order by score desc, obj_id) as rn from rk where score > 0) where rn <= 5", ", r as (select *, row_number() over (partition by query order by score desc, obj_id) as rn from rk where score > 0), f as (select query, min(rn) filter (obj_id % 3 = 0) as r from r where rn <= 20 group by query) select count(*) as queries, round(avg(coalesce(r <= 1, false)::int),6) as recall_1, round(avg(coalesce(r <= 3, false)::int),6) as recall_3, round(avg(coalesce(1.0::double/r, 0)),6) as mrr from f"))
+@query(Q._HYBRID.replace("select query, obj_id, label, round(score,6) as score, round(fused,6) as fused, rn as rank from (select *, row_number() over (partition by query order by score desc, obj_id) as rn from rk where score > 0) where rn <= 5", ", r as (select *, row_number() over (partition by query order by score desc, obj_id) as rn from rk where score > 0), f as (select query, min(rn) filter (obj_id % 3 = 0) as r from r where rn <= 20 group by query) select count(*) as queries, round(avg(coalesce(r <= 1, false)::int),6) as recall_1, round(avg(coalesce(r <= 3, false)::int),6) as recall_3, round(avg(coalesce(1.0::double/r, 0)),6) as mrr, median(r)::double as median_rank from f"))
 def query_recall(spark, sf_dir):
     from lattica.operators import language as L
 
     r = L.ranked(Q._scored(spark, sf_dir), 20, t_embedding=0.9).withColumn("hit", F.col("obj_id") % 3 == 0)
-    return M.recall_at(r).select("queries", *r6("recall_1", "recall_3", "mrr"))
+    return M.recall_at(r).select("queries", *r6("recall_1", "recall_3", "mrr"), "median_rank")
 
 
 @query(f"""with {views.OBJECTS}, ring as (select ((floor((atan2(cy,cx)/(2*pi())+0.5)*36)::bigint % 36)+36)%36 as col, avg(sqrt(cx*cx+cy*cy)) as value from objects group by 1), b as (select (col+29)%36 as col, value + 0.01*(col%3) as value from ring),
@@ -182,7 +201,11 @@ def answer_numbers(spark, sf_dir):
     return c.select("conv_id", "turn", F.size(R.numbers(F.col("text"))).cast("long").alias("n"), R.yes_no(F.col("text")).alias("yes"))
 
 
-@query()
+_RELATED = Q._spatial()._PAIRS.replace(views.OBJECTS, Q._NAMED).replace("from objects a join objects b", "from named a join named b").replace("distance <= 0.8", "distance <= 0.5 and subject <> object")
+
+
+@query(f"""with {_RELATED}, f as (select * from (select *, row_number() over (partition by relation order by subject_id, object_id) as rn from related) where rn <= 20 and relation <> 'unknown'), a as (select *, case when rn % 2 = 0 then relation when relation = 'above' then 'below' else 'above' end as asked from f)
+    select subject_id, object_id, 'Is the ' || subject || ' ' || asked || ' the ' || object || '?' as question, case when asked = relation then 'yes' else 'no' end as answer from a""")
 def spatial_questions(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -196,7 +219,6 @@ def spatial_questions(spark, sf_dir):
 
 @query()
 def json_answers(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events").limit(0)
     e = views.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Sure: ```json\n"), "props", F.lit("\n``` done")).alias("text"))
     return e.select("event_id", F.get_json_object(T.extract_json(F.col("text")), "$.k").cast("long").alias("k"))
 

@@ -72,15 +72,16 @@ def lexical_scores(spark, sf_dir):
 
 _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]*p[2]))"
 _COS = lambda a, b: f"({_DOT(a, b)} / greatest(sqrt({_DOT(a, a)})*sqrt({_DOT(b, b)}), 1e-12))"
-_PROBES = f"pr as (select obj_id as q_id, e as qe from objects where obj_id in (3, 11, 27)), nu as (select (select e from objects where obj_id = 100) as n1, (select e from objects where obj_id = 101) as n2)"
+_PROBES = f"pr as (select obj_id as q_id, e as qe from objects where obj_id % 50 = 0), nu as (select (select e from objects where obj_id = 100) as n1, (select e from objects where obj_id = 101) as n2)"
 _EMB = f"{_PROBES}, es as (select q_id, obj_id, {_COS('e', 'qe')} as cq, greatest({_COS('e', 'n1')}, {_COS('e', 'n2')}) as cn from objects, pr, nu)"
 
 
 def _probes(spark, sf_dir):
     o = views.objects(spark, sf_dir)
-    probe = o.where("obj_id in (3, 11, 27)").select(F.col("obj_id").alias("q_id"), F.col("e").alias("qe"))
+    probe = o.where("obj_id % 50 = 0").select(F.col("obj_id").alias("q_id"), F.col("e").alias("qe"))
     nulls = [o.where(f"obj_id = {i}").select(F.col("e").alias(f"n{i}")) for i in (100, 101)]
-    return o.join(F.broadcast(probe.join(nulls[0], F.lit(True)).join(nulls[1], F.lit(True))), F.lit(True))  # three probes
+    # The stated queries of a search, every fiftieth object, against all objects, in blocks; two rows stand for the null texts.
+    return L.blocked(o, probe.join(F.broadcast(nulls[0].join(nulls[1], F.lit(True))), F.lit(True)))
 
 
 @query(f"with {views.OBJECTS}, {_EMB} select q_id, obj_id, round(cq,6) as cosine, round(1/(1+exp((cn-cq)/0.05)),6) as score, round(1/(1+exp(-(10*cq-5))),6) as logistic from es")
@@ -91,7 +92,7 @@ def embedding_scores(spark, sf_dir):
     return s.select("q_id", "obj_id", F.round(cq, 6).alias("cosine"), F.round(score, 6).alias("score"), F.round(X.logistic(cq, 10.0, -5.0), 6).alias("logistic"))
 
 
-_HYBRID = f"""with {_NAMED}, {_LEXICAL}, {_PROBES}, ask(query, q_id) as (values ('mug', 3), ('couch', 11), ('书桌', 27)),
+_HYBRID = f"""with {_NAMED}, {_LEXICAL}, {_PROBES}, ask(query, q_id) as (values ('mug', 50), ('couch', 100), ('书桌', 150)),
     sc as (select query, named.obj_id, named.label, conf, lexical, 1/(1+exp((greatest({_COS('e', 'n1')},{_COS('e', 'n2')})-{_COS('e', 'qe')})/0.05)) as emb from named join lex using (label) join ask using (query) join pr using (q_id), nu),
     rk as (select *, case when lexical >= 0.5 and emb >= 0.9 then greatest(lexical, emb) when lexical >= 0.5 then lexical else emb end * (0.92+0.08*conf) as score, greatest((0.4*lexical+0.6*emb)/(0.4+0.6), 0.95*greatest(lexical, emb)) as fused from sc where lexical >= 0.5 or emb >= 0.9)
     select query, obj_id, label, round(score,6) as score, round(fused,6) as fused, rn as rank from (select *, row_number() over (partition by query order by score desc, obj_id) as rn from rk where score > 0) where rn <= 5"""
@@ -99,7 +100,7 @@ _HYBRID = f"""with {_NAMED}, {_LEXICAL}, {_PROBES}, ask(query, q_id) as (values
 
 def _scored(spark, sf_dir):
     o = named_objects(spark, sf_dir)
-    ask = spark.createDataFrame([("mug", 3), ("couch", 11), ("书桌", 27)], "query string, q_id long")
+    ask = spark.createDataFrame([("mug", 50), ("couch", 100), ("书桌", 150)], "query string, q_id long")
     lex = L.lexical(_asked(spark), _labels(spark)).join(ask, "query")
     probes = _probes(spark, sf_dir).select("q_id", "obj_id", L.embedding_score(F.col("e"), F.col("qe"), [F.col("n100"), F.col("n101")], 0.05).alias("embedding"))
     return o.join(lex, "label").join(probes, ["q_id", "obj_id"])
@@ -118,15 +119,16 @@ def uncovered_voxels(spark, sf_dir):
     return v.join(covered, list(V.KEY), "left_anti").groupBy("label").agg(F.count("*").alias("n"))
 
 
-_CAL = f"""{views.OBJECTS}, pr as (select obj_id as q_id, label as ql, e as qe from objects where obj_id % 100 = 3), sc as (select round({_COS('e', 'qe')}, 6) as score, label = ql as positive from objects, pr where obj_id <> q_id),
+_CAL = f"""{views.OBJECTS}, u as (select label, e, sqrt({_DOT('e', 'e')}) as n from objects), d as (select label, i, avg(e[i+1]/n) as x from u, range(64) t(i) group by label, i), pr as (select label as ql, list(x order by i) as qe from d group by label),
+    sc as (select round({_COS('e', 'qe')}, 6) as score, label = ql as positive from objects, pr),
     g as (select score, sum(positive::int)::double as p, sum((not positive)::int)::double as n from sc group by score), c as (select score, sum(p) over (order by score desc) / sum(p) over () as tpr, 1 - sum(n) over (order by score desc) / sum(n) over () as tnr from g)"""
 
 
 @query(f"with {_CAL} select score as threshold, round((tpr+tnr)/2, 6) as balanced from c where score > 0 order by round(tpr+tnr, 9) desc, score desc limit 1")
 def calibrated_threshold(spark, sf_dir):
     o = views.objects(spark, sf_dir)
-    probes = o.where("obj_id % 100 = 3").select(F.col("obj_id").alias("q_id"), F.col("label").alias("ql"), F.col("e").alias("qe"))
-    s = o.join(F.broadcast(probes), F.col("obj_id") != F.col("q_id"))  # one probe for each hundred objects of a map
+    probes = L.ensemble(o, "label").select(F.col("label").alias("ql"), F.col("e").alias("qe"))
+    s = L.blocked(o, probes)
     return L.calibrated_threshold(s.select(F.round(X.cosine(F.col("e"), F.col("qe")), 6).alias("score"), (F.col("label") == F.col("ql")).alias("positive"))).select("threshold", *r6("balanced"))
 
 
@@ -185,7 +187,7 @@ def answer_locate(spark, sf_dir):
     return L.best_of(named_objects(spark, sf_dir), "plant").select("obj_id", F.round(S.distance_to(0.0, 0.0, 0.0), 6).alias("distance"), *r6("conf"))
 
 
-@query(f"select conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as q, len({_bigrams(chr(39) + 'x' + chr(39))})::int as one from conversations where turn = 0")
+@query(f"select conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as q, len({_bigrams(chr(39) + 'x' + chr(39))})::int as one from conversations")
 def normalized_questions(spark, sf_dir):
-    c = views.table(spark, sf_dir, "conversations").where("turn = 0")
+    c = views.table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", T.query_text(F.col("text")).alias("q"), F.size(T.bigrams(F.lit("x"))).alias("one"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import geometry as G
 from lattica.operators import language as L
-from lattica.operators import panorama
+from lattica.operators import mapping, panorama
 from lattica.operators import perception as P
 from lattica.operators import policy, scene
 from lattica.queries import language as Q
@@ -33,10 +33,9 @@ _SLAB = lambda f, g: f + "(" + ", ".join(f"{g}({k}0/{_SAFE.format(d='d' + k)}, {
 
 
 @query(f"""with {views.OBJECTS}, px as (select i % 64 as u, i // 64 as v, ((i % 64 + 0.5::double)/64-0.5)*2*pi() as az, (0.5-(i // 64 + 0.5::double)/32)*pi() as el from range(64*32) t(i)), rays as (select u, v, cos(el)*cos(az) as dx, cos(el)*sin(az) as dy, sin(el) as dz from px),
-    h as (select u, v, obj_id, {_SLAB('greatest', 'least')} as near, {_SLAB('least', 'greatest')} as far from rays, objects where obj_id % 12 = 0) select u, v, arg_min(obj_id, row(near, obj_id)) as obj_id, round(min(near),6) as range from h where near <= far and near > 0 group by u, v""")
+    h as (select u, v, obj_id, {_SLAB('greatest', 'least')} as near, {_SLAB('least', 'greatest')} as far from rays, objects) select u, v, arg_min(obj_id, row(near, obj_id)) as obj_id, round(min(near),6) as range from h where near <= far and near > 0 group by u, v""")
 def rendered_room(spark, sf_dir):
-    boxes = views.objects(spark, sf_dir).where("obj_id % 12 = 0")
-    return synthetic.rendered(boxes, 64, 32).select("u", "v", "obj_id", *r6("range"))
+    return synthetic.rendered(views.objects(spark, sf_dir), 64, 32).select("u", "v", "obj_id", *r6("range"))
 
 
 _CORNER = "c as (select obj_id, label, cx+(x1-x0)*sx as x, cy+(y1-y0)*sy as y, cz+(z1-z0)*sz as z from objects, (values (-0.5),(0.5)) a(sx), (values (-0.5),(0.5)) b(sy), (values (-0.5),(0.5)) d(sz)), cam as (select obj_id, label, x as px, -z + 0.5 as py, y + 6.0 as pz from c)"
@@ -49,7 +48,7 @@ def projected_boxes(spark, sf_dir):
     return P.projected_boxes(views.objects(spark, sf_dir), r, t, **S._CAM, width=160, height=120).select("obj_id", "label", *r6("x1", "y1", "x2", "y2"))
 
 
-@query()
+@query(f"with {views.PIXELS}, m as (select vec_id, avg(r) as r, avg(g) as g, avg(b) as b from pixels group by vec_id) select vec_id as frame_id, 'object' as label, 20 as area, round(coalesce(r/nullif(sqrt(r*r+g*g+b*b),0),0),6) as red from m")
 def perceived(spark, sf_dir):
     p = views.pixels(spark, sf_dir)
     image = p.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((F.col("v") * 5 + F.col("u")).alias("at"), F.array("r", "g", "b").alias("c")))).alias("px"))
@@ -58,14 +57,25 @@ def perceived(spark, sf_dir):
     return P.pipeline(frames).select("frame_id", "label", "area", F.round(F.get("feature", F.lit(0)), 6).alias("red"))
 
 
+def _seen(spark, sf_dir):
+    """Observations of five scenes, fifty vectors to a frame, with the twenty points of each within its box."""
+    o = views.objects(spark, sf_dir)
+    at = lambda k, i: F.col(f"c{k}") + (F.get("e", F.col("i") * 3 + i) * 8 - F.col(f"c{k}")) * 0.05
+    points = o.select(F.col("obj_id").alias("obs"), "e", "cx", "cy", "cz", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select("obs", *[at(k, i).alias(k) for i, k in enumerate(G.AXES)])
+    seen = o.select((F.col("obj_id") % 5).alias("scene"), F.floor(F.col("obj_id") / 50).alias("frame"), F.col("obj_id").alias("obs"), "label", F.col("conf").alias("score"), "e")
+    return seen, points
+
+
 @query()
 def built_map(spark, sf_dir):
-    return scene.built(views.points(spark, sf_dir), 0.5).objects.select("obj_id", "label", *r6("cx", "cy", "cz", "conf"))
+    b = scene.built(*_seen(spark, sf_dir), 0.5, least_score=0.55)
+    return b.objects.select("obj_id", "scene", "track", "label", "n_observations", "n_points", *r6("cx", "cy", "cz", "conf", "purity"))
 
 
-@query()
+@query(f"with {Q._NAMED}, {Q._LEXICAL}, s as (select obj_id, label, lexical * (0.92+0.08*conf) as score from named join lex using (label) where query = 'couch' and lexical >= 0.5) select obj_id, label, round(score,6) as score, rn as rank from (select *, row_number() over (order by score desc, obj_id) as rn from s) where rn <= 5")
 def map_text_query(spark, sf_dir):
-    return scene.SceneMap(Q.named_objects(spark, sf_dir)).query_text("couch", 5).select("obj_id", "label", *r6("score"), "rank")
+    r = scene.SceneMap(Q.named_objects(spark, sf_dir)).query_text("couch", 5)
+    return r.select("obj_id", "label", *r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -76,11 +86,16 @@ def map_localization(spark, sf_dir):
 
 @query()
 def frame_merges(spark, sf_dir):
-    o = views.objects(spark, sf_dir).withColumn("scene", F.col("obj_id") % 5).withColumn("frame", F.floor(F.col("obj_id") / 50))
-    return scene.merged_in_frame(o, 0.05)
+    seen, points = _seen(spark, sf_dir)
+    return mapping.merged_in_frame(mapping.boxed(seen, points), 0.05)
 
 
-@query()
+_RELATED = S._PAIRS.replace(views.OBJECTS, Q._NAMED).replace("from objects a join objects b", "from named a join named b").replace("distance <= 0.8", "distance <= 0.5 and subject <> object")
+
+
+@query(f"""with {_RELATED}, rl as (select * from related where relation <> 'unknown'), every as (select 'relation' as task, subject_id, object_id, subject, object, case when subject_id % 2 = 1 then relation when relation = 'above' then 'below' else 'above' end as asked, subject_id % 2 = 1 as truth, distance from rl
+    union all select 'distance', subject_id, object_id, subject, object, null, null, distance from rl union all select 'locate', obj_id, null, label, null, null, null, null from named)
+    select task, subject_id, object_id, subject, object, asked, truth, round(distance,6) as distance from (select *, row_number() over (partition by task order by subject_id nulls first, object_id nulls first) as rn from every) where rn <= 20""")
 def policy_samples(spark, sf_dir):
     return policy.samples(Q.named_objects(spark, sf_dir), 20, 0.5).select("task", "subject_id", "object_id", "subject", "object", "asked", "truth", *r6("distance"))
 
@@ -125,9 +140,11 @@ def label_categories(spark, sf_dir):
     return scenes.coco(_labels2d(spark, sf_dir))[0]
 
 
-@query()
+@query(f"with {views.OBJECTS}, {_BOXES2D.replace('x1-x0', 'objects.x1-objects.x0').replace('y1-y0', 'objects.y1-objects.y0')}, c as (select label, row_number() over (order by label) as id from (select distinct label from b where reason = '')) select frame_id as image_id, id::int as category_id, round(x1,6) as x, round(y1,6) as y, round(x2-x1,6) as w, round(y2-y1,6) as h, round((x2-x1)*(y2-y1),6) as area, round(score,6) as score from b join c using (label) where reason = ''")
 def label_annotations(spark, sf_dir):
-    return scenes.coco(_labels2d(spark, sf_dir))[1]
+    """The lines of the file, read back."""
+    a = scenes.coco(_labels2d(spark, sf_dir))[1].select(F.from_json("line", "image_id long, category_id int, bbox array<double>, area double, score double").alias("a"))
+    return a.select("a.image_id", "a.category_id", *[F.round(F.get("a.bbox", F.lit(i)), 6).alias(n) for i, n in enumerate("xywh")], F.round("a.area", 6).alias("area"), F.round("a.score", 6).alias("score"))
 
 
 @query(f"with {views.OBJECTS}, f as (select obj_id % 10 as capture, obj_id as frame, row_number() over (partition by obj_id % 10 order by obj_id) - 1 as i, count(*) over (partition by obj_id % 10) as n from objects), p as (select n, round_even(j*(n-1)/6.0::double, 0)::bigint as i from (select distinct n from f), range(7) t(j)) select capture, frame from f where n <= 7 or (n, i) in (select (n, i) from p)")
@@ -136,14 +153,17 @@ def picked_frames(spark, sf_dir):
     return scenes.picked_frames(f, "capture", 7)
 
 
-@query()
+@query(f"""with {views.OBJECTS}, {S._LATTICE}, o as (select * from objects where not (0.0 between x0 and x1 and -6.0 between y0 and y1 and 0.5 between z0 and z1)),
+    p as (select obj_id, cx+(x1-x0)*sx as px, -(cz+(z1-z0)*sz) + 0.5 as py, cy+(y1-y0)*sy + 6.0 as pz from o, lat), q as (select obj_id, pz, case when pz > 1e-6 then 120.0::double*px/pz+79.5 end as u, case when pz > 1e-6 then 120.0::double*py/pz+59.5 end as v from p),
+    k as (select *, coalesce(u between 0 and 159 and v between 0 and 119 and 6.0 >= pz - greatest(0.30, abs(pz)*0.10), false) as shown from q)
+    select obj_id, round(avg(shown::int),6) as visible, round(quantile_cont(pz, 0.5) filter (pz > 1e-6),6) as range, greatest(least(floor(min(u)),159),0)::bigint as x1, greatest(least(floor(min(v)),119),0)::bigint as y1, greatest(least(floor(max(u)),159),0)::bigint as x2, greatest(least(floor(max(v)),119),0)::bigint as y2 from k group by obj_id having count(*) filter (pz > 1e-6) >= 4""")
 def box_frames(spark, sf_dir):
     r, t = [F.lit(x) for x in S._ROT], [F.lit(x) for x in S._POS]
     depth = spark.range(160 * 120).select((F.col("id") % 160).cast("int").alias("u"), F.floor(F.col("id") / 160).cast("int").alias("v"), F.lit(6.0).alias("m"))
-    return panorama.boxes_in_frame(views.objects(spark, sf_dir), depth, r, t, **S._CAM, width=160, height=120).select("obj_id", *r6("visible", "range"), "x1", "y1", "x2", "y2")
+    return panorama.boxes_in_frame(views.objects(spark, sf_dir), depth, r, t, **S._CAM, width=160, height=120).select("obj_id", *r6("visible", "range"), *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query()
+@query(f"with {Q._ALIAS}, q(query) as (values {', '.join(f'({chr(39)}{x}{chr(39)})' for x in Q.ASKED)}), c as ({Q._CONCEPTS.format(src='(select query as t from q)')}) select t as query, case when (regexp_matches(t, '[一-鿿]') or len(string_split(t, ' ')) <= 2) and len(coalesce(c, [])) > 0 then list_sort(list_transform(c, lambda x: lpad(length(x)::varchar, 4, '0') || x))[1][5:] else t end as english from c")
 def english_queries(spark, sf_dir):
     return L.to_english(Q._asked(spark))
 
@@ -153,7 +173,6 @@ def region_views(spark, sf_dir):
     return L.region_views(_labels2d(spark, sf_dir), 12, 22).select("frame_id", F.col("scale").cast("double").alias("scale"), *r6("vx1", "vy1", "vx2", "vy2"))
 
 
-@query(f"with {views.OBJECTS}, u as (select label, obj_id, e, sqrt({Q._DOT('e', 'e')}) as n from objects where obj_id < 40), p as (select label, i, avg(e[i+1]/n) as x from u, range(64) t(i) group by label, i), s as (select label, sqrt(sum(x*x)) as n from p group by label) select label, round(p.x/s.n,6) as first from p join s using (label) where i = 0")
+@query(f"with {views.OBJECTS}, u as (select label, obj_id, e, sqrt({Q._DOT('e', 'e')}) as n from objects), p as (select label, i, avg(e[i+1]/n) as x from u, range(64) t(i) group by label, i), s as (select label, sqrt(sum(x*x)) as n from p group by label) select label, round(p.x/s.n,6) as first from p join s using (label) where i = 0")
 def text_ensembles(spark, sf_dir):
-    o = views.objects(spark, sf_dir).where("obj_id < 40")
-    return L.ensemble(o, "label").select("label", F.round(F.get("e", F.lit(0)), 6).alias("first"))
+    return L.ensemble(views.objects(spark, sf_dir), "label").select("label", F.round(F.get("e", F.lit(0)), 6).alias("first"))

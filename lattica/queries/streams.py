@@ -81,9 +81,12 @@ def decoded_messages(spark, sf_dir):
     return codec.decode(codec.encode(e), "event_id long, user_id long, value double, k long").select("event_id", "user_id", *r6("value"), "k")
 
 
-@query()
+@query(f"with {views.OBJECTS}, t as (select obj_id, label, cx, cy, cz, conf from objects order by conf desc, obj_id limit 200) select (select count(*) from t) as n, obj_id, label, round(cx,6) as cx, round(cy,6) as cy, round(cz,6) as cz, round(conf,6) as conf from t")
 def map_message(spark, sf_dir):
-    return codec.capped_map(views.objects(spark, sf_dir))
+    """The message, read back."""
+    m = codec.capped_map(views.objects(spark, sf_dir))
+    o = m.select("n", F.explode(F.from_json("message", "array<struct<obj_id:long,label:string,cx:double,cy:double,cz:double,conf:double>>")).alias("o"))
+    return o.select("n", "o.obj_id", "o.label", *[F.round(f"o.{c}", 6).alias(c) for c in ("cx", "cy", "cz", "conf")])
 
 
 @query()
@@ -96,13 +99,23 @@ def streamed_field(spark, sf_dir):
     v = raw.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), k)
     at = lambda i: F.get("e", F.col("k") * 3 + i) * 8
     p = v.select("vec_id", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), (0.5 + F.abs(F.get("e", F.lit(63)))).alias("w"), "e")
-    name = f"field_{uuid.uuid4().hex[:8]}"
-    q = sync.fused_stream(p).writeStream.outputMode("complete").format("memory").queryName(name).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return V.finished(spark.table(name), "mean").select(*V.KEY, "n", *r6("weight", "f0", "f1", "f2", "f3"))
+    root = f"{_folder(spark)}/field-{uuid.uuid4().hex}"
+
+    def keep(batch, number: int) -> None:
+        """Every batch writes the whole field of what was read so far; the last one counts."""
+        batch.write.mode("overwrite").parquet(f"{root}/{number}")
+
+    q = sync.fused_stream(p, dims=_spatial._DIMS, mode="mean").writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return V.finished(spark.read.parquet(f"{root}/{last}"), "mean", _spatial._DIMS).select(*V.KEY, "n", *r6("weight", *[f"f{i}" for i in range(_spatial._DIMS)]))
+
+
+def _folder(spark) -> str:
+    """The folder that driver and executors share, or one of our own where none is set (tests)."""
+    import tempfile
+
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-")
 
 
 from lattica.queries import spatial as _spatial  # noqa: E402

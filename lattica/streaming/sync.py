@@ -69,11 +69,11 @@ def points_stream(spark: SparkSession, path: str, schema: str, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def fused_stream(points: DataFrame, size: float = 0.5) -> DataFrame:
+def fused_stream(points: DataFrame, size: float = 0.5, dims: int = 4, mode: str | None = None) -> DataFrame:
     """The running field of a stream of points: the same sums as the batch, kept as state by voxel."""
     from lattica.operators.voxels import fuse
 
-    return fuse(points, size)
+    return fuse(points, size, dims, mode)
 
 
 def answered(questions: DataFrame, answer: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):

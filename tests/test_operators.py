@@ -166,7 +166,7 @@ def test_caption_reasons(spark, text, reason):
 def test_caption_duplicates(spark):
     k = captions(spark, ("a dog runs fast", "v1"), ("a dog runs fast", "v1"), ("fast a dog runs", "v1"), ("a cat sleeps", "v1"))
     exact = C.exact_duplicates(k)
-    left = C.wordset_duplicates(exact.where("not exact"))
+    left = C.wordset_duplicates(k.join(exact.where("not exact"), "ord"))
     assert exact.where("exact").count() == 1 and left.where("wordset").count() == 1 and left.where("not wordset").count() == 2
     same = captions(spark, *[("the same caption here", f"v{i}") for i in range(4)])
     assert C.exact_duplicates(same, per_video=True).where("exact").count() == 0 and C.templates(same).first().copies == 4
@@ -402,7 +402,7 @@ def test_config(tmp_path):
 
 
 def test_scene_answers(spark, tmp_path):
-    from lattica.operators.scene import SceneMap, built, merged_in_frame
+    from lattica.operators.scene import SceneMap
 
     o = box(spark, (1, "table", 0, 0, 0, 0.5, 0.5, 0.5), (2, "cup", 0.1, 0, 0.55, 0.05, 0.05, 0.1), (3, "chair", 2, 0, 0, 0.3, 0.3, 0.5), (4, "chair", 5, 0, 0, 0.3, 0.3, 0.5))
     m = SceneMap(o)
@@ -412,12 +412,210 @@ def test_scene_answers(spark, tmp_path):
     assert [r.label for r in ask("what is on the table")[1]] == ["cup"] and [r.obj_id for r in ask("nearest chair")[1]] == [3, 4]
     assert ask("how far is the cup from the table")[1][0].relation == "above" and len(ask("describe")[1]) == 3
     assert [r.obj_id for r in m.query_text("seat").collect()] == [3, 4]
-    p = spark.createDataFrame([(0.1 * i, 0.0, 0.0, 1.0, [1.0, 0.0, 0.0, 0.0], "a", i) for i in range(12)], "x double, y double, z double, w double, e array<double>, label string, frame int")
-    b = built(p, 0.1)
-    b.save(str(tmp_path / "map"))
-    assert SceneMap.load(spark, str(tmp_path / "map")).objects.first().label == "a"
-    twice = box(spark, (1, "a", 0, 0, 0, 1, 1, 1), (2, "a", 0.1, 0, 0, 1, 1, 1), (3, "b", 0, 0, 0, 1, 1, 1)).withColumn("scene", F.lit(1).cast("long")).withColumn("frame", F.lit(1).cast("long"))
-    assert {r.obj_id: r.kept_id for r in merged_in_frame(twice).collect()} == {1: 1, 2: 1, 3: 3}
+    assert "no sofa" in m.reply("where is the sofa").text and "zeppelin" in m.reply("where is the zeppelin").text and m.reply("where is the zeppelin").confidence == 0.0
+    assert m.reply("is the cup above the table").text.startswith("Yes") and m.reply("is the cup below the table").text.startswith("No") and "2 of chair" in m.reply("how many chairs").text
+    assert m.reply("what is on the table").rows[0]["label"] == "cup" and "0.56 m" in m.reply("how far is the cup from the table").text
+    assert m.reply("describe").kind == "describe" and m.reply("").kind == "describe" and m.reply("how far is the cup").text
+
+
+def _chairs(spark):
+    """Two chairs and a table in four frames; one chair is called a seat once, one detection has no points, one a low score."""
+    seen, points, n = [], [], 0
+    for frame in range(4):
+        for label, x, score in (("chair", 0.0, 0.9), ("seat" if frame == 1 else "chair", 3.0, 0.8), ("table", 0.2, 0.7)):
+            seen.append((1, frame, n, label, score, [1.0 if label == "table" else 0.0, 1.0, score]))
+            points += [(n, x + 0.1 * i, 0.02 * frame, 0.5 if label == "table" else 0.1 * (i % 3)) for i in range(10)]
+            n += 1
+    seen += [(1, 0, 100, "ghost", 0.9, [0.0, 0.0, 1.0]), (1, 1, 101, "cup", 0.1, [0.0, 0.0, 1.0])]
+    points += [(101, 9.0, 9.0, 9.0)]
+    return spark.createDataFrame(seen, "scene long, frame long, obs long, label string, score double, e array<double>"), spark.createDataFrame(points, "obs long, x double, y double, z double")
+
+
+def test_map_of_instances(spark, tmp_path):
+    from lattica.operators import mapping
+    from lattica.operators.scene import SceneMap, built
+
+    seen, points = _chairs(spark)
+    m = built(seen, points, 0.2, least_score=0.3, least_observations=2)
+    got = {(r.label, round(r.cx)): r for r in m.objects.collect()}
+    assert set(got) == {("chair", 0), ("chair", 3), ("table", 1)} and m.meta["drops"] == {"kept": 12, "no_points": 1, "low_score": 1}
+    far = got["chair", 3]
+    assert far.n_observations == 4 and far.n_points == 40 and far.purity == pytest.approx(0.75) and [(v.label, v.votes) for v in far.votes] == [("chair", 30), ("seat", 10)]
+    assert far.conf == pytest.approx((0.75 * min(1, max(far.n_voxels, 0) / 10)) ** (1 / 3)) and far.mean_score == pytest.approx(0.8)
+    assert np.linalg.norm(far.e) == pytest.approx(1.0) and far.e[2] / far.e[1] == pytest.approx(0.8) and far.num_voxels > 0
+    assert sorted(r.obj_id for r in m.objects.collect()) == [0, 1, 2]
+    m.save(str(tmp_path / "map"))
+    assert SceneMap.load(spark, str(tmp_path / "map")).objects.count() == 3
+    one_label = mapping.build(seen, points, 0.2, least_observations=5).objects
+    assert one_label.count() == 0
+
+
+def test_merges_within_a_frame(spark):
+    from lattica.operators import mapping
+
+    schema = "scene long, frame long, obs long, label string, score double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, u0 double, v0 double, u1 double, v1 double"
+    rows = [
+        (1, 1, 1, "a", 0.5, 0, 0, 0, 1, 1, 1, 90, 10, 99, 20), (1, 1, 2, "a", 0.9, 0.1, 0, 0, 1.1, 1, 1, 50, 10, 60, 20), (1, 1, 3, "b", 0.9, 0, 0, 0, 1, 1, 1, 40, 10, 45, 20),
+        (1, 1, 4, "a", 0.4, 8, 8, 8, 9, 9, 9, 0, 15, 12, 30), (1, 1, 5, "a", 0.4, 7, 7, 7, 8, 8, 8, 90, 5, 99, 16), (1, 2, 6, "a", 0.5, 0, 0, 0, 1, 1, 1, 0, 0, 1, 1),
+    ]
+    df = spark.createDataFrame([tuple(float(x) if i > 3 else x for i, x in enumerate(r)) for r in rows], schema)
+    name = lambda **k: {r.obs: r.kept for r in mapping.merged_in_frame(df, **k).collect()}
+    assert name() == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert name(width=100) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert name(like={"b": frozenset("a"), "a": frozenset("b")})[3] == 1
+
+
+def test_hybrid_query(spark):
+    from lattica.operators.scene import SceneMap
+
+    o = box(spark, (1, "chair", 0, 0, 0, 0.5, 0.5, 0.5), (2, "table", 5, 0, 0, 0.5, 0.5, 0.5)).withColumn("e", F.array(F.lit(1.0), F.col("cx")))
+    v = spark.createDataFrame([(0, 0, 0, "chair", [1.0, 0.0]), (9, 0, 0, "lamp", [0.0, 1.0]), (8, 0, 0, "stool", [0.0, 1.0])], "kx long, ky long, kz long, label string, e array<double>")
+    m = SceneMap(o, v, attached=spark.createDataFrame([(0, 0, 0, 1)], "kx long, ky long, kz long, obj_id long"))
+    rows = lambda *a, **k: [(r.level, r.obj_id, r.kx) for r in m.query_text(*a, **k).orderBy("rank").collect()]
+    assert rows("seat") == [("object", 1, None)] and rows("light") == [("voxel", None, 9)] and rows("airplane") == []
+    assert rows("seat", level="voxel") == [("voxel", None, 8)]  # that of the chair is covered by it
+    matcher = L.TextMatcher(lambda text: [0.0, 1.0], [[1.0, 0.0]], 0.9, 0.05)
+    assert rows("zeppelin", embedding=matcher) == [("object", 2, None)] and L.suggested_threshold("siglip-base") == 0.02 and L.suggested_threshold("x", 0.3) == 0.3
+
+
+def test_meeting_boxes(spark):
+    r = random.Random(5)
+    side = lambda: 10 ** r.uniform(-3, 2)
+    rows = [(i, *[r.uniform(-20, 20) for _ in range(3)], *[side() for _ in range(3)]) for i in range(150)]
+    o = box(spark, *[(i, "a", *c) for i, *c in rows])
+    low, high = ([F.col(f"{k}{i}") for k in "xyz"] for i in (0, 1))
+    got = sorted((x.a.obj_id, x.b.obj_id) for x in rewrites.meeting_boxes(o, o, low, high, low, high).collect())
+    want = sorted((a[0], b[0]) for a in rows for b in rows if all(abs(a[1 + k] - b[1 + k]) <= a[4 + k] + b[4 + k] for k in range(3)))
+    assert got == want and len(want) > 300
+    far = box(spark, (1, "a", 0, 0, 0, 50, 1, 1), (2, "a", 40, 0, 0, 50, 1, 1))
+    assert spatial.overlaps(far, 0.1).count() == 1
+
+
+def test_attach_equals_all_pairs(spark):
+    r = random.Random(6)
+    objects = [(i, [r.uniform(-2, 2) for _ in range(3)], [r.uniform(0.05, 1.5) for _ in range(3)]) for i in range(60)]
+    points = [(i, *[r.uniform(-3, 3) for _ in range(3)]) for i in range(300)]
+    got = {x.id: x.obj_id for x in spatial.attach(spark.createDataFrame(points, "id long, x double, y double, z double"), box(spark, *[(i, "a", *c, *h) for i, c, h in objects])).collect()}
+    want = {}
+    for i, *p in points:
+        n, c, h = min(objects, key=lambda o: (math.dist(o[1], p), o[0]))
+        if all(abs(p[k] - c[k]) <= h[k] + 0.15 for k in range(3)):
+            want[i] = n
+    assert got == want and len(want) > 50
+
+
+def test_prefix_sums(spark):
+    r = random.Random(7)
+    rows = [(round(r.uniform(-5, 5), 1), r.randrange(9)) for _ in range(400)]
+    per = {}
+    for s, n in rows:
+        per[s] = per.get(s, 0) + n
+    got = {x.s: x.sum_n for x in rewrites.prefix_sums(spark.createDataFrame(list(per.items()), "s double, n long"), "s", ["n"], blocks=7).collect()}
+    assert got == {s: sum(n for t, n in per.items() if t <= s) for s in per}
+    assert rewrites.prefix_sums(spark.createDataFrame([], "s double, n long"), "s", ["n"]).count() == 0
+
+
+def test_frames_of_reference(spark):
+    from lattica.operators import frames as FR
+
+    tree = spatial_queries._tree(spark)
+    with pytest.raises(ValueError):
+        FR.lookup(tree, "camera", "nowhere")
+    ab, ba = FR.lookup(tree, "camera", "lidar").first(), FR.lookup(tree, "lidar", "camera").first()
+    m = lambda x: np.vstack([np.column_stack([np.array([x[f"r{i}"] for i in range(9)]).reshape(3, 3), [x.tx, x.ty, x.tz]]), [0, 0, 0, 1]])
+    assert np.allclose(m(ab) @ m(ba), np.eye(4)) and np.allclose(m(FR.lookup(tree, "world", "world").first()), np.eye(4))
+    assert FR.path_of({"camera": "arm", "arm": "world"}, "camera", "world") == ["camera", "arm"]
+    with pytest.raises(ValueError):
+        FR.path_of({"camera": "arm"}, "camera", "world")
+    shots = spark.createDataFrame([("r", 1, 0.5), ("r", 2, 1.5), ("r", 3, 9.0)], "by string, id long, t double")
+    moved = spark.createDataFrame([("r", i, float(i), c, p, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for i in range(3) for c, p in (("camera", "arm"), ("arm", "world"))], "by string, id long, t double, child string, parent string, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    assert [r.tx for r in FR.provider("tree", transforms=moved, path=["camera", "arm"]).poses(shots).orderBy("id").collect()] == [0.0, 2.0, 4.0]
+    own = moved.where("child = 'arm'").drop("child", "parent")
+    assert [r.tx for r in FR.provider("odometry", odometry=own, max_age=2.0).poses(shots).orderBy("id").collect()] == [0.0, 1.0, None]
+    assert [r.tx for r in FR.provider("trajectory", trajectory=own).poses(shots).orderBy("id").collect()] == [0.5, 1.5, 2.0]
+    assert FR.provider("identity").poses(shots).first().r4 == 1.0 and FR.OdometryPoses(own).ready()
+
+
+def test_panorama_of_views(spark):
+    """Two views of one surface agree in range, whatever their depths along the axis are."""
+    px = spark.createDataFrame([(0, 1, 0.0, 0.0, 2.0, 10, 20, 30), (0, 2, 4.0, 0.0, 2.0, 50, 60, 70), (0, 3, 0.0, 0.0, 9.0, 1, 1, 1)], "frame long, pt long, u double, v double, m double, r int, g int, b int")
+    s = P.view_samples(px, [F.lit(x) for x in (1.0, 0, 0, 0, 0, -1.0, 0, 1.0, 0)], [F.lit(0.0)] * 3, 4.0, 4.0, 0.0, 0.0, 64, 32)
+    got = {r.pt: r for r in s.collect()}
+    assert set(got) == {1, 2} and got[1].range == 2.0 and got[2].range == pytest.approx(2 * math.sqrt(2)) and got[2].w == pytest.approx(0.5)
+    c = P.fuse_color(s.withColumn("u", F.lit(1)).withColumn("v", F.lit(1))).first()
+    assert (c.r, c.g, c.b) == (23, 33, 43) and P.fuse_color(s.withColumn("u", F.lit(1)).withColumn("v", F.lit(1)), "nearest").first().r == 10
+    f = P.as_frame(P.fuse_range(s), P.fuse_color(s), "p", 64, 32, max_range=2.5).collect()
+    assert {r.m for r in f} == {2.0, 0.0} and all(r.dx**2 + r.dy**2 + r.dz**2 == pytest.approx(1.0) for r in f)
+    assert P.centre_spread(spark.createDataFrame([(0.0, 0.0, 0.0), (0.2, 0.0, 0.0)], "x double, y double, z double")).first().apart
+
+
+def test_frame_quality_equals_arrays(spark):
+    from lattica.operators import video
+
+    r = np.random.default_rng(5)
+    images = {i: r.integers(0, 256, (h, w, 3)) for i, (h, w) in enumerate([(6, 7), (3, 1), (1, 4), (5, 5)])}
+    rows = [(1, i, u, v, *map(int, a[v, u])) for i, a in images.items() for v in range(a.shape[0]) for u in range(a.shape[1])]
+    got = {x.idx: x for x in video.quality_scores(spark.createDataFrame(rows, "video long, idx long, u int, v int, r int, g int, b int")).collect()}
+    for i, a in images.items():
+        y = np.rint(a @ np.array([0.299, 0.587, 0.114]))
+        p = np.pad(y, 1, mode="reflect") if min(y.shape) > 1 else None
+        if p is None:
+            p = np.pad(np.pad(y, ((1, 1), (0, 0)), mode="reflect" if y.shape[0] > 1 else "edge"), ((0, 0), (1, 1)), mode="reflect" if y.shape[1] > 1 else "edge")
+        lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * y
+        assert got[i].sharpness == pytest.approx(lap.var()) and got[i].contrast == pytest.approx(y.std()) and got[i].min_side == min(y.shape)
+
+
+def test_corpus_run(spark):
+    from lattica.operators import reports
+
+    def work(v: dict) -> dict:
+        if v["video_id"] == "b":
+            raise FileNotFoundError
+        if v["video_id"] == "c":
+            raise ValueError("bad bytes")
+        return {"frames": 10, "kept": 4}
+
+    videos = spark.createDataFrame([(x,) for x in "abcd"], "video_id string")
+    caps = spark.createDataFrame([(1, "a", "en", "a dog runs fast"), (2, "a", "en", "dog"), (3, "b", "en", "a cat sleeps here")], "ord long, video_id string, category string, text string")
+    run = reports.run_corpus(videos, caps, work, done=spark.createDataFrame([("d", "")], "video_id string, error string"))
+    d = run.to_dict()
+    assert d["failures"] == {"missing_file": 1, "decode_failed": 1} and d["funnel"]["videos"] == 3 and d["funnel"]["captions_kept"] == 1 and "Corpus run" in run.summary()
+    assert reports.format_metrics({"a": 1.0, "bb": None}) == "a : 1.000\nbb: -"
+    errors = spark.createDataFrame([(False, None, None, None), (True, False, None, None), (True, True, 0, None), (True, True, 3, False), (True, True, 3, True)], "e boolean, o boolean, n int, d boolean")
+    assert [r[0] for r in errors.select(reports.video_error(F.col("e"), F.col("o"), F.col("n"), F.col("d"))).collect()] == [*reports.ERRORS, ""]
+
+
+def test_questions_of_a_map(spark):
+    from lattica.operators import reports
+    from lattica.operators.scene import SceneMap
+
+    o = box(spark, (1, "table", 0, 0, 0, 0.5, 0.5, 0.5), (2, "cup", 0.1, 0, 0.55, 0.05, 0.05, 0.1), (3, "chair", 2, 0, 0, 0.3, 0.3, 0.5), (4, "chair", 5, 0, 0, 0.3, 0.3, 0.5))
+    asked = reports.asked_of_map(SceneMap(o))
+    assert {a["intent"] for a in asked} == {"locate", "count", "nearest", "distance", "relation", "describe"} and all(a["ok"] for a in asked)
+    got = {r.intent: r.accuracy for r in reports.accuracy_by_intent(spark.createDataFrame([("a", True), ("a", None), ("b", False)], "intent string, ok boolean")).collect()}
+    assert got == {"a": 1.0, "b": 0.0, "all": 0.5}
+
+
+def test_prompts_and_free_answers(spark):
+    from lattica.operators import prompts
+
+    assert prompts.grounding([" Cup. ", "", "Trash can"]) == "cup. trash can."
+    d = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.9), (2, "c", 0.1)], "frame_id long, label string, score double")
+    assert sorted(r.label for r in prompts.capped(d, 1).collect()) == ["b", "c"]
+    text = prompts.scene_prompt(box(spark, (7, "cup", 1, 2, 3, 1, 1, 1)), "where is it").first().prompt
+    assert "cup #7 at (1.00, 2.00, 3.00)" in text and "where is it" in text
+    t = spark.createDataFrame([("No, it is not above the table",), ("It has: cup, book and lamp.",), ("at (1.5, -2, 0.25) m",)], "t string").select(prompts.free_answer(F.col("t")).alias("a")).collect()
+    assert t[0].a.yes is False and t[0].a.relation == "above" and t[1].a.names == ["cup", "book", "lamp"] and t[2].a.place == [1.5, -2.0, 0.25] and t[2].a.distance == 1.5
+
+
+def test_backprojection(spark):
+    from lattica.operators import perception as PC
+
+    depth = spark.range(20).select(F.lit(1).cast("long").alias("frame_id"), (F.col("id") % 5).alias("u"), F.floor(F.col("id") / 5).alias("v"), F.when(F.col("id") == 6, 0.0).otherwise(2.0).alias("m"))
+    d = spark.createDataFrame([(1, 1, 0.6, 0.0, 3.4, 2.0, None, 5), (2, 1, 0.0, 0.0, 5.0, 4.0, [0, 19], 5), (3, 1, 9.0, 9.0, 12.0, 12.0, None, 5)], "obs long, frame_id long, x1 double, y1 double, x2 double, y2 double, mask array<int>, width int")
+    got = PC.backprojected(d, depth, 2.0, 2.0, 2.0, 1.0, [F.lit(x) for x in (1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0)], [F.lit(0.0)] * 3).collect()
+    assert sorted((r.obs, r.x, r.y, r.z) for r in got) == [(1, -1.0, -1.0, 2.0), (1, 0.0, -1.0, 2.0), (1, 0.0, 0.0, 2.0), (2, -2.0, -1.0, 2.0), (2, 2.0, 2.0, 2.0)]
+    assert PC.backprojected(d, depth, 2.0, 2.0, 2.0, 1.0, [F.lit(x) for x in (1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0)], [F.lit(0.0)] * 3, most=1).count() == 2
 
 
 def test_perception(spark):
@@ -426,7 +624,8 @@ def test_perception(spark):
     schema = "frame_id long, width int, height int, pixels array<array<int>>, boxes array<struct<label:string,score:double,x1:double,y1:double,x2:double,y2:double>>"
     frames = spark.createDataFrame([(1, 4, 4, [[255, 0, 0]] * 16, [("cup", 0.9, -1.0, 0.0, 4.0, 9.0), ("dot", 0.9, 0.0, 0.0, 1.0, 1.0)])], schema)
     got = perception.pipeline(frames).collect()
-    assert len(got) == 1 and got[0].feature == [1.0, 0.0, 0.0] and got[0].x1 == 0.0 and got[0].area == 12
+    assert len(got) == 1 and got[0].feature == [1.0, 0.0, 0.0] and got[0].x1 == 0.0 and got[0].area == 16
+    assert perception.pipeline(frames, segmenter="ellipse").first().area == 12
     with pytest.warns(UserWarning):
         assert perception.build("detector", "nothing") is perception.GivenDetector
 
