@@ -304,3 +304,69 @@ def odometry_pose(p: Sequence[Column], q: Sequence[Column]) -> tuple[list[Column
     inv = [body[3 * j + i] for i in range(3) for j in range(3)]
     r = [sum(OPTICAL[3 * i + k] * inv[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)]
     return r, [-(r[3 * i] * p[0] + r[3 * i + 1] * p[1] + r[3 * i + 2] * p[2]) for i in range(3)]
+
+
+# ---- more ways to a pose, and pixels
+
+
+def pixel_grid(spark, width: int, height: int):
+    """(u, v) of every pixel of an image, row by row."""
+    return spark.range(width * height).select((F.col("id") % width).cast("int").alias("u"), F.floor(F.col("id") / width).cast("int").alias("v"))
+
+
+IDENTITY = tuple(1.0 if i % 4 == 0 else 0.0 for i in range(9))
+
+
+def identity_pose() -> tuple[list[Column], list[Column]]:
+    return [F.lit(x) for x in IDENTITY], [F.lit(0.0)] * 3
+
+
+def pose_of_matrix(m: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """World-to-camera pose of a row-major 3 x 4 or 4 x 4 matrix."""
+    if len(m) not in (12, 16):
+        raise ValueError("a pose has 12 or 16 numbers")
+    return [m[4 * i + j] for i in range(3) for j in range(3)], [m[4 * i + 3] for i in range(3)]
+
+
+def matrix_of_pose(r: Sequence[Column], t: Sequence[Column]) -> list[Column]:
+    """The row-major 4 x 4 matrix of a pose."""
+    return [x for i in range(3) for x in (*r[3 * i : 3 * i + 3], t[i])] + [F.lit(0.0)] * 3 + [F.lit(1.0)]
+
+
+def pose_of_camera_to_world(r: Sequence[Column], t: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """World-to-camera pose of one that takes the camera's points to the world."""
+    return inverse_pose(r, t)
+
+
+#: Axes of a depth scanner (x right, y forward, z up) seen by a camera (x right, y down, z forward).
+SCANNER = (1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 1.0, 0.0)
+
+
+def pose_of_tilt(tilt: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """World-to-camera pose of a scene whose tilt takes the scanner's axes to the world's: a camera at the origin."""
+    inv = [tilt[3 * j + i] for i in range(3) for j in range(3)]
+    return [sum(SCANNER[3 * i + k] * inv[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)], [F.lit(0.0)] * 3
+
+
+def pose_from_json(rows: Column) -> Column:
+    """r (nine) and t (three) of a pose written as 3 rows of 4 or, turned, 4 rows of 3; null if it is neither."""
+    three = (F.size(rows) == 3) & F.forall(rows, lambda x: F.size(x) == 4)
+    four = (F.size(rows) == 4) & F.forall(rows, lambda x: F.size(x) == 3)
+    at = lambda i, j: F.when(three, F.get(F.get(rows, F.lit(i)), F.lit(j))).when(four, F.get(F.get(rows, F.lit(j)), F.lit(i)))
+    return F.when(three | four, F.struct(F.array(*[at(i, j) for i in range(3) for j in range(3)]).alias("r"), F.array(*[at(i, 3) for i in range(3)]).alias("t")))
+
+
+def turned_box_hit(o: Sequence[Column], d: Sequence[Column], c: Sequence[Column], size: Sequence[Column], yaw: Column) -> Column:
+    """How far a ray from o along d is from the first face that it meets of a box turned about z; null if it misses."""
+    cos, sin = F.cos(yaw), F.sin(yaw)
+    p = [o[i] - c[i] for i in range(3)]
+    p = [p[0] * cos + p[1] * sin, -p[0] * sin + p[1] * cos, p[2]]
+    q = [d[0] * cos + d[1] * sin, -d[0] * sin + d[1] * cos, d[2]]
+    low, high = [], []
+    for i in range(3):
+        safe = F.when(F.abs(q[i]) < 1e-12, F.lit(1e-12)).otherwise(q[i])
+        a, b = (-size[i] / 2 - p[i]) / safe, (size[i] / 2 - p[i]) / safe
+        low.append(F.least(a, b))
+        high.append(F.greatest(a, b))
+    near, far = F.greatest(*low), F.least(*high)
+    return F.when((near <= far) & (far > 0), F.when(near > 0, near).otherwise(far))

@@ -109,6 +109,41 @@ def lexical(queries: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("query", "label", T.lexical_score(F.col("query"), F.col("label"), F.arrays_overlap("cq", "cl")).alias("lexical"))
 
 
+def counted(scored: DataFrame, count: str = "count") -> DataFrame:
+    """Lexical scores (query, lexical, ...) that favour what was seen often: times 0.9 to 1 by the count over the query's greatest."""
+    most = scored.groupBy("query").agg(F.max(count).alias("__most"))
+    share = F.col(count) / F.greatest(F.col("__most"), F.lit(1))
+    return scored.join(most, "query").withColumn("lexical", F.col("lexical") * (0.9 + 0.1 * share)).drop("__most")
+
+
+def prompted(detections: DataFrame, prompts: DataFrame, least: float = 0.5) -> DataFrame:
+    """Detections (label, ...) of a fixed vocabulary that any of the prompts (query) means."""
+    fit = lexical(prompts.select("query"), detections.select("label").distinct()).where(F.col("lexical") > least)
+    return detections.join(fit.select("label").distinct(), "label", "left_semi")
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """What an encoder declares: its dimensions, whether its scores are calibrated, and thresholds with and without names beside it."""
+
+    name: str
+    dim: int
+    calibrated: bool = False
+    hybrid: float = 0.5
+    standalone: float = 0.5
+
+    def checked(self, vectors: DataFrame, feature: str = "e") -> DataFrame:
+        """vectors, if all have the encoder's dimensions."""
+        bad = vectors.where(F.size(feature) != self.dim).limit(1).count()
+        if bad:
+            raise ValueError(f"{self.name} has {self.dim} dimensions, the vectors have not")
+        return vectors
+
+
+#: What encoders of these kinds declare.
+ENCODERS = {"siglip": Encoder("siglip", 768, True, 0.02, 5e-4), "clip": Encoder("clip", 512, False, 0.9, 0.9), "color_hist": Encoder("color_hist", 72)}
+
+
 def embedding_score(feature: Column, query: Column, nulls: list[Column], temperature: float = TEMPERATURE) -> Column:
     """The query's share against the best null text; 0 if dimensions differ."""
     best = F.greatest(*[X.cosine(feature, n) for n in nulls]) if len(nulls) > 1 else X.cosine(feature, nulls[0])
@@ -277,3 +312,14 @@ def region_views(boxes: DataFrame, width: int, height: int, scales: tuple[float,
 def grounded(targets: DataFrame, objects: DataFrame) -> DataFrame:
     """Targets (label) that a model named and the map has: others are taken for invented."""
     return targets.join(objects.select(F.lower("label").alias("__l")).distinct(), F.lower("label") == F.col("__l"), "left_semi")
+
+
+def hybrid_answer(rule: dict | None, model: dict | None, known: set[str]) -> dict:
+    """One answer of a rule engine's and a model's: targets that the map lacks are dropped, the rule's distances stand, the model's
+    words stand where it named something that is there, and the rule answers where the model is silent or invents all it names."""
+    names = {x.lower() for x in known}
+    targets = [t for t in (model or {}).get("targets", []) if str(t).lower() in names]
+    invented = [t for t in (model or {}).get("targets", []) if str(t).lower() not in names]
+    use_model = bool(model and model.get("answer")) and (bool(targets) or not invented)
+    base = model if use_model else rule or {"answer": "", "confidence": 0.0}
+    return {"answer": base.get("answer", ""), "targets": targets if use_model else (rule or {}).get("targets", []), "distances": {**(model or {}).get("distances", {}), **(rule or {}).get("distances", {})}, "confidence": base.get("confidence", 0.0), "invented": invented, "by": "model" if use_model else "rule"}

@@ -14,7 +14,7 @@ from lattica.operators import mapping as M
 from lattica.operators import replies as R
 from lattica.operators import spatial as S
 from lattica.operators import voxels as V
-from lattica.plans.rewrites import within_distance
+from lattica.plans.rewrites import served_in_turn, within_distance
 from lattica.sources import files
 
 
@@ -117,11 +117,9 @@ class SceneMap:
 
 def map_localization(objects: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
     """Objects in order, each with the nearest truth of its label that is free: (obj_id, gt_id, distance)."""
-    from lattica.operators.metrics import map_matches
-
     p = within_distance(objects.select("label", "obj_id", "cx", "cy", "cz"), truth.select("label", "obj_id", "cx", "cy", "cz"), ("cx", "cy", "cz"), reach).where("a.label = b.label")
     flat = p.select(F.col("a.label").alias("label"), F.col("a.obj_id").alias("obj_id"), F.col("b.obj_id").alias("gt_id"), G.center_distance().alias("distance"))
-    return flat.groupBy("label").applyInPandas(lambda pdf: map_matches(pdf, reach), flat.schema)
+    return served_in_turn(flat, "obj_id", "gt_id", ["distance", "gt_id"])
 
 
 def built(observations: DataFrame, points: DataFrame, size: float = V.SIZE, **options: Any) -> SceneMap:

@@ -247,6 +247,11 @@ def gradient_hash(pixels: DataFrame, by: str, width: int = 9) -> DataFrame:
     return d.groupBy(by).agg(F.bit_or(bit).alias("hash"))
 
 
+def frames_at(frames: DataFrame, wanted: DataFrame, by: str = "user_id") -> DataFrame:
+    """The frames (by, idx, ...) with the numbers in wanted (by, idx); a number that a video lacks has no row."""
+    return frames.join(wanted.select(by, "idx").distinct(), [by, "idx"], "left_semi")
+
+
 def filled_forward(frames: DataFrame, by: str, value: str) -> DataFrame:
     """frames whose missing values take the last one before them."""
     return frames.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))

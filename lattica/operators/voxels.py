@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import geometry as G
-from lattica.plans.rewrites import connected, within_distance
+from lattica.plans.rewrites import connected, greedy_pairs, within_distance
 
 #: Fixed values of the map: voxel size in metres, radius of association, least overlap, cluster reach and size.
 SIZE, ASSOC_RADIUS, ASSOC_IOU, EPS, MIN_SAMPLES = 0.05, 0.60, 0.10, 0.08, 3
@@ -56,6 +56,30 @@ def merged(*fields: DataFrame, dims: int = 4, mode: str | None = None) -> DataFr
     return out.groupBy(*KEY).agg(*aggs)
 
 
+def added(field: DataFrame | None, batch: DataFrame, dims: int = 4, most: int | None = None) -> DataFrame:
+    """A field with a batch's field added. With `most`, voxels that are new to a full field are left out, the first by key kept: a
+    bound on what a robot remembers, not on what a query sees."""
+    if field is None:
+        field = batch.limit(0)
+    both = merged(field, batch, dims=dims)
+    if most is None:
+        return both
+    old = field.select(*KEY, F.lit(0).alias("__new"))
+    ranked = both.join(old, list(KEY), "left").withColumn("__new", F.coalesce("__new", F.lit(1)))
+    return ranked.orderBy("__new", *KEY).limit(max(most, 0)).drop("__new")
+
+
+def first_labels(points: DataFrame, size: float = SIZE, order: str = "pt") -> DataFrame:
+    """(voxel, label, n): the label of each voxel's first point of a batch, which stands for all n of its points."""
+    return keyed(points, size).groupBy(*KEY).agg(F.min_by("label", order).alias("label"), F.count("*").alias("n"))
+
+
+def observed(observations: DataFrame, points: DataFrame, mode: str = "mean") -> DataFrame:
+    """points (obs, ...) with the vector e of their observation, and its score as weight w where the mode weighs, else 1."""
+    w = F.col("score") if mode == "confidence_weighted" else F.lit(1.0)
+    return points.join(observations.select("obs", "label", "e", w.alias("w")), "obs")
+
+
 def finished(field: DataFrame, mode: str = "mean", dims: int = 4) -> DataFrame:
     """Features of each voxel by mean, max or confidence_weighted."""
     pick = {"mean": lambda i: F.col(f"s{i}") / F.col("n"), "max": lambda i: F.col(f"m{i}"), "confidence_weighted": lambda i: F.col(f"sw{i}") / F.greatest("weight", F.lit(1e-8))}[mode]
@@ -247,20 +271,10 @@ def tracks(observations: DataFrame, one_to_one: bool = True, like: dict[str, fro
 
 
 def same_label_matches(found: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Pairs of the same label within reach, nearest first, each object and each truth once, by label."""
+    """Pairs of the same label within reach, nearest first, each object and each truth once."""
     p = within_distance(found.select("label", "obj_id", "cx", "cy", "cz"), truth.select("label", "obj_id", "cx", "cy", "cz"), ("cx", "cy", "cz"), reach).where("a.label = b.label")
     flat = p.select(F.col("a.label").alias("label"), F.col("a.obj_id").alias("obj_id"), F.col("b.obj_id").alias("gt_id"), G.center_distance().alias("distance"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for r in pdf.sort_values(["distance", "obj_id", "gt_id"]).itertuples():
-            if r.obj_id not in used_a and r.gt_id not in used_b:
-                used_a.add(r.obj_id)
-                used_b.add(r.gt_id)
-                keep.append(r.Index)
-        return pdf.loc[keep]
-
-    return flat.groupBy("label").applyInPandas(run, "label string, obj_id long, gt_id long, distance double")
+    return greedy_pairs(flat, "obj_id", "gt_id", ["distance", "obj_id", "gt_id"])
 
 
 def instance_quality(found: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:

@@ -127,6 +127,42 @@ def greedy_survivors(nodes: DataFrame, conflicts: DataFrame, checkpoint: bool =
     return nodes.join(dropped.distinct(), "id", "left_anti")
 
 
+def greedy_pairs(pairs: DataFrame, left: str, right: str, order: Sequence[str]) -> DataFrame:
+    """One-to-one choice among pairs in ascending order: a pair is taken if neither side is in one taken before it.
+
+    In rounds: a pair that comes first for both its sides is taken, and all others of these sides go. The order tells all pairs
+    apart. There are as many rounds as the longest chain of pairs that wait for one another; no task holds more than a share.
+    """
+    keep = kept_apart(pairs)
+    key = F.struct(*order)
+    open_, taken = keep(pairs), None
+    while True:
+        a = open_.groupBy(left).agg(F.min(key).alias("__a"))
+        b = open_.groupBy(right).agg(F.min(key).alias("__b"))
+        won = keep(open_.join(a, left).join(b, right).where((key == F.col("__a")) & (key == F.col("__b"))).select(*pairs.columns))
+        if won.isEmpty():
+            return taken if taken is not None else won
+        taken = won if taken is None else taken.unionByName(won)
+        open_ = keep(open_.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti").select(*pairs.columns))
+
+
+def served_in_turn(pairs: DataFrame, left: str, right: str, order: Sequence[str]) -> DataFrame:
+    """One-to-one choice in which each of left, in ascending order, takes the first free one of right by order.
+
+    In rounds, all of left ask for their first choice, and each of right keeps the least that ever asked; the others ask for
+    their next one. What is kept in the end is what taking turns would give.
+    """
+    keep = kept_apart(pairs)
+    open_ = keep(pairs)
+    while True:
+        asked = open_.groupBy(left).agg(F.min_by(F.struct(*pairs.columns), F.struct(*order)).alias("p")).select("p.*")
+        kept = asked.groupBy(right).agg(F.min(left).alias("__k"))
+        refused = keep(asked.join(kept, right).where(F.col(left) != F.col("__k")).select(left, right))
+        if refused.isEmpty():
+            return asked
+        open_ = keep(open_.join(refused, [left, right], "left_anti").select(*pairs.columns))
+
+
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) for every node: the least id that it reaches. Labels spread and jump to their own labels' labels each round."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -20,6 +20,30 @@ def clip_captions(spark: SparkSession, path: str) -> DataFrame:
     return v.join(s, F.col("video_id") == F.col("id"), "left").select("video_id", "category", "duration", "text", "ord", F.lit(0.0).alias("start"), F.col("duration").alias("end"))
 
 
+def clip_captions_zip(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the first JSON file, by name, in a zip archive, which is read as bytes by whatever store holds it."""
+    import io
+    import zipfile
+
+    raw = spark.read.format("binaryFile").load(path).select("content").first()
+    with zipfile.ZipFile(io.BytesIO(bytes(raw.content))) as z:
+        names = sorted(n for n in z.namelist() if n.endswith(".json"))
+        if not names:
+            raise ValueError(f"{path} holds no JSON file")
+        doc = json.loads(z.read(names[0]))
+    v = spark.createDataFrame([(x["video_id"], x.get("category"), float(x.get("end time", 0)) - float(x.get("start time", 0))) for x in doc["videos"]], "video_id string, category int, duration double")
+    s = spark.createDataFrame([(x["video_id"], x["caption"], x.get("sen_id")) for x in doc["sentences"]], "id string, text string, ord long")
+    return v.join(s, F.col("video_id") == F.col("id"), "left").select("video_id", "category", "duration", "text", "ord", F.lit(0.0).alias("start"), F.col("duration").alias("end"))
+
+
+def with_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """df, if it has all required columns; else an error that names those it lacks."""
+    lacking = [c for c in required if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    return df
+
+
 def timed_captions(spark: SparkSession, path: str) -> DataFrame:
     """Captions of a JSON file with `database`: sentences and time stamps by position, the whole video where one is missing."""
     entry = "struct<duration:double,timestamps:array<array<double>>,sentences:array<string>>"
@@ -37,7 +61,7 @@ def synthetic_captions(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return ids.select(F.format_string("synthetic%d", "id").alias("video_id"), "ord", F.array_join(pick, " ").alias("text"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(150)) + 1).cast("double").alias("duration"))
 
 
-_SOURCES: dict[str, Callable[..., DataFrame]] = {"clips": clip_captions, "timed": timed_captions, "synthetic": synthetic_captions}
+_SOURCES: dict[str, Callable[..., DataFrame]] = {"clips": clip_captions, "clips_zip": clip_captions_zip, "timed": timed_captions, "synthetic": synthetic_captions}
 
 
 def build_source(name: str) -> Callable[..., DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.sources.files import semantic_class
+from lattica.sources.files import semantic_class, with_columns
 
 #: Raw units per metre of the depth images, and the raw value that means none.
 DEPTH_SCALES = {"default": 1000.0, "indoor": 10000.0, "panorama": 512.0}
@@ -22,6 +22,30 @@ def index_boxes(scenes: DataFrame) -> DataFrame:
     return out.where("dx > 0 and dy > 0 and dz > 0")
 
 
+#: Columns of a scene index.
+INDEX = ["scene_id", "boxes", "start", "stop", "k", "rtilt"]
+
+
+def load_index(spark, path: str) -> DataFrame:
+    """A scene index that was written as Parquet; one that lacks a column is refused."""
+    return with_columns(spark.read.parquet(path), INDEX)
+
+
+def captured_depth(raw: Column, kind: str = "panorama") -> Column:
+    """Metres of a raw depth of a kind of capture; 0 where there is none."""
+    return F.when((raw == 0) | (raw == NO_DEPTH), 0.0).otherwise(raw / DEPTH_SCALES[kind])
+
+
+def resized(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """The nearest pixels of images (frame, u, v, ...) at another size: each new pixel takes that under its centre. Intrinsics
+    follow by geometry.scaled_intrinsics with to_width / width and to_height / height."""
+    new = pixels.sparkSession.range(to_width * to_height).select((F.col("id") % to_width).cast("int").alias("__u"), F.floor(F.col("id") / to_width).cast("int").alias("__v"))
+    new = new.select("__u", "__v", F.least(F.floor((F.col("__u") + 0.5) * width / to_width), F.lit(width - 1)).cast("int").alias("u"), F.least(F.floor((F.col("__v") + 0.5) * height / to_height), F.lit(height - 1)).cast("int").alias("v"))
+    kept = [c for c in pixels.columns if c not in ("u", "v")]
+    out = pixels.withColumns({"u": F.col("u").cast("int"), "v": F.col("v").cast("int")}).join(new, ["u", "v"])
+    return out.select(*kept, F.col("__u").alias("u"), F.col("__v").alias("v"))
+
+
 def box_slices(flat: DataFrame) -> DataFrame:
     """Boxes of each scene out of one flat array and its offsets: rows (scene_id, box)."""
     return flat.select("scene_id", F.explode(F.slice("boxes", F.col("start") + 1, F.col("stop") - F.col("start"))).alias("box"))
@@ -80,6 +104,28 @@ def coco(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return categories, a.select(F.to_json(F.struct(F.col("frame_id").alias("image_id"), F.col("id").alias("category_id"), box.alias("bbox"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), "score")).alias("line"))
 
 
+def boxes3d(labels: DataFrame) -> DataFrame:
+    """Accepted labels (frame_id, label, score, c, sizes) as JSON lines of boxes in space."""
+    ok = labels.where("reason = ''")
+    return ok.select(F.to_json(F.struct("frame_id", "label", "score", F.array(*[F.col(f"c{k}") for k in "xyz"]).alias("center"), F.array(*[F.col(f"{k}1") - F.col(f"{k}0") for k in "xyz"]).alias("size"))).alias("line"))
+
+
+def review(labels: DataFrame, below: float = 0.5) -> DataFrame:
+    """What a person should look at: refused labels with their reason, and accepted ones that are unsure, the least sure first."""
+    why = F.when(F.col("reason") != "", F.col("reason")).when(F.col("score") < below, "unsure")
+    return labels.withColumn("why", why).where("why is not null").orderBy("score", "frame_id", "label").select(F.to_json(F.struct("frame_id", "label", "score", "why")).alias("line"))
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """The four outputs of an automatic labelling: categories, annotations, boxes in space where there are any, and what to review."""
+    categories, annotations = coco(labels)
+    categories.orderBy("id").write.mode("overwrite").json(f"{path}/categories")
+    annotations.write.mode("overwrite").text(f"{path}/annotations")
+    if {"cx", "x0", "x1"} <= set(labels.columns):
+        boxes3d(labels).write.mode("overwrite").text(f"{path}/boxes3d")
+    review(labels).write.mode("overwrite").text(f"{path}/review")
+
+
 def frames_per_capture(locations: DataFrame) -> DataFrame:
     n = F.size("frames")
     return locations.agg(F.min(n).alias("least"), F.median(n).alias("median"), F.max(n).alias("most"), F.count("*").alias("captures"))

@@ -75,3 +75,23 @@ def shot_video(spark: SparkSession, lengths: tuple[int, ...] = (34, 5, 18, 4, 26
             rows[-1] = (video, at - 1, 2.0 + 0.1 * i)
             cuts.append((video, at - 1))
     return spark.createDataFrame(rows[:-1], "user_id long, idx long, diff double"), spark.createDataFrame(cuts, "user_id long, idx long")
+
+
+def video_pixels(spark: SparkSession, videos: int = 2, shots: int = 3, length: int = 6, side: int = 8, seed: int = 0) -> DataFrame:
+    """Small videos (video, idx, u, v, r, g, b): each shot has a colour of its own, which its frames vary a little, by hashes."""
+    px = spark.range(videos * shots * length * side * side)
+    at = lambda n, m: F.floor(F.col("id") / n) % m
+    p = px.select(at(side * side * length * shots, videos).alias("video"), at(side * side, shots * length).alias("idx"), (F.col("id") % side).cast("int").alias("u"), at(side, side).cast("int").alias("v"))
+    shot = F.floor(F.col("idx") / length)
+    tone = lambda c: F.pmod(F.xxhash64("video", shot, F.lit(c), F.lit(seed)), F.lit(200))
+    near = lambda c: F.pmod(F.xxhash64("video", "idx", "u", "v", F.lit(c), F.lit(seed)), F.lit(9))
+    return p.select("video", "idx", "u", "v", *[(tone(i) + near(i)).cast("int").alias(c) for i, c in enumerate("rgb")])
+
+
+#: The camera of synthetic rooms: 160 x 120 pixels.
+CAMERA = {"fx": 120.0, "fy": 120.0, "cx": 79.5, "cy": 59.5, "width": 160, "height": 120}
+
+
+def truth_boxes(objects: DataFrame) -> DataFrame:
+    """Boxes of a room as centre, full sizes and heading."""
+    return objects.select("scene", "obj_id", "label", "cx", "cy", "cz", *[(F.col(f"{k}1") - F.col(f"{k}0")).alias(f"d{k}") for k in G.AXES], F.lit(0.0).alias("heading"))
