@@ -34,13 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, few: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
     rows: how many rows a batch for Python has at most while it is written, where rows are long; the session's own setting is
-    put back.
+    put back. few: what many tasks make is likely to be small, and goes through a shuffle to as few files as its size asks for.
     """
     spark = df.sparkSession
+    df = df.hint("rebalance") if few else df
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     usual = spark.conf.get(_BATCH)
     if rows:
@@ -117,14 +118,17 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
 
 
-def components(links: DataFrame, name: str) -> DataFrame:
+def components(links: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Connected components of links (a, b): one row (id, component) for each id in a link, component the smallest id.
 
+    kept: links are read from tables and need not be written first.
+
     Up to FEW_LINKS of them, by their count, are united by one task. More take large-star and small-star rounds, each written
     to the shared folder: a round is a pair of pre-aggregated minima and joins on them, so that no node's neighbours are
     gathered in one task. Nothing but two figures reaches the driver.
     """
-    links = written(links.where("a <> b").select("a", "b"), f"{name}-links")
+    links = links.where("a <> b").select("a", "b")
+    links = links if kept else written(links, f"{name}-links", few=True)
     if links.count() <= FEW_LINKS:
         return links.coalesce(1).mapInArrow(_united, "id long, component long")
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")

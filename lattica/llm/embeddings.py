@@ -183,10 +183,10 @@ def near_embeddings(vectors: DataFrame, tile: int = TILE) -> DataFrame:
     found = written(dealt.groupBy("label", "d", "i", "j").applyInArrow(_tile, "node long, links long, other long, open boolean, i int, j int"), "links")
     maybe = found.where("open").select("i", "j", "node").join(reps.select("node", "label", "d", "same", "c", "code", "scale", "error", "vector"), "node").join(written(sizes, "sizes"), ["label", "d"])
     maybe = maybe.select("label", "d", "i", "j", F.pmod(F.xxhash64("same"), F.col("t")).cast("int").alias("tile"), "node", "c", "code", "scale", "error", "vector")
-    exact = written(maybe.groupBy("label", "d", "i", "j").applyInArrow(_exact, "node long, links long, other long"), "links")
+    exact = written(maybe.groupBy("label", "d", "i", "j").applyInArrow(_exact, "node long, links long, other long"), "links", few=True)
     every = found.select("node", "links", "other").unionByName(exact).where("links > 0")
     links = every.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = written(components(every.select(F.col("node").alias("a"), F.col("other").alias("b")), "embeddings"), "components")
+    comp = written(components(every.select(F.col("node").alias("a"), F.col("other").alias("b")), "embeddings", kept=True), "components")
     least = comp.join(reps.select(F.col("node").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     comp = comp.join(least, "component").select(F.col("id").alias("node"), "component_id")
     per = reps.join(links, "node", "left").join(comp, "node", "left").select("label", "d", "same", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -264,21 +264,21 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     Texts without words equal only the same text. Null and empty texts are the same. Null ids have no class and are kept.
     Repeated rows are copies, of which those with the least id stay: kept is by id. Other columns are not read.
     """
-    rows, classes = _classes(docs)
+    rows, classes, _ = _classes(docs)
     mine = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
     out = rows.join(classes, ["k1", "k2"], "left")
     return out.select("doc_id", mine.alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs (doc_id, h, k1, k2), and the class_id of each text (k1, k2)."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The rows of docs (doc_id, h, k1, k2), the class_id of each text (k1, k2), and the tables that these two read."""
     sketches = written(sketch_rows(docs), "sketches", rows=BATCH)
     corpus = Corpus(docs, sketches)
     comp = written(_links(corpus), "classes")
     ids = corpus.keys.join(comp, F.col("node") == F.col("id")).groupBy("component").agg(F.min("rep").alias("class_id"))
     own = comp.join(ids, "component").select(F.col("id").alias("node"), "class_id")
     classes = corpus.reps.select("node", "rep", "k1", "k2").join(own, "node", "left").select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"))
-    return sketches.select("doc_id", "h", "k1", "k2"), classes
+    return sketches.select("doc_id", "h", "k1", "k2"), classes, [sketches, corpus.reps, comp]
 
 
 def _links(corpus: Corpus) -> DataFrame:
@@ -290,13 +290,13 @@ def _links(corpus: Corpus) -> DataFrame:
     stars = written(shared.where(f"node <> root and {_close('n', 'root_n')}").select("node", "root", "root_n").distinct(), "stars")
     # Each representative first meets the shortest root of its buckets, then those roots that are in other components still.
     first = stars.groupBy("node").agg(F.min(F.struct("root_n", "root")).alias("r")).select("node", F.col("r.root").alias("root"))
-    found = written(corpus.verified(first.select(F.col("node").alias("a"), F.col("root").alias("b"))), "linked", rows=BATCH)
-    comp = written(components(found, "near"), "components")
+    found = written(corpus.verified(first.select(F.col("node").alias("a"), F.col("root").alias("b"))), "linked", rows=BATCH, few=True)
+    comp = written(components(found, "near", kept=True), "components")
     rest = placed(placed(stars.join(first, ["node", "root"], "left_anti"), comp, "node", "ca"), comp, "root", "cb").where("ca <> cb").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    more = written(corpus.verified(rest), "linked", rows=BATCH)
+    more = written(corpus.verified(rest), "linked", rows=BATCH, few=True)
     forget(comp)
     found = found.unionByName(more)
-    comp = written(components(found, "near"), "components")
+    comp = written(components(found, "near", kept=True), "components")
     tested = stars.select(F.least("root", "node").alias("a"), F.greatest("root", "node").alias("b"))
     found = _crossed(shared.where(f"size <= {SMALL}"), comp, found, tested, corpus)
     forget(comp)
@@ -304,7 +304,7 @@ def _links(corpus: Corpus) -> DataFrame:
     if not large.isEmpty():
         found = _elected(large, found, tested, corpus)
         found = _blocks(large, found, corpus)
-    out = written(components(found, "near"), "components")
+    out = written(components(found, "near", kept=True), "components")
     for x in (shared, stars):
         forget(x)
     return out
@@ -331,7 +331,7 @@ def _several(members: DataFrame) -> DataFrame:
 
 def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Members (band, key, node, n) of buckets that hold several components, with their component c."""
-    own = written(components(found, "near"), "components")
+    own = written(components(found, "near", kept=True), "components")
     out = _several(placed(buckets.select("band", "key", "node", "n"), own, "node", "c"))
     forget(own)
     return out
@@ -350,7 +350,7 @@ def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, corpus: Corp
         root = written(left.groupBy("band", "key").agg(F.min(F.struct("n", "node")).alias("r")).select("band", "key", F.col("r.node").alias("root"), F.col("r.n").alias("root_n")), "roots")
         pairs = left.join(root, ["band", "key"]).where(f"node <> root and {_close('n', 'root_n')}").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(corpus.verified(pairs), "linked", rows=BATCH)
+        more = written(corpus.verified(pairs), "linked", rows=BATCH, few=True)
         found = found.unionByName(more)
         met = met.unionByName(root.select("band", "key", "root"))
         n, linked = pairs.count(), more.count()
@@ -452,7 +452,7 @@ def _blocks(large: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
     counts = counts.join(members.groupBy("node").agg(F.collect_set(bucket).alias("buckets")), "node")
     rows = rows.join(counts, "node").select("band", "key", bucket.alias("bucket"), "buckets", "node", "n", "c", "counts", "text", F.explode(tiles).alias("t"))
     rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.step").alias("step"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "node", "n", "c", "counts", "text")
-    more = written(rows.groupBy("band", "key", "at", "step", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked")
+    more = written(rows.groupBy("band", "key", "at", "step", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked", few=True)
     for x in (members, counts, sizes):
         forget(x)
     return found.unionByName(more)
@@ -463,7 +463,7 @@ def _crossed(buckets: DataFrame, comp: DataFrame, found: DataFrame, tested: Data
     members = _several(placed(buckets.select("band", "key", "node", "n"), comp, "node", "c"))
     x, y = members.alias("x"), members.alias("y")
     pairs = x.join(y, F.expr(f"x.band = y.band and x.key = y.key and x.node < y.node and x.c <> y.c and {_close('x.n', 'y.n')}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = written(corpus.verified(pairs.distinct().join(tested, ["a", "b"], "left_anti")), "linked", rows=BATCH)
+    more = written(corpus.verified(pairs.distinct().join(tested, ["a", "b"], "left_anti")), "linked", rows=BATCH, few=True)
     forget(members)
     return found.unionByName(more)
 
@@ -475,9 +475,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     and texts that stay are one document, of which one row stays, whatever its other columns. Null ids all stay. Null, empty
     and long texts are as in near_duplicate_classes; an empty table stays empty.
     """
-    rows, classes = _classes(docs)
+    rows, classes, tables = _classes(docs)
     out = rows.where("doc_id is not null").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), (F.col("doc_id") == F.col("class_id")).alias("stays"))
     fate = written(out, "fate")
+    for x in tables:
+        forget(x)
     gone = fate.where("not stays").select("__id", "__h").distinct()
     same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
     left = docs.join(gone, same, "left_anti")
