@@ -139,3 +139,107 @@ def targets(sizes):
         out |= {s: 3.0 * sizes[s] for s in full}
         open_ -= full
     return out
+
+
+def words(text):
+    """Words in lower case without the usual marks."""
+    return re.sub(r"""[.,;:!?"'()\[\]{}]""", "", (text or "").lower()).split()
+
+
+def aligned(a, b):
+    """The length of the longest common subsequence, by the whole matrix, a row of it as one integer."""
+    where = defaultdict(int)
+    for i, x in enumerate(a):
+        where[x] |= 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        u = row & where.get(y, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+def alike(a, b):
+    """Whether aligned words are at least 0.8 of all words, aligned ones counted once."""
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return False
+    n = aligned(a, b)
+    return 5 * n >= 4 * (len(a) + len(b) - n)
+
+
+def near_classes(texts):
+    """id to the least id of its group, for a dict of texts: all pairs that could be alike are aligned."""
+    w = {i: words(t) for i, t in texts.items()}
+    bags = {i: Counter(x) for i, x in w.items()}
+    ids = sorted(w)
+    links = []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            la, lb = len(w[a]), len(w[b])
+            if la and lb and min(la, lb) >= 0.8 * max(la, lb):
+                shared = sum(min(n, bags[b][x]) for x, n in bags[a].items())
+                if 5 * shared >= 4 * (la + lb - shared) and alike(w[a], w[b]):
+                    links.append((a, b))
+            elif not la and not lb and (texts[a] or "") == (texts[b] or ""):
+                links.append((a, b))
+    return components(ids, links)
+
+
+def contexts(rows, unit, seeds=5, share=0.5, sure_score=0.8):
+    """id to spans that bootstrapped patterns disclose, for (id, text) rows: patterns are the one and two words next to a unit."""
+    found, occurrences = [], Counter()
+    for i, text in rows:
+        text = text or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+        occurrences.update(w)
+        occurrences.update(" ".join(p) for p in zip(w, w[1:], strict=False))
+        hits = list(re.finditer(unit, text))
+        edges = [0, *[m.end() for m in hits]], [*[m.start() for m in hits], len(text)]
+        gaps = [re.split(r"[\x20\x09-\x0D]+", text[a:b].lower().strip(" \t\n\r\x0b\x0c")) for a, b in zip(*edges, strict=True)]
+        gaps = [[x for x in g if x] for g in gaps]
+        for k, m in enumerate(hits):
+            token = m[0].lstrip("([{<\"'")
+            start = m.end() - len(token)
+            token = token.rstrip(".,;:!?)]}>\"'")
+            if not token:
+                continue
+            left, right = gaps[k], gaps[k + 1]
+            patterns = [("<", " ".join(left[-n:])) for n in (1, 2) if len(left) >= n] + [(">", " ".join(right[:n])) for n in (1, 2) if len(right) >= n]
+            found.append((i, start, start + len(token), token, bool(pii(token)), patterns))
+    n = Counter((p, f[3]) for f in found for p in f[5])
+    first = {f[3] for f in found if f[4]}
+    support = defaultdict(set)
+    for p, t in n:
+        support[p].add(t)
+    sure = set(first)
+    while True:
+        strong = {}
+        for p, own in support.items():
+            if len(own) < seeds or own <= first:
+                continue
+            hit = [t for t in own if t in sure]
+            value = sum(n[p, t] for t in hit) / max(occurrences[p[1]], sum(n[p, t] for t in own))
+            if len(hit) >= seeds and value >= share:
+                strong[p] = value
+        score = defaultdict(lambda: 1.0)
+        for p, t in n:
+            if p in strong:
+                score[t] *= max(1.0 - strong[p], 1e-6)
+        new = first | {t for t, left in score.items() if 1.0 - left >= sure_score - 1e-9}
+        if new == sure:
+            break
+        sure = new
+    out = defaultdict(set)
+    for i, a, b, t, seed, patterns in found:
+        if not seed and t in sure and any(p in strong for p in patterns):
+            out[i].add((a, b))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def masked(text, spans, mask="[SECRET]"):
+    """text with each group of overlapping spans (start, end) as one mask."""
+    out, end = [], 0
+    for a, b in sorted(spans):
+        if a >= end:
+            out += [text[end:a], mask]
+        end = max(end, b)
+    return "".join([*out, text[end:]])

@@ -70,11 +70,8 @@ def test_html_odd(spark):
 
 def test_near_duplicates(spark, sf_dir, docs):
     got = by_id(spark, "op2_order_minhash", sf_dir)
-    words = {i: minhash.words_of(t) for i, t in docs.text.items()}
-    ids = sorted(words)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if min(len(words[a]), len(words[b])) >= 0.8 * max(len(words[a]), len(words[b])) and len(set(words[a]) & set(words[b])) > 0.5 * len(set(words[a])) and minhash.similar(words[a], words[b])]
-    comp = brute.components(ids, links)
-    assert all(got.class_id[i] == comp[i] and got.kept[i] == (comp[i] == i) for i in ids if words[i])
+    comp = brute.near_classes(docs.text.to_dict())
+    assert all(got.class_id[i] == c and got.kept[i] == (c == i) for i, c in comp.items()) and len(set(comp.values())) < len(comp)
 
 
 def test_shared_passage_links_nothing(spark):
@@ -196,6 +193,24 @@ def test_pii_bootstraps(spark, monkeypatch, few):
     assert got[100] == "context:8:16" and got[101] == "context:5:13" and got[80].startswith("phone:8:")
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_contexts_equal_the_plain_ones(spark, seed):
+    """Texts of few words, so that patterns overlap, with addresses, numbers of other forms and phones in groups."""
+    r = random.Random(seed)
+    words = ["call", "mail", "badge", "to", "the", "of", "desk", "Room"]
+    unit = lambda: r.choice([f"a{r.randrange(30)}@h.example", f"B-{r.randrange(1000, 1040)}", f"+1 (555) 010-{r.randrange(1000, 1030)}", f"x{r.randrange(10)}9y88z7", f"({r.randrange(2000, 2010)})"])
+    rows = []
+    for i in range(160):
+        style = r.choice(words[:3])
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            parts += r.choices(words, k=r.randint(0, 3)) + [style] + ([unit()] if r.random() < 0.9 else [])
+        rows.append((i, " ".join(parts)))
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.contexts(rows, pii.UNIT)
+    assert {x.doc_id: sorted((s.start, s.end) for s in x.pii if s.kind == "context") for x in got if any(s.kind == "context" for s in x.pii)} == want
+
+
 def test_pii_many_matches(spark):
     text = "".join(f"u{i}@h.example {i % 256}.2.3.4 " for i in range(20_000))
     got = pii.find_pii(spark.createDataFrame([(1, text), (2, "x" * 10**6 + "@"), (3, "1 " * 500_000), (4, "9.9.9.9 " * 30_000)], "doc_id long, text string")).toPandas().set_index("doc_id").base
@@ -450,6 +465,38 @@ def test_pipeline(spark, sf_dir):
     assert sorted(direct.ids_sha256) == sorted(r.ids_sha256 for r in now.collect()) and (direct.n_tokens > 0).all()
 
 
+def test_pipeline_equals_the_plain_one(spark, sf_dir, docs):
+    """Every stage on what the plain version of the stage before left; what a forest or a draw decides is taken from its operator."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.text.to_dict()
+    verdict = by_id(spark, "op9_quality_rules", sf_dir).kept
+    failed = {i for i, t in texts.items() for w, _, _, _, n in [brute.quality(t)] if w < 20 or 100 * n > 30 * w}
+    good = {i for i in texts if i not in failed and verdict[i]}
+    out = stages["quality_rules"](spark, table, sf_dir)
+    assert {x.doc_id for x in out.collect()} == good
+    comp = brute.near_classes({i: texts[i] for i in good})
+    one = {i for i, c in comp.items() if i == c}
+    out = stages["minhash_dedup"](spark, table.where(F.col("doc_id").isin(sorted(good))), sf_dir)
+    assert {x.doc_id for x in out.collect()} == one and len(one) < len(good)
+    left = table.where(F.col("doc_id").isin(sorted(one)))
+    clean = {x.doc_id: x.text for x in stages["secret_scan"](spark, left, sf_dir).collect()}
+    spans = {i: [tuple(map(int, x.split(":")[1:])) for x in brute.secrets(texts[i])] + [(a, b) for _, a, b in secrets.confirmed(texts[i])] for i in one}
+    assert clean == {i: brute.masked(texts[i], spans[i]) for i in one}
+    mixed = Counter(x.doc_id for x in stages["mixing"](spark, left, sf_dir).collect())
+    sizes, taken = Counter(), Counter()
+    for i in one:
+        sizes[docs.source[i]] += brute.quality(texts[i])[0]
+        taken[docs.source[i]] += brute.quality(texts[i])[0] * mixed[i]
+    want = brute.targets(sizes)
+    longest = max(brute.quality(texts[i])[0] for i in one)
+    assert max(mixed.values()) <= 3 and all(abs(taken[x] - want[x]) <= max(0.02 * want[x], longest) for x in sizes)
+    coded = {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in stages["byte_bpe"](spark, left, sf_dir).collect()}
+    assert coded == {i: brute.byte_bpe(texts[i]) for i in one}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
