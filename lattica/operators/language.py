@@ -84,6 +84,10 @@ RELATION_WORDS = {
 LEXICAL, W_LEXICAL, W_EMBEDDING, FLOOR, KEEP, BOOST, TEMPERATURE = 0.5, 0.4, 0.6, 0.95, 0.92, 0.08, 0.01
 
 
+#: Labels that may be broadcast.
+BROADCAST_LABELS = 100_000
+
+
 def alias_table(spark: SparkSession) -> DataFrame:
     """(alias, concept): every name, the concept's own among them; one name may mean several concepts."""
     rows = sorted({(a.lower(), c) for c, names in ALIASES.items() for a in (c, *names)})
@@ -101,11 +105,10 @@ def concepts(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def lexical(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(query, label, lexical) for every query and label; labels are a vocabulary, small and checked to be."""
-    q, x = concepts(queries, "query"), concepts(labels, "label")
-    if x.count() > 100_000:
-        raise ValueError("too many labels to broadcast")
-    both = q.withColumnRenamed("concepts", "cq").join(F.broadcast(x.withColumnRenamed("concepts", "cl")), F.lit(True))
+    """(query, label, lexical) for every query and label. A vocabulary of up to BROADCAST_LABELS travels to the queries; a longer
+    one is met in blocks."""
+    q, x = concepts(queries, "query").withColumnRenamed("concepts", "cq"), concepts(labels, "label").withColumnRenamed("concepts", "cl")
+    both = q.join(F.broadcast(x), F.lit(True)) if x.count() <= BROADCAST_LABELS else blocked(x, q)
     return both.select("query", "label", T.lexical_score(F.col("query"), F.col("label"), F.arrays_overlap("cq", "cl")).alias("lexical"))
 
 

@@ -148,6 +148,14 @@ def test_overlaps_of_turned_boxes():
     assert len(yaw_ious(a[:0], b[:0])) == 0
 
 
+def test_lexical_in_blocks(spark, monkeypatch):
+    q = spark.createDataFrame([("mug",), ("couch",)], "query string")
+    labels = spark.createDataFrame([(x,) for x in ("cup", "sofa", "lamp")], "label string")
+    want = sorted(L.lexical(q, labels).collect())
+    monkeypatch.setattr(L, "BROADCAST_LABELS", 0)
+    assert sorted(map(tuple, L.lexical(q, labels).collect())) == sorted(map(tuple, want)) and len(want) == 6
+
+
 def test_scores_and_answers(spark):
     s = spark.createDataFrame([("q", "a", 1.0, 10), ("q", "b", 1.0, 5), ("q", "c", 0.5, 0)], "query string, label string, lexical double, count int")
     assert [round(r.lexical, 3) for r in L.counted(s).orderBy("label").collect()] == [1.0, 0.95, 0.45]
