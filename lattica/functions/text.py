@@ -40,23 +40,31 @@ def words(t: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
+def word_count(t: Column) -> Column:
+    """How many words() has, by its single blanks."""
+    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+
+
 def letters(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"([A-Za-z']+)"), 1)
 
 
 def caption_reason(t: Column, most: int | None = MAX_WORDS) -> Column:
     """Why a normalised caption is dropped, by the first gate it fails; empty if it is kept. most: words, None for any number."""
-    w, a = words(t), letters(t)
-    non_ascii = F.length(F.regexp_replace(t, r"[\x00-\x7f]", "")) / F.greatest(F.length(t), F.lit(1))
-    low = F.transform(a, F.lower)
+    n = word_count(t)
+    non_ascii = F.length(F.regexp_replace(t, r"[\x00-\x7f]++", "")) / F.greatest(F.length(t), F.lit(1))
+    enough = t.rlike(f"(?:[^A-Za-z']*+[A-Za-z']){{{MIN_LETTERS}}}")
+    low = letters(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    # A lambda binds its argument: the words are extracted once.
+    varied = F.get(F.transform(F.array(low), lambda x: F.size(F.array_distinct(x)) / F.greatest(F.size(x), F.lit(1))), F.lit(0))
     return (
         F.when(t.rlike(URL), "url")
-        .when(F.size(w) < MIN_WORDS, "too_short")
-        .when(F.lit(False) if most is None else F.size(w) > most, "too_long")
+        .when(n < MIN_WORDS, "too_short")
+        .when(F.lit(False) if most is None else n > most, "too_long")
         .when(t == "", "empty")
         .when(non_ascii > MAX_NON_ASCII, "non_ascii")
-        .when(F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x)) < MIN_LETTERS, "no_alpha")
-        .when(1 - F.size(F.array_distinct(low)) / F.greatest(F.size(low), F.lit(1)) > MAX_REPEAT, "degenerate_repeat")
+        .when(~enough, "no_alpha")
+        .when(1 - varied > MAX_REPEAT, "degenerate_repeat")
         .otherwise("")
     )
 

@@ -29,7 +29,7 @@ def cleaned(captions: DataFrame, full: bool = True, most: int | None = T.MAX_WOR
     """
     t = T.normalized_caption(F.col("text")) if full else T.plain_caption(F.col("text"))
     out = captions.select("*", F.explode(F.array(F.coalesce(t, F.lit("")))).alias("cleaned"))
-    judged = F.struct(F.size(T.words(F.col("cleaned"))).cast("long").alias("tokens"), T.caption_reason(F.col("cleaned"), most).alias("drop_reason"))
+    judged = F.struct(T.word_count(F.col("cleaned")).cast("long").alias("tokens"), T.caption_reason(F.col("cleaned"), most).alias("drop_reason"))
     return out.select("*", F.explode(F.array(judged)).alias("__j")).select(*captions.columns, "cleaned", "__j.tokens", "__j.drop_reason")
 
 
