@@ -30,7 +30,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(load(spark, sf_dir, "documents"))
     counts = [_count("base", k) for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(load(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.KINDS[:3]))
     counts = [_count("secrets", k) for k in secrets.KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"), F.size("secrets").cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_order_minhash, op3_pii, op4_token_store, op5_mixing, op6_url_filter, op7_byte_bpe, op8_near_embeddings, op9_quality_rules, op10_secret_scan)}
