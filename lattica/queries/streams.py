@@ -115,7 +115,10 @@ def _folder(spark) -> str:
     """The folder that driver and executors share, or one of our own where none is set (tests)."""
     import tempfile
 
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-")
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="lattica-")
 
 
 from lattica.queries import spatial as _spatial  # noqa: E402
