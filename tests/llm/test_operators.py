@@ -175,13 +175,11 @@ def test_pii_discovers(spark):
     assert got[100] == "context:19:31" and got[101] == "" and got[0].startswith("email:")
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_pii_bootstraps(spark, monkeypatch, few):
+def test_pii_bootstraps(spark):
     """Base matches confirm a pattern, what it finds confirms a second one, and that finds what no base match stands by.
 
     Patterns with words of any length count, after an identifier as well as before it, and before phones in groups.
     """
-    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", few)
     long = "w" * 120
     rows = [(i, f"Some words. {long} mail{i + 50}@host.example for more of it {i} times.") for i in range(-40, 0)]
     rows += [(20 + i, f"see {long} badge-{1000 + i} which") for i in range(8)]  # found next to the base matches' word
@@ -193,9 +191,10 @@ def test_pii_bootstraps(spark, monkeypatch, few):
     assert got[100] == "context:8:16" and got[101] == "context:5:13" and got[80].startswith("phone:8:")
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_pii_contexts_equal_the_plain_ones(spark, seed):
+@pytest.mark.parametrize("seed, few", [(0, 0), (1, 10**6)])
+def test_pii_contexts_equal_the_plain_ones(spark, monkeypatch, seed, few):
     """Texts of few words, so that patterns overlap, with addresses, numbers of other forms and phones in groups."""
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", few)
     r = random.Random(seed)
     words = ["call", "mail", "badge", "to", "the", "of", "desk", "Room"]
     unit = lambda: r.choice([f"a{r.randrange(30)}@h.example", f"B-{r.randrange(1000, 1040)}", f"+1 (555) 010-{r.randrange(1000, 1030)}", f"x{r.randrange(10)}9y88z7", f"({r.randrange(2000, 2010)})"])
@@ -724,7 +723,7 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
         docs.write.parquet(f"{sf_dir}/documents.parquet")
         spark.createDataFrame([(4, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
         now = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        for stage, f in corpus_pipeline.STAGES[:-1]:
+        for stage, f in corpus_pipeline.STAGES[:-1] if name == "odd" else ():
             out = f(spark, now, sf_dir)
             assert out.columns == docs.columns, stage
         out = corpus_pipeline.run(spark, sf_dir)
