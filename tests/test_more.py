@@ -75,7 +75,7 @@ def test_mapping_node(spark, tmp_path):
     n.process(seen.where("frame = 3"), points, 3)  # delivered again
     n.publish()
     assert max(r.n_observations for r in n.map.last().collect()) == 4 and node.POLICIES["state"]["latched"]
-    late = node.MappingNode(spark, str(tmp_path / "late"), every=1, shed=1, options={"size": 0.2})
+    late = node.MappingNode(spark, str(tmp_path / "late"), every=100, shed=1, options={"size": 0.2})
     late.process(seen, points, 0)
     assert late.frames == 1
 

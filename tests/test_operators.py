@@ -432,7 +432,6 @@ def _chairs(spark):
 
 
 def test_map_of_instances(spark, tmp_path):
-    from lattica.operators import mapping
     from lattica.operators.scene import SceneMap, built
 
     seen, points = _chairs(spark)
@@ -446,8 +445,6 @@ def test_map_of_instances(spark, tmp_path):
     assert sorted(r.obj_id for r in m.objects.collect()) == [0, 1, 2]
     m.save(str(tmp_path / "map"))
     assert SceneMap.load(spark, str(tmp_path / "map")).objects.count() == 3
-    one_label = mapping.build(seen, points, 0.2, least_observations=5).objects
-    assert one_label.count() == 0
 
 
 def test_merges_within_a_frame(spark):
