@@ -80,7 +80,12 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
 
 
+#: An end of a word by ASCII letters, digits and _ alone, as in SQL's expressions: Java's own \\b also counts other letters.
+_START, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
+
+
 def yes_no(text: Column) -> Column:
     """False if the text denies, else true if it affirms, else null: denial is looked for first."""
-    low = F.lower(text)
-    return F.when(low.rlike(r"\b(no|not|isn't|aren't|false)\b|不|没"), False).when(low.rlike(r"\b(yes|true|correct)\b|是|对"), True)
+    low = F.lower(F.translate(text, "\u0130", "i"))  # which SQL lowers to one letter
+    says = lambda words, signs: low.rlike(f"{_START}({words}){_END}|{signs}")
+    return F.when(says("no|not|isn't|aren't|false", "不|没"), False).when(says("yes|true|correct", "是|对"), True)
