@@ -5,16 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import geometry as G
+from lattica.functions.kernels import nearest_in_turn
 from lattica.operators import language as L
 from lattica.operators import mapping as M
 from lattica.operators import replies as R
 from lattica.operators import spatial as S
 from lattica.operators import voxels as V
 from lattica.plans.rewrites import served_in_turn, within_distance
+from lattica.plans.tiles import finite
 from lattica.sources import files
 
 
@@ -115,13 +119,37 @@ class SceneMap:
             return R.Reply(question, "error", "I could not make sense of that question.", [], 0.0, {"error": str(e)[:200]})
 
 
-def map_localization(objects: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
-    """Objects in order, each with the nearest truth of its label that is free: (obj_id, gt_id, distance)."""
-    p = within_distance(objects.select("label", "obj_id", "cx", "cy", "cz"), truth.select("label", "obj_id", "cx", "cy", "cz"), ("cx", "cy", "cz"), reach).where("a.label = b.label")
+def _served(objects: DataFrame, truth: DataFrame, reach: float) -> DataFrame:
+    """map_localization() where ids are in several rows, or null: by pairs, whose number grows with the square of what is in reach."""
+    p = within_distance(objects, truth, ("cx", "cy", "cz"), reach).where("a.label = b.label")
     flat = p.select(F.col("a.label").alias("label"), F.col("a.obj_id").alias("obj_id"), F.col("b.obj_id").alias("gt_id"), G.center_distance().alias("distance"))
     return served_in_turn(flat, "obj_id", "gt_id", ["distance", "gt_id"])
 
 
+def map_localization(objects: DataFrame, truth: DataFrame, reach: float = 2.0) -> DataFrame:
+    """Objects in order, each with the nearest truth of its label that is free: (label, obj_id, gt_id, distance).
+
+    A label is one task, which holds its centres and short lists of choices, but no pairs.
+    """
+    names = ["label", "obj_id", "cx", "cy", "cz"]
+    o, t = objects.select(*names), truth.select(*names)
+    named = o.select("obj_id", F.lit(0).alias("s")).unionByName(t.select("obj_id", F.lit(1).alias("s")))
+    if not named.groupBy("s", "obj_id").count().where("count > 1 or obj_id is null").isEmpty():
+        return _served(o, t, reach)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("obj_id"), b.sort_by("obj_id")
+        x, y = (np.column_stack([v[k].to_numpy() for k in names[2:]]) for v in (a, b))
+        got, distance = nearest_in_turn(x, y, reach)
+        i = np.flatnonzero(got >= 0)
+        return pa.table({"label": a["label"].take(pa.array(i)), "obj_id": a["obj_id"].take(pa.array(i)), "gt_id": b["obj_id"].take(pa.array(got[i])), "distance": distance[i]})
+
+    fit = lambda df: df.where(finite("cx", "cy", "cz") & F.col("label").isNotNull()).select(F.col("label").alias("label"), F.col("obj_id").alias("obj_id"), *[F.col(k).cast("double").alias(k) for k in names[2:]])
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"label {kind(o, 'label')}, obj_id {kind(o, 'obj_id')}, gt_id {kind(t, 'obj_id')}, distance double"
+    return fit(o).groupBy("label").cogroup(fit(t).groupBy("label")).applyInArrow(run, schema)
+
+
 def built(observations: DataFrame, points: DataFrame, size: float = V.SIZE, **options: Any) -> SceneMap:
     """A map of instances: see mapping.build. Its meta says what was dropped, and the number of objects and observations."""
     b = M.build(observations, points, size, **options)
