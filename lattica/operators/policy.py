@@ -21,13 +21,13 @@ class Policy(Protocol):
 
 def samples(objects: DataFrame, cap: int = 20, reach: float = S.MAX_DISTANCE) -> DataFrame:
     """Questions about a map with their truths: relations (as many that do not hold), distances and places, at most cap each."""
-    # The first of each task have the least subjects, so that no others are paired.
+    # Each task takes its first samples from the first relations, which are found once.
     rel = S.first_relations(objects, cap, reach, same_label=False, where="relation <> 'unknown'")
     w = Window.partitionBy("task").orderBy("subject_id", "object_id")
     held = rel.select(F.lit("relation").alias("task"), "subject_id", "object_id", "subject", "object", F.col("relation").alias("asked"), F.lit(True).alias("truth"), "distance")
     turned = held.withColumn("asked", F.when(F.col("asked") == "above", "below").otherwise("above")).withColumn("truth", F.lit(False)).where("subject_id % 2 <> 1")
     far = rel.select(F.lit("distance").alias("task"), "subject_id", "object_id", "subject", "object", F.lit(None).cast("string").alias("asked"), F.lit(None).cast("boolean").alias("truth"), "distance")
-    place = objects.select(F.lit("locate").alias("task"), F.col("obj_id").alias("subject_id"), F.lit(None).cast("long").alias("object_id"), F.col("label").alias("subject"), F.lit(None).cast("string").alias("object"), F.lit(None).cast("string").alias("asked"), F.lit(None).cast("boolean").alias("truth"), F.lit(None).cast("double").alias("distance"))
+    place = objects.orderBy("obj_id").limit(cap).select(F.lit("locate").alias("task"), F.col("obj_id").alias("subject_id"), F.lit(None).cast("long").alias("object_id"), F.col("label").alias("subject"), F.lit(None).cast("string").alias("object"), F.lit(None).cast("string").alias("asked"), F.lit(None).cast("boolean").alias("truth"), F.lit(None).cast("double").alias("distance"))
     both = held.where("subject_id % 2 = 1").unionByName(turned).unionByName(far).unionByName(place)
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
 
