@@ -425,35 +425,49 @@ def _tile_links(t: pa.Table) -> pa.Table:
 def _blocks(large: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
     """found, with all links among members of large buckets that are in different components.
 
-    Members are dealt to classes of length, of which only neighbours hold similar texts, and those to blocks; two blocks
-    meet in a tile, so that the pairs of one bucket are dealt over many tasks.
+    Members are dealt to classes of length, of which only neighbours hold similar texts. A bucket's most frequent component
+    needs no pairs of its own: its members meet only the others, which are few where most of a bucket are copies. The others
+    are dealt to blocks, and so are those of the component; two blocks meet in a tile, so that the pairs of one bucket are dealt
+    over many tasks, and a row goes to each block that it meets.
     """
     members = _mixed(large, found).withColumn("at", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SIMILARITY_PERCENT))).cast("int"))
-    sizes = members.groupBy("band", "key", "at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = written(sizes.groupBy("band", "key").agg(F.map_from_entries(F.collect_list(F.struct("at", "blocks"))).alias("blocks")), "sizes")
+    of = members.groupBy("band", "key", "c").agg(F.count("*").alias("of"))
+    most = written(of.groupBy("band", "key").agg(F.max_by("c", F.struct("of", -F.col("c"))).alias("most")), "most")
+    members = members.join(most, ["band", "key"]).withColumn("rest", F.col("c") != F.col("most")).drop("most")
+    count = lambda x: F.ceil(F.sum(x.cast("int")) / BLOCK).cast("int")
+    sizes = members.groupBy("band", "key", "at").agg(count(F.col("rest")).alias("others"), count(~F.col("rest")).alias("same"))
+    sizes = written(sizes.groupBy("band", "key").agg(*[F.map_from_entries(F.collect_list(F.struct("at", x))).alias(x) for x in ("others", "same")]), "sizes")
     counts = written(_word_counts(members.select("node").distinct(), corpus), "counts", rows=BATCH)
 
-    def blocks(of: str) -> Column:
-        n = F.expr(f"blocks[{of}]")
-        return F.when(n.isNotNull(), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    def blocks(of: str, at: str, rest: int) -> Column:
+        """The blocks of a class: whether they hold the rest, and their numbers."""
+        n = F.coalesce(F.expr(f"{of}[{at}]"), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.lit(rest).alias("rest"), j.alias("block")))).otherwise(F.array().cast("array<struct<rest:int,block:int>>"))
 
-    def tile(at: Column, step: int, i: Column, j: Column, first: Column) -> Column:
-        return F.struct(at.alias("at"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), first.alias("first"))
+    def met(at: str) -> Column:
+        """The blocks of a class that a row meets: those of the rest, and of the component if it is not in it."""
+        others = blocks("others", at, 1)
+        return F.when(F.col("rest"), F.concat(others, blocks("same", at, 0))).otherwise(others)
+
+    def tile(at: Column, low: Column, high: Column, first: Column, within: Column) -> Column:
+        return F.struct(at.alias("at"), low.alias("i"), high.alias("j"), first.alias("first"), within.alias("within"))
 
     at, own = F.col("at"), F.col("own")
-    rows = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.expr("blocks[at]")).cast("int"))
+    rows = members.join(sizes, ["band", "key"])
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.expr("others[at]")).otherwise(F.expr("same[at]"))).cast("int")
+    rows = rows.withColumn("own", F.struct(F.col("rest").cast("int").alias("rest"), block.alias("block")))
     tiles = F.concat(
-        F.transform(blocks("at"), lambda j: tile(at, 0, F.least(own, j), F.greatest(own, j), own <= j)),
-        F.transform(blocks("at + 1"), lambda j: tile(at, 1, own, j, F.lit(True))),
-        F.transform(blocks("at - 1"), lambda i: tile(at - 1, 1, i, own, F.lit(False))),
+        F.transform(met("at"), lambda y: tile(at, F.least(own, y), F.greatest(own, y), own <= y, F.lit(True))),
+        F.transform(met("at + 1"), lambda y: tile(at, own, y, F.lit(True), F.lit(False))),
+        F.transform(met("at - 1"), lambda y: tile(at - 1, y, own, F.lit(False), F.lit(False))),
     )
     bucket = F.xxhash64("band", "key")
     # A node is in SKETCHES buckets at most.
     counts = counts.join(members.groupBy("node").agg(F.collect_set(bucket).alias("buckets")), "node")
     rows = rows.join(counts, "node").select("band", "key", bucket.alias("bucket"), "buckets", "node", "n", "c", "counts", "text", F.explode(tiles).alias("t"))
-    rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.step").alias("step"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "node", "n", "c", "counts", "text")
-    more = written(rows.groupBy("band", "key", "at", "step", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked", few=True)
-    for x in (members, counts, sizes):
+    rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.within").alias("within"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "node", "n", "c", "counts", "text")
+    more = written(rows.groupBy("band", "key", "at", "within", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked", few=True)
+    for x in (members, most, counts, sizes):
         forget(x)
     return found.unionByName(more)
 
