@@ -302,8 +302,8 @@ def _links(corpus: Corpus) -> DataFrame:
     forget(comp)
     large = shared.where(f"size > {SMALL}").select("band", "key", "node", "n", "root")
     if not large.isEmpty():
-        found = _elected(large, found, tested, corpus)
-        found = _blocks(large, found, corpus)
+        found, members = _elected(large, found, tested, corpus)
+        found = _blocks(members, found, corpus)
     out = written(components(found, "near", kept=True), "components")
     for x in (shared, stars):
         forget(x)
@@ -329,22 +329,21 @@ def _several(members: DataFrame) -> DataFrame:
     return out
 
 
-def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (band, key, node, n) of buckets that hold several components, with their component c."""
-    own = written(components(found, "near", kept=True), "components")
-    out = _several(placed(buckets.select("band", "key", "node", "n"), own, "node", "c"))
-    forget(own)
-    return out
-
+def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
+    """found, with the links of large buckets to further roots: the shortest member whose component has no root yet; and the
+    members of those buckets that held several components, with their component c by all links but the last round's.
 
-def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, corpus: Corpus) -> DataFrame:
-    """found, with the links of large buckets to further roots: the shortest member whose component has no root yet.
-
-    It spares _blocks the pairs of large groups of copies and decides nothing: what a round leaves meets there.
+    It spares _blocks the pairs of large groups of copies and decides nothing: what a round leaves meets there. Components only
+    grow, so the buckets of a round are among those of the one before.
     """
     met = written(large.select("band", "key", "root").distinct(), "met")
+    members = large
     while True:
-        members = _mixed(large, found)
+        own = written(components(found, "near", kept=True), "components")
+        before, members = members, _several(placed(members.select("band", "key", "node", "n"), own, "node", "c"))
+        forget(own)
+        if before is not large:
+            forget(before)
         done = written(members.join(met, (members["node"] == met["root"]) & (members["band"] == met["band"]) & (members["key"] == met["key"]), "left_semi").select("band", "key", "c").distinct(), "done")
         left = written(members.join(done, ["band", "key", "c"], "left_anti"), "left")
         root = written(left.groupBy("band", "key").agg(F.min(F.struct("n", "node")).alias("r")).select("band", "key", F.col("r.node").alias("root"), F.col("r.n").alias("root_n")), "roots")
@@ -354,10 +353,10 @@ def _elected(large: DataFrame, found: DataFrame, tested: DataFrame, corpus: Corp
         found = found.unionByName(more)
         met = met.unionByName(root.select("band", "key", "root"))
         n, linked = pairs.count(), more.count()
-        for x in (members, done, left, pairs):
+        for x in (done, left, pairs):
             forget(x)
         if not linked or linked < WORTH * n:
-            return found
+            return found, members
 
 
 def _word_counts(nodes: DataFrame, corpus: Corpus) -> DataFrame:
@@ -422,21 +421,26 @@ def _tile_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _blocks(large: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
-    """found, with all links among members of large buckets that are in different components.
+def _blocks(buckets: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    """found, with all links among members (band, key, node, n) of large buckets that are in different components.
 
     Members are dealt to classes of length, of which only neighbours hold similar texts. A bucket's most frequent component
     needs no pairs of its own: its members meet only the others, which are few where most of a bucket are copies. The others
     are dealt to blocks, and so are those of the component; two blocks meet in a tile, so that the pairs of one bucket are dealt
-    over many tasks, and a row goes to each block that it meets.
+    over many tasks, and a row goes to each block that it meets. All that a member has to know of its bucket is one row.
     """
-    members = _mixed(large, found).withColumn("at", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SIMILARITY_PERCENT))).cast("int"))
-    of = members.groupBy("band", "key", "c").agg(F.count("*").alias("of"))
-    most = written(of.groupBy("band", "key").agg(F.max_by("c", F.struct("of", -F.col("c"))).alias("most")), "most")
-    members = members.join(most, ["band", "key"]).withColumn("rest", F.col("c") != F.col("most")).drop("most")
-    count = lambda x: F.ceil(F.sum(x.cast("int")) / BLOCK).cast("int")
-    sizes = members.groupBy("band", "key", "at").agg(count(F.col("rest")).alias("others"), count(~F.col("rest")).alias("same"))
-    sizes = written(sizes.groupBy("band", "key").agg(*[F.map_from_entries(F.collect_list(F.struct("at", x))).alias(x) for x in ("others", "same")]), "sizes")
+    own = written(components(found, "near", kept=True), "components")
+    at = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / SIMILARITY_PERCENT))).cast("int")
+    members = written(placed(buckets.select("band", "key", "node", "n"), own, "node", "c").withColumn("at", at), "members")
+    forget(own)
+    forget(buckets)
+    of = written(members.groupBy("band", "key", "at", "c").agg(F.count("*").alias("of")), "of")
+    most = of.groupBy("band", "key", "c").agg(F.sum("of").alias("of")).groupBy("band", "key").agg(F.max_by("c", F.struct("of", -F.col("c"))).alias("c"))
+    same = of.join(most, ["band", "key", "c"]).select("band", "key", "at", F.col("c").alias("most"), F.col("of").alias("same"))
+    every = of.groupBy("band", "key", "at").agg(F.sum("of").alias("of")).join(same, ["band", "key", "at"], "left")
+    count = lambda x: F.ceil(x / BLOCK).cast("int")
+    every = every.select("band", "key", "most", "at", count(F.col("of") - F.coalesce("same", F.lit(0))).alias("others"), count(F.coalesce("same", F.lit(0))).alias("same"))
+    sizes = written(every.groupBy("band", "key").agg(F.max("most").alias("most"), *[F.map_from_entries(F.collect_list(F.struct("at", x))).alias(x) for x in ("others", "same")]), "sizes")
     counts = written(_word_counts(members.select("node").distinct(), corpus), "counts", rows=BATCH)
 
     def blocks(of: str, at: str, rest: int) -> Column:
@@ -453,7 +457,7 @@ def _blocks(large: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
         return F.struct(at.alias("at"), low.alias("i"), high.alias("j"), first.alias("first"), within.alias("within"))
 
     at, own = F.col("at"), F.col("own")
-    rows = members.join(sizes, ["band", "key"])
+    rows = members.join(sizes, ["band", "key"]).withColumn("rest", F.col("c") != F.col("most"))
     block = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.expr("others[at]")).otherwise(F.expr("same[at]"))).cast("int")
     rows = rows.withColumn("own", F.struct(F.col("rest").cast("int").alias("rest"), block.alias("block")))
     tiles = F.concat(
@@ -467,7 +471,7 @@ def _blocks(large: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
     rows = rows.join(counts, "node").select("band", "key", bucket.alias("bucket"), "buckets", "node", "n", "c", "counts", "text", F.explode(tiles).alias("t"))
     rows = rows.select("band", "key", F.col("t.at").alias("at"), F.col("t.within").alias("within"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.first").alias("first"), "bucket", "buckets", "node", "n", "c", "counts", "text")
     more = written(rows.groupBy("band", "key", "at", "within", "i", "j").applyInArrow(_tile_links, "a long, b long"), "linked", few=True)
-    for x in (members, most, counts, sizes):
+    for x in (members, of, counts, sizes):
         forget(x)
     return found.unionByName(more)
 
